@@ -1,12 +1,59 @@
-"""Corpus preparation in stages; each stage works on all rows that its predecessor kept."""
+"""Corpus preparation in five stages; each works on all rows that its predecessor kept.
+
+1. toxicity: documents scored 0.5 or more by the classifier go; the labels of the corpus train it.
+2. line_dedup: later occurrences of repeated runs of lines are cut out of the texts; no row goes.
+3. near_dedup: of each group of near duplicates (five-word shingles, similarity 0.8 or more) the document with the
+   smallest doc_id stays; where it is repeated, its rows stay.
+4. decontaminate: documents that hold a benchmark item go.
+5. mix: sources are brought to their target weights; a document comes out as often as the mix takes it.
+
+Stages 1 to 4 return the columns of documents, the last adds ``copy`` (0, 1, ...).  n_chars follows the text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from cairnmap.llm import decontaminate, line_dedup, mixing, near_dup, toxicity
 from cairnmap.llm.work import Work, table
 
-STAGES: list = []
+THRESHOLD = 0.5
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps rows of a score under THRESHOLD.  Rows with null or empty texts get the bias alone."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model, keep=tuple(docs.columns)).where(F.col("score") < THRESHOLD).drop("score").select(*docs.columns)
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cut = line_dedup.delete_repeats(docs, Work(spark, "pipeline-lines"))
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.when(F.col("lines_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return cut.select(*docs.columns)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps rows that are kept; rows without doc_id stay."""
+    gone = near_dup.near_duplicates(docs.select("doc_id", "text"), Work(spark, "pipeline-near"), k=5).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops rows that hold an item; rows without doc_id are judged like others."""
+    bad = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    bad = bad.select(F.col("doc_id").alias("_bad")).distinct()
+    return docs.join(bad, F.expr("doc_id <=> _bad"), "left_anti").select(*docs.columns)
+
+
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(docs, Work(spark, "pipeline-mix")).where("mix_copies > 0")
+    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1))).select(*docs.columns, "copy")
+
+
+STAGES = [("toxicity", toxicity_stage), ("line_dedup", line_dedup_stage), ("near_dedup", near_dedup_stage), ("decontaminate", decontaminate_stage), ("mix", mix_stage)]
+#: The classifier and the embeddings cannot be stated in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
