@@ -49,7 +49,8 @@ def delete_repeats(docs: DataFrame, work: Work, min_words: int = MIN_WORDS, wind
 
     # Extension: on each shift, the maximal runs of equal lines, by one pass over the lines that both places have.
     one = arrays.groupBy("d", "t").agg(F.first("h").alias("h"), F.first("w").alias("w"))
-    both = pairs.join(one, ["d", "t"]).join(one.select(F.col("d").alias("d0"), F.col("t").alias("t0"), F.col("h").alias("h0")), ["d0", "t0"])
+    # No side of these joins has a bound, so none is broadcast.
+    both = pairs.hint("merge").join(one, ["d", "t"]).join(one.select(F.col("d").alias("d0"), F.col("t").alias("t0"), F.col("h").alias("h0")).hint("merge"), ["d0", "t0"])
     runs = F.expr(f"""flatten(transform(shifts, g -> aggregate(
       sequence(greatest(0, -g), least(size(h), size(h0) - g)),
       named_struct('a', -1, 'n', 0, 'out', cast(array() as array<struct<a: int, b: int>>)),
@@ -60,7 +61,7 @@ def delete_repeats(docs: DataFrame, work: Work, min_words: int = MIN_WORDS, wind
     deleted = both.select("d", "t", runs.alias("runs")).where(F.size("runs") > 0)
     deleted = work.save(deleted.groupBy("d", "t").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs")), "deleted")
 
-    wide = docs.withColumns({"_rl_d": doc, "_rl_t": half}).join(deleted.select(F.col("d").alias("_rl_d"), F.col("t").alias("_rl_t"), F.col("runs").alias("_rl_runs")), ["_rl_d", "_rl_t"], "left")
+    wide = docs.withColumns({"_rl_d": doc, "_rl_t": half}).join(deleted.select(F.col("d").alias("_rl_d"), F.col("t").alias("_rl_t"), F.col("runs").alias("_rl_runs")).hint("merge"), ["_rl_d", "_rl_t"], "left")
     split_ = F.expr(f"split(text, '{CUT}')")
     wide = wide.withColumn("_rl_s", split_).withColumn("_rl_k", F.when(F.col("_rl_runs").isNotNull(), F.expr("filter(_rl_s, (x, i) -> not exists(_rl_runs, r -> i >= r.a and i < r.b))")))
     text = F.when(F.col("_rl_k").isNull(), F.col("text")).otherwise(F.array_join("_rl_k", ""))
