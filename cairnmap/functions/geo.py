@@ -70,7 +70,7 @@ def zoom_window(px, py, gx, gy, width, height, zoom: int = 600) -> tuple[Column,
     """Crop (x0, y0, x1, y1) around two points, on the map."""
     radius = F.greatest(F.lit(float(zoom)), F.ceil(F.hypot(px - gx, py - gy) / 2) + 600)
     mx, my = (px + gx) / 2, (py + gy) / 2
-    at = lambda v, top: F.greatest(F.lit(0), F.least(v.cast("int"), top))
+    at = lambda v, top: F.greatest(F.lit(0), F.least(v.cast("int"), F.lit(top) if isinstance(top, int) else top))
     return at(mx - radius, width), at(my - radius, height), at(mx + radius, width), at(my + radius, height)
 
 
