@@ -23,14 +23,14 @@ def delete_repeats(docs: DataFrame, work: Work, min_words: int = MIN_WORDS, wind
     """docs (doc_id, text, ...) -> its columns with the text without repeated runs, and n_lines, lines_deleted (int).
 
     A null text stays null (no lines); an empty one is one line; a text of which all lines are repeats becomes empty.  Words
-    of a line are its blanks plus one.  A null doc_id comes last in the order.  Rows that agree in doc_id and text are one
+    of a line are its blanks plus one (30,000 at most).  A null doc_id comes last in the order.  Rows that agree in doc_id and text are one
     document and get the same result.  Lines that equal the line before them are matched with that line, not each with the
     first of the streak.  Empty tables give empty results; other columns pass through, with any names but the two added and
     names that begin with ``_rl_``.  A text may have 2^24 lines.
     """
     doc, half = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), F.shiftleft(F.xxhash64("text").bitwiseAND(F.lit((1 << 39) - 1)), 24)
     lines = docs.where("text is not null").select(doc.alias("d"), half.alias("t"), F.expr(f"split(text, '{CUT}')").alias("s"))
-    words = lambda x: (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).cast("short")
+    words = lambda x: F.least(F.lit(30000), F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).cast("short")
     arrays = work.save(lines.select("d", "t", F.transform("s", lambda x: F.xxhash64(F.rtrim(x, F.lit(" \t\r\n")))).alias("h"), F.transform("s", words).alias("w")), "arrays")
 
     starts = F.sequence(F.lit(0), F.greatest(F.size("h") - window, F.lit(0)))

@@ -127,12 +127,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5
     return found.column(0).to_numpy(), found.column(1).to_numpy()
 
 
-def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """docs -> its columns ``keep`` and score, the probability of label 1.  Null and empty texts have the bias alone;
+def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """docs -> its columns ``keep`` and ``name``, the probability of label 1.  Null and empty texts have the bias alone;
     a text of any length is scored whole; equal texts get equal scores."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    schema = docs.select(*keep).schema.add("score", "double")
+    schema = docs.select(*keep).schema.add(name, "double")
 
     def run(batches):
         at, w = shared.value
@@ -146,7 +146,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], keep: tuple[st
                 pairs = np.unique(owner[hit].astype(np.int64) << BITS | found[hit])
                 total = np.bincount(pairs >> BITS, weights[pairs & ((1 << BITS) - 1)], hi - lo) + weights[-1]
                 score = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(score)], names=[*keep, "score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(score)], names=[*keep, name])
 
     return docs.select(*keep, "text").mapInArrow(run, schema)
 

@@ -172,7 +172,9 @@ def write_warc(pages: DataFrame, folder: str, least: int = LEAST_PAYLOAD, bundle
 def read_warc(spark: SparkSession, folder: str, index: DataFrame) -> DataFrame:
     """Reads every record of the index back through its frame -> page_id, payload_bytes, payload_digest, record_type,
     refers_to, payload (null for revisits).  Digests of responses are computed anew and must agree with the record."""
-    files = spark.read.format("binaryFile").load(f"{folder}/*.warc.zst").select(F.element_at(F.split("path", "/"), -1).alias("bundle"), "content")
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(at)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("bundle"), "content")
     wanted = index.groupBy("bundle").agg(F.sort_array(F.collect_list(F.struct("frame", "at", "length"))).alias("records"))
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
