@@ -24,7 +24,7 @@ THRESHOLD = 0.5
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps rows of a score under THRESHOLD.  Rows with null or empty texts get the bias alone."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model, keep=tuple(docs.columns)).where(F.col("score") < THRESHOLD).drop("score").select(*docs.columns)
+    return toxicity.scored(docs, model, keep=tuple(docs.columns), name="_toxicity").where(F.col("_toxicity") < THRESHOLD).select(*docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
