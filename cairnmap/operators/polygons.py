@@ -42,7 +42,9 @@ def polygon_descriptors(rows: DataFrame, polygon: str = "polygon", cap: int = 4,
             at = pa.array(source, pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in others), pa.array(number, pa.int32()), *(pa.array(v, pa.float32()) for v in values)], names=[*others, "triangle_idx", "alpha1", "alpha2", "e1", "e2", "e3", "centroid_x", "centroid_y"])
 
-    return rows.select(*others, polygon).mapInArrow(run, schema)
+    # The work for a polygon far exceeds its bytes, so files do not set the number of tasks.
+    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select(*others, polygon).repartition(spread).mapInArrow(run, schema)
 
 
 def as_vector(descriptors: DataFrame) -> DataFrame:
