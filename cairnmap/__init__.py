@@ -1 +1,13 @@
 """Retrieval-style localization analytics on Spark DataFrames."""
+
+from .operators.knn import knn_join
+from .operators.tiles import tile_count, tile_grid
+from .plans.localize import build_index, image_descriptors, k_sweep, locate, match, query_images, report
+
+
+def query_top_n_patches(queries, index, patches, n: int = 100, k: int = 5):
+    """(image, top_n) of the n most voted patches."""
+    return query_images(queries, index, patches, k=k, n=n).select("image", "top_n")
+
+
+__all__ = ["build_index", "image_descriptors", "k_sweep", "knn_join", "locate", "match", "query_images", "query_top_n_patches", "report", "tile_count", "tile_grid"]
