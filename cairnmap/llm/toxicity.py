@@ -44,7 +44,8 @@ def sample_of(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_o
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (crc_fold("doc_id", folds) != held_out)).groupBy("doc_id").agg(F.max(label).alias("label"))
     share = min(1.0, most / max(1, known.count()))
     picked = known.where((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))))
-    return docs.select("doc_id", "text").join(picked, "doc_id").select(F.xxhash64("doc_id", F.lit(1)).alias("key"), F.col("label").cast("int").alias("label"), "text")
+    # The sample has a bound, so it goes to the texts.
+    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select(F.xxhash64("doc_id", F.lit(1)).alias("key"), F.col("label").cast("int").alias("label"), "text")
 
 
 def _extract(batches):
