@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -34,16 +34,20 @@ def match(queries: DataFrame, index: DataFrame, k: int = 5, p: int = 1, dims: tu
 def query_images(queries: DataFrame, index: DataFrame, patches: DataFrame, k: int = 5, p: int = 1, weighted: bool = False, top1: bool = False, dims: tuple[int, int] | None = None, n: int = 100) -> DataFrame:
     """A row for each image with matches: winner, its centre, votes, runner-up, margin, all votes, the n best patches."""
     matches = match(queries, index, 1 if top1 else k, p, dims)
-    image = ("image",)
-    if top1:
-        best = vote.top_one(matches, image).select("image", "winner")
-    else:
-        best = vote.weighted(matches, image).select("image", "winner") if weighted else vote.plurality(matches, image).select("image", "winner")
-    detail = vote.plurality(matches, image).drop("winner")
-    ranked = vote.ranked_votes(vote.vote_counts(matches, image), image, by="weight" if weighted else "votes", n=n).join(patches.select("patch", "centroid_x", "centroid_y"), "patch")
-    top = ranked.groupBy("image").agg(F.sort_array(F.collect_list(F.struct("rank", "patch", "centroid_x", "centroid_y", "votes"))).alias("top_n"))
-    centre = patches.select(F.col("patch").alias("winner"), F.col("centroid_x").alias("pred_px_x"), F.col("centroid_y").alias("pred_px_y"))
-    return best.join(centre, "winner").join(detail, "image").join(vote.vote_map(matches, image), "image").join(top, "image").withColumn("k", F.lit(k))
+    by = "weight" if weighted else "votes"
+    counts = matches.groupBy("image", "patch").agg(F.count("*").alias("votes"), F.sum(1 / (1 + F.col("distance"))).alias("weight"), F.min(F.struct("distance", "query_id", "index_id")).alias("closest"))
+    # The counts are ranked, mapped and summed per image in one pass after one shuffle of voted patches.
+    best = Window.partitionBy("image").orderBy(F.asc("closest") if top1 else F.desc(by), F.asc("patch"))
+    ranked = counts.join(patches.select("patch", "centroid_x", "centroid_y"), "patch").withColumns({"rank": F.row_number().over(best), "by_votes": F.row_number().over(Window.partitionBy("image").orderBy(F.desc("votes"), F.asc("patch")))})
+    first = lambda c: F.max(F.when(F.col("rank") == 1, F.col(c)))
+    entry = F.when(F.col("rank") <= n, F.struct("rank", "patch", "centroid_x", "centroid_y", "votes"))
+    out = ranked.groupBy("image").agg(
+        first("patch").alias("winner"), first("centroid_x").alias("pred_px_x"), first("centroid_y").alias("pred_px_y"),
+        F.max("votes").alias("votes"), F.coalesce(F.max(F.when(F.col("by_votes") == 2, F.col("votes"))), F.lit(0)).alias("runner_up"),
+        F.sum("votes").alias("total_votes"), F.count("*").alias("n_voted"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("patch", "votes")))).alias("all_votes"), F.sort_array(F.collect_list(entry)).alias("top_n"),
+    )
+    return out.withColumns({"margin": F.col("votes") - F.col("runner_up"), "k": F.lit(k)})
 
 
 def locate(results: DataFrame, sites: DataFrame, poses: DataFrame) -> DataFrame:

@@ -573,8 +573,9 @@ def locate_images(spark, sf_dir):
     """Build an index of star polygons, locate jittered copies of every twentieth tile's polygons, end to end."""
     stars = _stars(spark, sf_dir).withColumn("patch_id", F.format_string("tile_%04d", "vec_id"))
     tiles_ = stars.groupBy("vec_id", "patch_id").agg(F.sort_array(F.collect_list(F.struct("polygon_idx", "polygon"))).alias("p")).select(F.lit("01").alias("site"), "vec_id", "patch_id", F.array(F.lit(0), F.lit(0)).alias("tl"), F.transform("p", lambda x: x["polygon"]).alias("polygons"))
-    index, patches = localize.build_index(tiles_)
+    index = localize.build_index(tiles_)[0].persist()
+    patches = vote.patch_centroids(index, "patch", "centroid_x", "centroid_y")
     jitter = lambda x, y, s: F.round(x + (F.pmod(F.xxhash64(x, y, F.lit(s)), F.lit(1000)) / 1000 - 0.5), 6)
     images = tiles_.where("vec_id % 20 = 0").select(F.col("patch_id").alias("image"), F.transform("polygons", lambda p: F.transform(p, lambda q: F.array(jitter(q[0], q[1], 1), jitter(q[0], q[1], 2)))).alias("polygons"))
-    found = localize.query_images(localize.image_descriptors(images), index, patches, n=5)
+    found = localize.query_images(localize.image_descriptors(images).persist(), index, patches, n=5)
     return found.select("image", "winner", "votes", "runner_up", "margin", "total_votes", "pred_px_x", "pred_px_y")
