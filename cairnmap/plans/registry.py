@@ -576,6 +576,6 @@ def locate_images(spark, sf_dir):
     index = localize.build_index(tiles_)[0].persist()
     patches = vote.patch_centroids(index, "patch", "centroid_x", "centroid_y")
     jitter = lambda x, y, s: F.round(x + (F.pmod(F.xxhash64(x, y, F.lit(s)), F.lit(1000)) / 1000 - 0.5), 6)
-    images = tiles_.where("vec_id % 20 = 0").select(F.col("patch_id").alias("image"), F.transform("polygons", lambda p: F.transform(p, lambda q: F.array(jitter(q[0], q[1], 1), jitter(q[0], q[1], 2)))).alias("polygons"))
+    images = tiles_.where("vec_id % 20 = 0").select(F.col("patch_id").alias("image"), F.transform("polygons", lambda p: F.transform(p, lambda q: F.array(jitter(q[0], q[1], 1), jitter(q[1], q[0], 2)))).alias("polygons"))
     found = localize.query_images(localize.image_descriptors(images).persist(), index, patches, n=5)
     return found.select("image", "winner", "votes", "runner_up", "margin", "total_votes", "pred_px_x", "pred_px_y")
