@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 
 from . import tokens
 from .components import components
-from .work import Work, table
+from .work import Work, small, table
 
 HALVES, HALF_ROWS = 9, 2
 BITS = 1024
+#: The most ids that are broadcast (16 MB).
+FEW = 1_000_000
 
 
 def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -142,9 +144,13 @@ def near_duplicates(docs: DataFrame, work: Work, k: int = 5, percent: int = 80,
     stars = active.where("id <> hub").where(fits("n", "hub_n")).groupBy("id", "hub").agg(F.count("*").alias("votes"))
     best = work.save(stars.groupBy("id").agg(F.max_by("hub", F.struct("votes", -F.col("hub"))).alias("hub")).select(F.col("id").alias("a"), F.col("hub").alias("b")), "best")
 
-    blobs = linked.select("doc_id", "blob")
+    def texts_of(ids: DataFrame) -> DataFrame:
+        """(doc_id, blob) of the ids; few ids go to the texts, many meet them in a shuffle."""
+        ids = ids.distinct().withColumnRenamed("id", "doc_id")
+        return linked.select("doc_id", "blob").join(F.broadcast(ids) if small(ids, FEW) else ids, "doc_id", "left_semi")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
+        blobs = texts_of(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))))
         with_a = pairs.join(blobs.select(F.col("doc_id").alias("a"), F.col("blob").alias("blob_a")), "a")
         with_b = with_a.join(blobs.select(F.col("doc_id").alias("b"), F.col("blob").alias("blob_b")), "b")
         return with_b.select("a", "b", "blob_a", "blob_b").mapInArrow(verifier(k, percent), "a long, b long")
@@ -160,7 +166,7 @@ def near_duplicates(docs: DataFrame, work: Work, k: int = 5, percent: int = 80,
     open_ = labelled(active.select("key", "id", "n"), "id", "c")
     mixed = open_.groupBy("key").agg(F.min("c").alias("u"), F.max("c").alias("v")).where("u <> v").select("key")
     open_ = work.save(open_.join(mixed, "key").select("id", "c").distinct(), "open")
-    sets = work.save(open_.join(blobs.withColumnRenamed("doc_id", "id"), "id").select("id", "c", "blob").mapInArrow(exploder(k), "id long, c long, n int, bits array<long>, gs array<long>"), "sets")
+    sets = work.save(open_.join(texts_of(open_.select("id")).withColumnRenamed("doc_id", "id"), "id").select("id", "c", "blob").mapInArrow(exploder(k), "id long, c long, n int, bits array<long>, gs array<long>"), "sets")
     each = sets.select("id", "c", "n", F.explode("gs").alias("g"))
     shared = each.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
     # Shingles of one node only come first in the order, so the place r of the others follows from their number.
