@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 #: Queries of one block; with 64 single-precision components, 4 MB.
 BLOCK = 16_384
-_ROWS = 2_048
+#: A piece of distances stays in a core's cache.
+_ROWS, _QUERIES = 1_024, 64
 
 
 def _matrix(column: pa.Array, dim: int | None = None) -> np.ndarray:
@@ -28,11 +29,18 @@ def _matrix(column: pa.Array, dim: int | None = None) -> np.ndarray:
 
 def distances(q: np.ndarray, s: np.ndarray, p: int) -> np.ndarray:
     """Minkowski distances of all rows of q to all rows of s, summed component by component in double precision."""
-    total = np.zeros((len(q), len(s)))
+    total, d = np.zeros((len(q), len(s))), np.empty((len(q), len(s)))
+    across = np.ascontiguousarray(s.T)
     for j in range(q.shape[1]):
-        d = np.abs(q[:, j, None] - s[None, :, j])
-        total += d if p == 1 else d**p
-    return total if p == 1 else total ** (1 / p)
+        np.subtract(q[:, j, None], across[j], out=d)
+        if p == 2:
+            np.multiply(d, d, out=d)
+        else:
+            np.abs(d, out=d)
+            if p > 2:
+                np.power(d, p, out=d)
+        total += d
+    return total if p == 1 else np.sqrt(total) if p == 2 else total ** (1 / p)
 
 
 def _best(rows: list[np.ndarray], k: int) -> list[np.ndarray]:
@@ -66,22 +74,28 @@ def knn_join(queries: DataFrame, index: DataFrame, k: int, p: int = 1, query_id:
         def run(batches, shared=shared):
             ids, q = shared.value
             kept: list[list[np.ndarray]] = []
-            size = 0
+            # No row beyond the k-th distance found so far can count; ties with it still can, by id.
+            size, bound = 0, np.full(len(ids), np.inf)
             for batch in batches if len(ids) else ():
                 for lo in range(0, batch.num_rows, _ROWS):
                     piece = batch.slice(lo, _ROWS)
                     own, s = piece.column(0).to_numpy(), _matrix(piece.column(1), q.shape[1])
-                    for a in range(0, len(q), 512):
-                        d = distances(q[a : a + 512], s, p)
+                    for a in range(0, len(q), _QUERIES):
+                        d = distances(q[a : a + _QUERIES], s, p)
                         if skip_same_id:
-                            d[ids[a : a + 512, None] == own[None, :]] = np.inf
-                        most = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
-                        r, c = np.nonzero((d <= most[:, None]) & np.isfinite(d))
+                            d[ids[a : a + _QUERIES, None] == own[None, :]] = np.inf
+                        limit = bound[a : a + _QUERIES]
+                        if d.shape[1] >= k and np.isinf(limit).any():
+                            limit = bound[a : a + _QUERIES] = np.minimum(limit, np.partition(d, k - 1, axis=1)[:, k - 1])
+                        r, c = np.nonzero((d <= limit[:, None]) & (d < np.inf))
                         kept.append([r + a, d[r, c], own[c]])
                         size += len(r)
-                if size > 4 * k * len(q):
-                    kept = [_best(kept, k)]
-                    size = len(kept[0][0])
+                    if size > 4 * k * len(q):
+                        kept = [_best(kept, k)]
+                        at, far = kept[0][0], kept[0][1]
+                        full = np.flatnonzero(np.bincount(at, minlength=len(ids)) == k)
+                        bound[full] = np.minimum(bound[full], far[np.searchsorted(at, full, "right") - 1])
+                        size = len(at)
             r, d, i = _best(kept, k)
             yield pa.RecordBatch.from_arrays([pa.array(ids[r] if len(ids) else r), pa.array(i), pa.array(d)], names=["query_id", "index_id", "distance"])
 
