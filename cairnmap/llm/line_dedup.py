@@ -61,6 +61,8 @@ def delete_repeats(docs: DataFrame, work: Work, min_words: int = MIN_WORDS, wind
     deleted = both.select("d", "t", runs.alias("runs")).where(F.size("runs") > 0)
     deleted = work.save(deleted.groupBy("d", "t").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs")), "deleted")
 
+    work.drop("arrays", "pairs")
+
     wide = docs.withColumns({"_rl_d": doc, "_rl_t": half}).join(deleted.select(F.col("d").alias("_rl_d"), F.col("t").alias("_rl_t"), F.col("runs").alias("_rl_runs")).hint("merge"), ["_rl_d", "_rl_t"], "left")
     split_ = F.expr(f"split(text, '{CUT}')")
     wide = wide.withColumn("_rl_s", split_).withColumn("_rl_k", F.when(F.col("_rl_runs").isNotNull(), F.expr("filter(_rl_s, (x, i) -> not exists(_rl_runs, r -> i >= r.a and i < r.b))")))

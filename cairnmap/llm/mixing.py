@@ -75,6 +75,8 @@ def mix_sources(docs: DataFrame, work: Work, weights=(5, 2, 1), most: int = 3, s
     plan = here.join(cuts, F.expr("s <=> s3"), "left").drop("s3").join(open_, F.expr("s <=> s5"), "left").drop("s5")
     plan = work.save(plan.select(*(F.col(c).alias(f"_{c}") for c in ("s", "source_size", "target", "rate", "edge_bin", "last", "left"))), "plan")
 
+    work.drop("sized", "targets", "bins")
+
     if "mix_size" not in docs.columns:
         docs = docs.withColumn("mix_size", size)
     df = docs.withColumns({"_own": own, "_key": key}).join(plan, F.expr("source <=> _s"), "left")

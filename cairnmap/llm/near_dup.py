@@ -184,6 +184,7 @@ def near_duplicates(docs: DataFrame, work: Work, k: int = 5, percent: int = 80,
     if found.take(1):
         labels = components(edges.unionByName(found), work, "c2")
 
+    work.drop("active", "best", "edges-1", "edges-2", "open", "sets", "prefix", "pairs-2")
     out = sig.select("doc_id", "n", "lo", "hi").join(nodes.select("lo", "hi", "n", "id"), ["lo", "hi", "n"], "left")
     out = labelled(out.withColumn("id", F.when(F.col("doc_id").isNotNull(), F.coalesce("id", "doc_id"))), "id", "component_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -49,6 +49,7 @@ class Work:
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, *names: str) -> None:
+        """Deletes tables that nothing reads any more; without names, all of the run's."""
         jvm = self.spark.sparkContext._jvm
         for name in names or [""]:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
