@@ -59,6 +59,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     work, docs = Work(spark, "pipeline"), table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES:
         docs = work.save(stage(spark, docs, sf_dir), name)
+        if before:
+            work.drop(before)
+        before = name
     return docs
