@@ -101,9 +101,9 @@ def boundary_loop(region: list[tuple[int, int, int]]) -> list[int] | None:
     return loop if len(loop) == len(near) else None
 
 
-def kernel(triangles: list[tuple[int, int, int]], seed: int, cap: int) -> list[int]:
+def kernels(triangles: list[tuple[int, int, int]], seed: int, cap: int) -> list[list[int]]:
     """Grows a region from a seed triangle by up to ``cap`` neighbours, each the first in order that leaves one simple
-    boundary on which all three seed vertices lie.  Gives the boundary's vertices in order."""
+    boundary on which all three seed vertices lie.  Gives the boundary's vertices in order, before and after each step."""
     by_edge: dict[tuple[int, int], list[int]] = {}
     for i, (a, b, c) in enumerate(triangles):
         for e in ((a, b), (b, c), (a, c)):
@@ -113,18 +113,18 @@ def kernel(triangles: list[tuple[int, int, int]], seed: int, cap: int) -> list[i
         a, b, c = triangles[i]
         return {j for e in ((a, b), (b, c), (a, c)) for j in by_edge[e]} - {i}
 
-    region, front, loop = {seed}, neighbours(seed), list(triangles[seed])
+    region, front, loops = {seed}, neighbours(seed), [list(triangles[seed])]
     for _ in range(cap):
         for j in sorted(front):
             grown = boundary_loop([triangles[i] for i in sorted(region | {j})])
             if grown is not None and set(triangles[seed]) <= set(grown):
                 region.add(j)
                 front = (front | neighbours(j)) - region
-                loop = grown
+                loops.append(grown)
                 break
         else:
             break
-    return loop
+    return loops
 
 
 def opening_angles(points: np.ndarray, loop: list[int], vertices) -> list[float]:
@@ -156,15 +156,25 @@ def angles(a, b, c) -> list[float]:
     return sorted([first, second, 180 - first - second])
 
 
-def descriptors(polygon, cap: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """((T, 5) single-precision descriptors, (T, 2) triangle centres); empty for under three vertices or no triangle."""
+def descriptors_by_cap(polygon, caps) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each growth cap the (T, 5) single-precision descriptors, and the (T, 2) triangle centres; empty for under three
+    vertices or no triangle.  One triangulation and one growth serve all caps."""
     pts = np.asarray(polygon, float).reshape(-1, 2)
     triangles = interior_triangles(pts) if len(pts) >= 3 else []
-    rows, centres = [], []
+    rows, centres = [[] for _ in caps], []
     for i, t in enumerate(triangles):
-        rows.append([*angles(*pts[list(t)])[:2], *sorted(opening_angles(pts, kernel(triangles, i, cap), t))])
+        loops, inner = kernels(triangles, i, max(caps)), angles(*pts[list(t)])[:2]
+        open_ = [sorted(opening_angles(pts, loop, t)) for loop in loops]
+        for out, cap in zip(rows, caps):
+            out.append([*inner, *open_[min(cap, len(loops) - 1)]])
         centres.append(pts[list(t)].mean(0))
-    return np.array(rows, np.float32).reshape(-1, 5), np.array(centres, np.float32).reshape(-1, 2)
+    return [np.array(r, np.float32).reshape(-1, 5) for r in rows], np.array(centres, np.float32).reshape(-1, 2)
+
+
+def descriptors(polygon, cap: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """((T, 5) descriptors, (T, 2) triangle centres) for one growth cap."""
+    found, centres = descriptors_by_cap(polygon, (cap,))
+    return found[0], centres
 
 
 def simplify(polygon, tolerance: float) -> np.ndarray:

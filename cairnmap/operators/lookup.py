@@ -53,7 +53,7 @@ def match_bounds(names: DataFrame, bounds: DataFrame, name: str = "name", map_:
     hit = tier1.unionByName(tier2)
     missed = left.join(hit.select(name).distinct(), name, "left_anti")
     inside = F.contains("_mn", "_n") | F.contains("_mn", "_p") | F.contains("_mp", "_p")
-    tier3 = missed.join(F.broadcast(right), inside).select(name, F.lit(3).alias("tier"), order, row)
+    tier3 = missed.join(right, inside).select(name, F.lit(3).alias("tier"), order, row)
     best = hit.unionByName(tier3).groupBy(name).agg(F.min_by("_row", F.struct("tier", order)).alias("_row"), F.min("tier").alias("tier"))
     return names.join(best, name, "left").select(*names.columns, "tier", *(F.col(f"_row.{c}").alias(c) for c in bounds.columns if c not in names.columns))
 

@@ -18,29 +18,35 @@ def explode_polygons(rows: DataFrame, polygons: str = "polygons") -> DataFrame:
     return rows.select(*others, F.posexplode(polygons).alias("polygon_idx", "polygon")).where(F.size("polygon") >= 3)
 
 
-def polygon_descriptors(rows: DataFrame, polygon: str = "polygon", cap: int = 4, offset: tuple[str, str] | None = None) -> DataFrame:
+def polygon_descriptors(rows: DataFrame, polygon: str = "polygon", cap: int | tuple[int, ...] = 4, offset: tuple[str, str] | None = None) -> DataFrame:
     """A row for each interior triangle of each polygon: the other columns, triangle_idx, alpha1, alpha2, e1, e2, e3 and the
-    triangle's centre (moved by the offset columns).  Null and degenerate polygons give no row."""
+    triangle's centre (moved by the offset columns).  Null and degenerate polygons give no row.  With several caps
+    the rows of each, and its number in column cap."""
+    caps = cap if isinstance(cap, tuple) else (cap,)
     others = [c for c in rows.columns if c != polygon]
     schema = rows.select(*others).schema.add("triangle_idx", "integer")
     for c in ("alpha1", "alpha2", "e1", "e2", "e3", "centroid_x", "centroid_y"):
         schema = schema.add(c, "float")
+    if caps is cap:
+        schema = schema.add("cap", "integer")
     moves = offset or ()
 
     def run(batches):
         for batch in batches:
-            source, number, values = [], [], [[] for _ in range(7)]
+            source, number, grown, values = [], [], [], [[] for _ in range(7)]
             shift = [batch.column(c).to_pylist() for c in moves]
             for i, p in enumerate(batch.column(polygon).to_pylist()):
-                d, c = geometry.descriptors(p, cap) if p else ((), ())
-                for t in range(len(d)):
-                    source.append(i)
-                    number.append(t)
-                    move = [s[i] for s in shift] or [0, 0]
-                    for k, v in enumerate([*d[t], c[t][0] + move[0], c[t][1] + move[1]]):
-                        values[k].append(float(v))
+                each, c = geometry.descriptors_by_cap(p, caps) if p else ((), ())
+                move = [s[i] for s in shift] or [0, 0]
+                for n, d in zip(caps, each):
+                    for t in range(len(d)):
+                        source.append(i)
+                        number.append(t)
+                        grown.append(n)
+                        for k, v in enumerate([*d[t], c[t][0] + move[0], c[t][1] + move[1]]):
+                            values[k].append(float(v))
             at = pa.array(source, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in others), pa.array(number, pa.int32()), *(pa.array(v, pa.float32()) for v in values)], names=[*others, "triangle_idx", "alpha1", "alpha2", "e1", "e2", "e3", "centroid_x", "centroid_y"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in others), pa.array(number, pa.int32()), *(pa.array(v, pa.float32()) for v in values), *([pa.array(grown, pa.int32())] if caps is cap else [])], names=schema.names)
 
     # The work for a polygon far exceeds its bytes, so files do not set the number of tasks.
     spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))

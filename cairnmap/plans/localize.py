@@ -9,7 +9,7 @@ from ..functions import geo
 from ..operators import knn, metrics, polygons, vote
 
 
-def build_index(tiles: DataFrame, cap: int = 4) -> tuple[DataFrame, DataFrame]:
+def build_index(tiles: DataFrame, cap: int | tuple[int, ...] = 4) -> tuple[DataFrame, DataFrame]:
     """tiles (site, patch_id, tl, polygons) -> (descriptor rows with vec and descriptor_id, patch table).  Patch ids are
     unique across sites: site/patch_id."""
     each = polygons.explode_polygons(tiles).withColumns({"left": F.get("tl", 0), "top": F.get("tl", 1)})
@@ -72,11 +72,7 @@ def k_sweep(matches: DataFrame, ks: tuple[int, ...], image: tuple[str, ...] = ("
 
 def depth_sweep(tiles: DataFrame, caps: tuple[int, ...] = (0, 1, 2, 8)) -> DataFrame:
     """Descriptor rows for several growth caps, in one table with a column cap."""
-    out = None
-    for cap in caps:
-        rows = build_index(tiles, cap)[0].withColumn("cap", F.lit(cap))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    return build_index(tiles, caps)[0]
 
 
 def report(records: DataFrame) -> dict[str, DataFrame]:

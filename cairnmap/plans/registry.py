@@ -181,7 +181,7 @@ def nearest_candidate(spark, sf_dir):
     rows = t(spark, sf_dir, "embeddings").select("vec_id", "label", F.lit(1).alias("map"), F.col("embedding")[0].cast("double").alias("px"), F.col("embedding")[1].cast("double").alias("py"))
     centres = rows.groupBy("map", "label").agg(F.avg("px").alias("cx"), F.avg("py").alias("cy"))
     points = rows.where("vec_id % 20 = 0").select("vec_id", "map", "px", "py")
-    both = points.join(F.broadcast(centres), "map")
+    both = points.join(centres, "map")
     d2 = (F.col("px") - F.col("cx")) ** 2 + (F.col("py") - F.col("cy")) ** 2
     return rounded(both.groupBy("vec_id").agg(F.min_by("label", F.struct(d2, "label")).alias("label"), F.sqrt(F.min(d2)).alias("distance")))
 
@@ -380,14 +380,14 @@ def area_filters(spark, sf_dir):
 
 @query("""WITH b AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
 p AS (SELECT l.label AS image, l.vec_id AS left_id, r.vec_id AS right_id, greatest(least(l.x, r.x) + 0.5 - greatest(l.x, r.x), 0) * greatest(least(l.y, r.y) + 0.5 - greatest(l.y, r.y), 0) AS i
-  FROM b l JOIN b r ON l.label = r.label AND l.vec_id % 20 = 0 AND r.vec_id % 20 <> 0),
+  FROM b l JOIN b r ON l.label = r.label AND l.vec_id % 20 = 0 AND r.vec_id <> l.vec_id),
 q AS (SELECT *, i / (0.25 + 0.25 - i + 1e-6) AS iou FROM p)
 SELECT image, left_id, arg_max(right_id, (iou, -right_id)) AS right_id, round(max(iou), 6) AS iou FROM q GROUP BY image, left_id HAVING max(iou) > 0.5""")
 def box_iou_match(spark, sf_dir):
     rows = t(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("image"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
     side = lambda df, s: df.select("image", F.col("vec_id").alias(f"{s}_id"), F.col("x").alias(f"{s}x"), F.col("y").alias(f"{s}y"))
     box = lambda s: [F.col(f"{s}x"), F.col(f"{s}y"), F.col(f"{s}x") + 0.5, F.col(f"{s}y") + 0.5]
-    return rounded(metrics.iou_matches(side(rows.where("vec_id % 20 = 0"), "left"), side(rows.where("vec_id % 20 <> 0"), "right"), "image", "left_id", "right_id", geo.box_iou(box("left"), box("right"))))
+    return rounded(metrics.iou_matches(side(rows.where("vec_id % 20 = 0"), "left"), side(rows, "right"), "image", "left_id", "right_id", F.when(F.col("left_id") != F.col("right_id"), geo.box_iou(box("left"), box("right")))))
 
 
 @query("""WITH e AS (SELECT user_id AS pixel, value / 500 AS v, greatest(0.001, 1 - abs(event_id % 100 - 49.5) / 49.5) AS w FROM events)
@@ -556,11 +556,8 @@ def polygon_descriptors(spark, sf_dir):
 
 @query(None)
 def dmax_sweep(spark, sf_dir):
-    stars, out = _stars(spark, sf_dir), None
-    for cap in (0, 1, 2, 4, 8):
-        rows = polygons.polygon_descriptors(stars, cap=cap).groupBy(F.lit(cap).alias("cap")).agg(F.count("*").alias("n"), F.avg("e1").alias("mean_e1"), F.min("e1").alias("min_e1"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    rows = polygons.polygon_descriptors(_stars(spark, sf_dir), cap=(0, 1, 2, 4, 8))
+    return rows.groupBy("cap").agg(F.count("*").alias("n"), F.avg("e1").alias("mean_e1"), F.min("e1").alias("min_e1"))
 
 
 @query(None)

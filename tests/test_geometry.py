@@ -92,3 +92,11 @@ def test_masks(spark):
     rows = spark.createDataFrame([("a", [[0.0] * 20] * 5 + [[0.0] * 5 + [0.9] * 10 + [0.0] * 5] * 10), ("b", [[0.1]]), ("c", None)], "image string, mask array<array<double>>")
     got = {r.image: r.polygons for r in polygons.masks_to_polygons(rows).collect()}
     assert len(got["a"]) == 1 and len(got["a"][0]) == 4 and got["b"] == [] and got["c"] == []
+
+
+def test_several_caps_equal_single_ones(spark):
+    rows = spark.createDataFrame([("c", [[float(x), float(y)] for x, y in C_SHAPE])], "patch_id string, polygon array<array<double>>")
+    got = polygons.polygon_descriptors(rows, cap=(0, 1, 4)).toPandas()
+    for cap in (0, 1, 4):
+        mine = got[got.cap == cap].sort_values("triangle_idx")
+        assert np.array_equal(mine[["alpha1", "alpha2", "e1", "e2", "e3"]].to_numpy(np.float32), g.descriptors(C_SHAPE, cap)[0])
