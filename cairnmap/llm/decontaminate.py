@@ -8,10 +8,13 @@ are verified by the edit distance, in words, between the item and the best stret
 
 Windows start at every word of a text.  A window takes part if as many of its words occur in items as an item within the
 allowed distance needs; this filter loses nothing.  Walks end as soon as no item has the sampled prefix.
+A candidate also has to share enough words with the item, counted with repeats, before its edit distance is computed.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -59,81 +62,84 @@ class Matcher:
         for g, members in self.groups.items():
             least = min(len(w) for _, w in members)
             rng = np.random.default_rng(1000 + g)
-            # The pointer moves on at every other step, so these steps read words that every item of the group has.
-            reach = max(1, 2 * least - 2)
+            # Steps below the least length read words that every item of the group has.
+            reach = least
             sampled = [np.sort(rng.choice(reach, min(SAMPLED, reach), replace=False)) for _ in range(repeats)]
             bits = [rng.integers(0, 1 << 63, reach, np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(repeats)]
-            inside = np.zeros(len(self.vocabulary), bool)
+            inside = np.zeros(len(self.vocabulary) + 1, bool)
             for _, w in members:
                 inside[np.searchsorted(self.vocabulary, w)] = True
+            starts = np.cumsum([0] + [len(w) for _, w in members])[:-1]
+            flat = np.concatenate([w for _, w in members])
             tables = []
             for r in range(repeats):
-                pad = max(len(w) for _, w in members) + 1
-                flat = np.zeros((len(members), pad), np.uint64)
-                for i, (_, w) in enumerate(members):
-                    flat[i, : len(w)] = w
-                keys = self.walk(flat.ravel(), np.arange(len(members)) * pad, np.arange(1, len(members) + 1) * pad - 1, sampled[r], bits[r])
-                tables.append((sampled[r], bits[r], keys))
-            self.tables[g] = (members, inside, tables)
+                keys = self.walk(flat, starts, sampled[r], bits[r])
+                order = np.argsort(keys[-1], kind="stable")
+                tables.append((sampled[r], bits[r], [np.unique(k) for k in keys[:-1]] + [keys[-1][order]], order))
+            bags = [Counter(w.tolist()) for _, w in members]
+            self.tables[g] = (members, inside, tables, bags)
 
     @staticmethod
-    def walk(words: np.ndarray, at: np.ndarray, end: np.ndarray, sampled: np.ndarray, bits: np.ndarray, want=None):
-        """Keys after each sampled step, or with ``want`` (such keys of items): the (window, item) pairs that agree on all."""
+    def walk(words: np.ndarray, at: np.ndarray, sampled: np.ndarray, bits: np.ndarray, want=None):
+        """Keys after each sampled step; with ``want`` (sorted keys of items for each such step), the start numbers and last
+        keys of the walks that agree with an item up to there.  A walk at the end of the words stays on the last."""
         at, rows, key, keys, s = at.copy(), np.arange(len(at)), np.zeros(len(at), np.uint64), [], 0
+        last = len(words) - 1
         for step in range(int(sampled[-1]) + 1):
-            read = np.where(at < end, words[np.minimum(at, len(words) - 1)], np.uint64(0))
+            read = words[at]
             if step == sampled[s]:
                 key = tokens.mix(key + read)
                 keys.append(key)
                 if want is not None:
-                    stay = np.isin(key, want[s], kind="sort")
-                    at, rows, key, read, end = at[stay], rows[stay], key[stay], read[stay], end[stay]
+                    stay = np.flatnonzero(want[s][np.minimum(np.searchsorted(want[s], key), len(want[s]) - 1)] == key)
+                    at, rows, key, read = at[stay], rows[stay], key[stay], read[stay]
                 s += 1
-                if s == len(sampled):
+                if s == len(sampled) or not len(at):
                     break
-            if not len(at):
-                break
-            at = np.minimum(at + ((read * bits[step]) >> np.uint64(63)).astype(np.int64), end)
-        if want is None:
-            return keys
-        order = np.argsort(want[-1], kind="stable")
-        left, right = (np.searchsorted(want[-1][order], key, side) for side in ("left", "right"))
-        return [(w, int(order[j])) for w, a, b in zip(rows.tolist(), left.tolist(), right.tolist()) for j in range(a, b)] if len(key) else []
+            at += ((read * bits[step]) >> np.uint64(63)).astype(np.int64)
+            np.minimum(at, last, out=at)
+        return keys if want is None else (rows, key)
 
     def find(self, h: np.ndarray, words: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(text, item key, distance, first word, word after the last) of the best match of each item in each text."""
         if not len(h) or not len(self.vocabulary):
             return []
-        code = np.full(len(h), -1, np.int64)
+        code = np.full(len(h), len(self.vocabulary), np.int64)
         maybe = np.flatnonzero(self.bitmap[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
         place = np.minimum(np.searchsorted(self.vocabulary, h[maybe]), len(self.vocabulary) - 1)
         real = self.vocabulary[place] == h[maybe]
         code[maybe[real]] = place[real]
         spots: dict[tuple[int, int, int], set[int]] = {}
-        for members, inside, tables in self.tables.values():
-            most, least = max(len(w) for _, w in members), min(len(w) for _, w in members)
+        for group, (members, inside, tables, _) in self.tables.items():
+            most = max(len(w) for _, w in members)
             need = min(len(w) - allowed(len(w), self.percent) for _, w in members)
-            sums = np.zeros(len(h) + 1, np.int32)
-            np.cumsum(inside[code] & (code >= 0), out=sums[1:])
-            stop = np.minimum(np.arange(len(h)) + most, len(h))
-            live = np.flatnonzero(sums[stop] - sums[:-1] >= need)
+            sums = np.zeros(len(h) + most + 1, np.int32)
+            np.cumsum(inside[code], out=sums[1 : len(h) + 1])
+            sums[len(h) + 1 :] = sums[len(h)]
+            live = np.flatnonzero(sums[most : most + len(h)] - sums[: len(h)] >= need)
             if not len(live):
                 continue
             doc = np.searchsorted(words, live, "right") - 1
-            end = words[doc + 1]
-            room = (end - live >= least - allowed(least, self.percent)) & (sums[np.minimum(live + most, end)] - sums[live] >= need)
-            live, doc, end = live[room], doc[room], end[room]
-            for sampled, bits, keys in tables:
-                for w, j in self.walk(h, live, np.minimum(end, live + most), sampled, bits, keys):
-                    spots.setdefault((int(doc[w]), id(members), j), set()).add(int(live[w]))
-        by_id, out = {id(m): m for m, _, _ in self.tables.values()}, []
+            room = sums[np.minimum(live + most, words[doc + 1])] - sums[live] >= need
+            live, doc = live[room], doc[room]
+            for sampled, bits, keys, order in tables:
+                rows, key = self.walk(h, live, sampled, bits, keys)
+                left, right = (np.searchsorted(keys[-1], key, side).tolist() for side in ("left", "right"))
+                for w, a, b in zip(rows.tolist(), left, right):
+                    for j in order[a:b].tolist():
+                        spots.setdefault((int(doc[w]), group, j), set()).add(int(live[w]))
+        out = []
         for (doc, group, j), starts in spots.items():
-            key, item = by_id[group][j]
+            key, item = self.tables[group][0][j]
+            bag = self.tables[group][3][j]
             n, d, best, upto = len(item), allowed(len(item), self.percent), None, -1
             for p in sorted(starts):
                 lo, hi = max(int(words[doc]), p - d), min(int(words[doc + 1]), p + n + 2 * d)
                 if hi <= upto:
                     continue
+                # Each edit spoils one word of the item at most.
+                if (bag & Counter(h[lo:hi].tolist())).total() < n - d:
+                    continue
                 upto = hi
                 cost, stop = edit_distance(item, h[lo:hi])
                 if cost <= d and (best is None or cost < best[0]):
