@@ -112,6 +112,14 @@ def seek_table(bundle: bytes) -> list[tuple[int, int, int]]:
     return out
 
 
+def read_seek_table(file) -> list[tuple[int, int, int]]:
+    """The seek table of an open file, from its end."""
+    size = file.size()
+    count = struct.unpack("<I", file.read_at(9, size - 9)[:4])[0]
+    tail = min(size, 17 + 8 * count)
+    return seek_table(file.read_at(tail, size - tail))
+
+
 def read_frame(bundle: bytes, entry: tuple[int, int, int]) -> bytes:
     import zstandard
 
@@ -169,37 +177,37 @@ def write_warc(pages: DataFrame, folder: str, least: int = LEAST_PAYLOAD, bundle
     return own.mapInArrow(run, INDEX)
 
 
-def read_warc(spark: SparkSession, folder: str, index: DataFrame) -> DataFrame:
-    """Reads every record of the index back through its frame -> page_id, payload_bytes, payload_digest, record_type,
+def read_warc(folder: str, index: DataFrame) -> DataFrame:
+    """Reads every record of the index back through the seek table and its frame; bundles are read where the index rows
+    are, no bytes of them move between tasks -> page_id, payload_bytes, payload_digest, record_type,
     refers_to, payload (null for revisits).  Digests of responses are computed anew and must agree with the record."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(at)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("bundle"), "content")
     wanted = index.groupBy("bundle").agg(F.sort_array(F.collect_list(F.struct("frame", "at", "length"))).alias("records"))
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
     def run(batches):
+        store, base = _store(folder)
         for batch in batches:
-            for i in range(batch.num_rows):
-                content, now, out = batch.column(0)[i].as_py(), (-1, b""), []
-                frames = seek_table(content)
-                for r in batch.column(1)[i].as_py():
-                    if now[0] != r["frame"]:
-                        now = (r["frame"], read_frame(content, frames[r["frame"]]))
-                    f = parse_record(now[1][r["at"] : r["at"] + r["length"]])
-                    kind, digest = f["WARC-Type"], f["WARC-Payload-Digest"].removeprefix("sha1:")
-                    if kind == "response" and (digest_of(f["payload"]) != digest or len(f["payload"]) != f["full_bytes"]):
-                        raise ValueError(f"record {f['WARC-Record-ID']} is damaged")
-                    out.append((page_of(f["WARC-Record-ID"]), f["full_bytes"], digest, kind, page_of(f["WARC-Refers-To"]) if kind == "revisit" else None, f["payload"] if kind == "response" else None))
+            for name, records in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with store.open_input_file(f"{base}/{name}") as file:
+                    frames, now, out = read_seek_table(file), (-1, b""), []
+                    for r in records:
+                        if now[0] != r["frame"]:
+                            at, packed, raw = frames[r["frame"]]
+                            now = (r["frame"], read_frame(file.read_at(packed, at), (0, packed, raw)))
+                        f = parse_record(now[1][r["at"] : r["at"] + r["length"]])
+                        kind, digest = f["WARC-Type"], f["WARC-Payload-Digest"].removeprefix("sha1:")
+                        if kind == "response" and (digest_of(f["payload"]) != digest or len(f["payload"]) != f["full_bytes"]):
+                            raise ValueError(f"record {f['WARC-Record-ID']} is damaged")
+                        out.append((page_of(f["WARC-Record-ID"]), f["full_bytes"], digest, kind, page_of(f["WARC-Refers-To"]) if kind == "revisit" else None, f["payload"] if kind == "response" else None))
                 yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()))], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
 
-    return files.join(wanted, "bundle").select("content", "records").mapInArrow(run, schema)
+    return wanted.select("bundle", "records").mapInArrow(run, schema)
 
 
 def op9_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Work(spark, "warc")
     index = work.save(write_warc(table(spark, sf_dir, "pages"), f"{work.path}/bundles"), "index")
-    return read_warc(spark, f"{work.path}/bundles", index).drop("payload")
+    return read_warc(f"{work.path}/bundles", index).drop("payload")
 
 
 _BITS = "(" + " || ".join(f"substr('0000000000000000' || bin(('0x' || substr(h, {1 + 4 * i}, 4))::INT), -16)" for i in range(10)) + ")"

@@ -97,7 +97,7 @@ def test_archive_round_trip(spark, work):
     pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, d int").repartition(3)
     w = work()
     index = w.save(warc.write_warc(pages, f"{w.path}/b", bundle=100_000, frame=1000), "i")
-    got = warc.read_warc(spark, f"{w.path}/b", index).collect()
+    got = warc.read_warc(f"{w.path}/b", index).collect()
     key = lambda r: (r[0] is None, r[0] or 0, r[1])
     assert sorted([(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got], key=key) == sorted(
         [(3, 4, "revisit", 1), (1, 4, "response", None), (1, 4, "response", None), (2, 0, "response", None), (5, 0, "revisit", 2), (None, 4, "revisit", 1), (None, 5, "response", None), (4, 1_200_000, "response", None)], key=key
@@ -105,13 +105,13 @@ def test_archive_round_trip(spark, work):
     assert all(r.payload_digest == warc.digest_of(bytes(r.payload)) for r in got if r.payload is not None)
     w = work()
     index = w.save(warc.write_warc(pages, f"{w.path}/b", least=5), "i")
-    assert {r.record_type for r in warc.read_warc(spark, f"{w.path}/b", index).collect()} == {"response"}
+    assert {r.record_type for r in warc.read_warc(f"{w.path}/b", index).collect()} == {"response"}
 
 
 def test_empty_archive(spark, work):
     pages, w = spark.createDataFrame([], "page_id long, url string, html string"), work()
     index = w.save(warc.write_warc(pages, f"{w.path}/b"), "i")
-    assert warc.read_warc(spark, f"{w.path}/b", index).count() == 0
+    assert warc.read_warc(f"{w.path}/b", index).count() == 0
 
 
 @pytest.mark.parametrize("module", [mixing, warc])
