@@ -1,11 +1,14 @@
 r"""Repeated runs of lines, found by winnowing over line hashes (Schleimer, Wilkerson, Aiken, 2003); DataFrame functions alone.
 
 A line ends at a newline, or at ``.``, ``!`` or ``?`` with a blank after 20 characters of one sentence.  Of every
-``window`` lines in a row the one with the least hash is a fingerprint; so is a line of ``min_words`` words or more by
-itself.  So each run of ``min_words`` words that two places share has a fingerprint at the same place in both.  Positions
-of a fingerprint join with its first position in the order (doc_id, text hash, line); the match is extended both ways
-while lines agree; runs of ``min_words`` words or more are deleted where they come later.  A group of copies is joined
-with its first member only, so the work follows the number of lines, not the square of a group.
+``window`` lines in a row the one with the least hash is a fingerprint (a blank line only among blank lines); so is a line
+of ``min_words`` words or more by itself.  So each run of ``min_words`` words that two places share has a fingerprint at
+the same place in both, and a run without a fingerprint that occurs elsewhere is not repeated.  Of the others, the
+tight runs (``min_words`` words or more, and less without the first or without the last line) get a hash of all their
+lines.  A tight run whose hash has an earlier place in the order (doc_id, text hash, line) is deleted there.  The tight
+runs in a longer repeated run cover it, and the first place of a hash holds the whole run, so a run goes if it occurs at
+any earlier place, whatever stands around it.  A group of copies is joined with its first member only, so the work
+follows the number of lines, not the square of a group.
 """
 
 from __future__ import annotations
@@ -19,13 +22,18 @@ CUT = r"(?<=\\n)|(?<=[.!?] )(?<=[^.!?\\n]{20}[.!?] )"
 MIN_WORDS, WINDOW = 25, 2
 
 
+def repeated(places: DataFrame) -> DataFrame:
+    """(h, d, at) -> h, d0, at0: the first place of each h that has several."""
+    place = F.struct("d", "at")
+    return places.groupBy("h").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f <> l").select("h", F.col("f.d").alias("d0"), F.col("f.at").alias("at0"))
+
+
 def delete_repeats(docs: DataFrame, work: Work, min_words: int = MIN_WORDS, window: int = WINDOW) -> DataFrame:
     """docs (doc_id, text, ...) -> its columns with the text without repeated runs, and n_lines, lines_deleted (int).
 
     A null text stays null (no lines); an empty one is one line; a text of which all lines are repeats becomes empty.  Words
     of a line are its blanks plus one (30,000 at most).  A null doc_id comes last in the order.  Rows that agree in doc_id and text are one
-    document and get the same result.  Lines that equal the line before them are matched with that line, not each with the
-    first of the streak.  Empty tables give empty results; other columns pass through, with any names but the two added and
+    document and get the same result.  An earlier place may overlap the later one.  Empty tables give empty results; other columns pass through, with any names but the two added and
     names that begin with ``_rl_``.  A text may have 2^24 lines.
     """
     doc, half = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), F.shiftleft(F.xxhash64("text").bitwiseAND(F.lit((1 << 39) - 1)), 24)
@@ -33,39 +41,41 @@ def delete_repeats(docs: DataFrame, work: Work, min_words: int = MIN_WORDS, wind
     words = lambda x: F.least(F.lit(30000), F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).cast("short")
     arrays = work.save(lines.select("d", "t", F.transform("s", lambda x: F.xxhash64(F.rtrim(x, F.lit(" \t\r\n")))).alias("h"), F.transform("s", words).alias("w")), "arrays")
 
+    value = F.transform("h", lambda x: F.when(x == F.xxhash64(F.lit("")), F.lit((1 << 63) - 1)).otherwise(x))
     starts = F.sequence(F.lit(0), F.greatest(F.size("h") - window, F.lit(0)))
-    least = lambda i: F.array_min(F.transform(F.slice("h", i + 1, window), lambda x, j: F.struct(x.alias("h"), (i + j).alias("p"))))["p"]
+    least = lambda i: F.array_min(F.transform(F.slice("v", i + 1, window), lambda x, j: F.struct(x.alias("h"), (i + j).alias("p"))))["p"]
     alone = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get("w", i) >= min_words)
-    places = F.array_distinct(F.concat(F.transform(starts, least), alone))
-    places = F.transform(F.filter(places, lambda p: (p == 0) | (F.get("h", p) != F.get("h", p - 1))), lambda p: F.struct(F.get("h", p).alias("h"), p.alias("p")))
-    picked = arrays.where(F.size("h") > 0).select("d", "t", F.explode(places).alias("m"))
+    places = F.transform(F.array_distinct(F.concat(F.transform(starts, least), alone)), lambda p: F.struct(F.get("h", p).alias("h"), p.alias("p")))
+    picked = arrays.where(F.size("h") > 0).withColumn("v", value).select("d", "t", F.explode(places).alias("m"))
     marks = picked.select("m.h", "d", F.col("t").bitwiseOR(F.col("m.p").cast("long")).alias("at"))
-    firsts = marks.groupBy("h").agg(F.min(F.struct("d", "at")).alias("f"), F.max(F.struct("d", "at")).alias("l")).where("f <> l").select("h", F.col("f.d").alias("d0"), F.col("f.at").alias("at0"))
+    # No side of these joins has a bound, so none is broadcast.
+    firsts = work.save(repeated(marks).select("h"), "firsts")
     low, high = F.lit((1 << 24) - 1), F.lit(~((1 << 24) - 1))
-    pairs = marks.join(firsts, "h").where("d <> d0 or at <> at0")
-    pairs = pairs.select("d", F.col("at").bitwiseAND(high).alias("t"), "d0", F.col("at0").bitwiseAND(high).alias("t0"), (F.col("at0").bitwiseAND(low) - F.col("at").bitwiseAND(low)).cast("int").alias("shift"))
-    streaks = arrays.where("exists(sequence(1, greatest(1, size(h) - 1)), i -> get(h, i) = h[i - 1])").select("d", "t", F.col("d").alias("d0"), F.col("t").alias("t0"), F.lit(-1).alias("shift"))
-    pairs = work.save(pairs.unionByName(streaks).groupBy("d", "t", "d0", "t0").agg(F.collect_set("shift").alias("shifts")), "pairs")
+    live = marks.join(firsts.hint("merge"), "h").select("d", F.col("at").bitwiseAND(high).alias("t"), F.col("at").bitwiseAND(low).cast("int").alias("p"))
+    live = live.groupBy("d", "t").agg(F.collect_set("p").alias("p"))
 
-    # Extension: on each shift, the maximal runs of equal lines, by one pass over the lines that both places have.
+    # A fingerprint among the first ``window`` lines of a run begins up to window - 1 lines after the run.
     one = arrays.groupBy("d", "t").agg(F.first("h").alias("h"), F.first("w").alias("w"))
-    # No side of these joins has a bound, so none is broadcast.
-    both = pairs.hint("merge").join(one, ["d", "t"]).join(one.select(F.col("d").alias("d0"), F.col("t").alias("t0"), F.col("h").alias("h0")).hint("merge"), ["d0", "t0"])
-    runs = F.expr(f"""flatten(transform(shifts, g -> aggregate(
-      sequence(greatest(0, -g), least(size(h), size(h0) - g)),
-      named_struct('a', -1, 'n', 0, 'out', cast(array() as array<struct<a: int, b: int>>)),
-      (s, i) -> if(i < least(size(h), size(h0) - g) and get(h, i) = get(h0, i + g),
-        named_struct('a', if(s.a < 0, i, s.a), 'n', s.n + get(w, i), 'out', s.out),
-        named_struct('a', -1, 'n', 0, 'out', if(s.n >= {min_words}, concat(s.out, array(named_struct('a', s.a, 'b', i))), s.out))),
+    tight = F.expr(f"""flatten(transform(array_distinct(flatten(transform(p, x -> sequence(greatest(0, x - {window - 1}), x)))), i -> aggregate(
+      sequence(i, least(size(h), i + {min_words}) - 1),
+      named_struct('n', 0, 'k', 0L, 'out', cast(array() as array<struct<h: bigint, a: int, b: int>>)),
+      (s, j) -> if(s.n - w[i] >= {min_words}, s, named_struct('n', s.n + w[j], 'k', xxhash64(s.k, h[j]), 'out',
+        if(s.n + w[j] >= {min_words} and (s.n < {min_words} or s.n + w[j] - w[i] < {min_words}), concat(s.out, array(named_struct('h', xxhash64(s.k, h[j]), 'a', i, 'b', j + 1))), s.out))),
       s -> s.out)))""")
-    deleted = both.select("d", "t", runs.alias("runs")).where(F.size("runs") > 0)
-    deleted = work.save(deleted.groupBy("d", "t").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs")), "deleted")
-
-    work.drop("arrays", "pairs")
-
-    wide = docs.withColumns({"_rl_d": doc, "_rl_t": half}).join(deleted.select(F.col("d").alias("_rl_d"), F.col("t").alias("_rl_t"), F.col("runs").alias("_rl_runs")).hint("merge"), ["_rl_d", "_rl_t"], "left")
+    runs = live.join(one.hint("merge"), ["d", "t"]).select("d", "t", F.explode(tight).alias("r"))
+    runs = work.save(runs.select("r.h", "d", F.col("t").bitwiseOR(F.col("r.a").cast("long")).alias("at"), (F.col("r.b") - F.col("r.a")).cast("short").alias("n")), "runs")
+    work.drop("arrays", "firsts")
+    first_runs = work.save(repeated(runs), "first_runs")
+    later = runs.join(first_runs.hint("merge"), "h").where("d <> d0 or at <> at0")
+    begin = F.col("at").bitwiseAND(low).cast("int")
+    deleted = later.groupBy("d", F.col("at").bitwiseAND(high).alias("t")).agg(F.collect_set(F.struct(begin.alias("a"), (begin + F.col("n")).alias("b"))).alias("runs"))
+    covered = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["a"], r["b"] - 1))))
+    deleted = work.save(deleted.select("d", "t", covered.alias("gone")), "deleted")
+    work.drop("runs", "first_runs")
+
+    wide = docs.withColumns({"_rl_d": doc, "_rl_t": half}).join(deleted.select(F.col("d").alias("_rl_d"), F.col("t").alias("_rl_t"), F.col("gone").alias("_rl_gone")).hint("merge"), ["_rl_d", "_rl_t"], "left")
     split_ = F.expr(f"split(text, '{CUT}')")
-    wide = wide.withColumn("_rl_s", split_).withColumn("_rl_k", F.when(F.col("_rl_runs").isNotNull(), F.expr("filter(_rl_s, (x, i) -> not exists(_rl_runs, r -> i >= r.a and i < r.b))")))
+    wide = wide.withColumn("_rl_s", split_).withColumn("_rl_k", F.when(F.col("_rl_gone").isNotNull(), F.expr("transform(array_except(sequence(0, size(_rl_s) - 1), _rl_gone), i -> _rl_s[i])")))
     text = F.when(F.col("_rl_k").isNull(), F.col("text")).otherwise(F.array_join("_rl_k", ""))
     n = F.coalesce(F.size("_rl_s"), F.lit(0))
     kept = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns]

@@ -117,6 +117,36 @@ def test_line_dedup_equals_brute_force(spark, work):
     assert any(got[i] != t for i, t in docs) and any(got[i] == t for i, t in docs)
 
 
+def any_earlier(docs, min_words):
+    """Runs of lines of min_words words or more that occur at any earlier place, by a set of all of them."""
+    seen, out = set(), {}
+    for i, text in sorted(docs):
+        parts = lines_of(text + "x")  # what follows the last line end is a line too, if an empty one
+        parts[-1] = parts[-1][:-1]
+        bare, gone = [x.rstrip(" \t\r\n") for x in parts], set()
+        for a in range(len(parts)):
+            for b in range(a + 1, len(parts) + 1):
+                if sum(len(x) - len(x.replace(" ", "")) + 1 for x in parts[a:b]) >= min_words:
+                    gone |= set(range(a, b)) if tuple(bare[a:b]) in seen else set()
+                    seen.add(tuple(bare[a:b]))
+        out[i] = "".join(x for j, x in enumerate(parts) if j not in gone)
+    return out
+
+
+def test_runs_go_whatever_stands_around_the_first_place_of_their_lines(spark, work):
+    rng = random.Random(4)
+    lines = [f"Line {c} has {'some ' * (i % 7)}words.\n" for i, c in enumerate("abcdefghijkl")] + ["\n", "\n", "A line that holds ten words or more all by itself here.\n"]
+    docs = [(i, "".join(rng.choice(lines) for _ in range(rng.randint(1, 14)))) for i in range(60)]
+    # Each line stands alone first; blank lines part the paragraphs; the passage comes whole in 101 and again in 102.
+    passage = "\n\n".join(f"Paragraph {c} of five words" for c in "pqrstuvw")
+    docs += [(70 + i, f"Other {i} start.\nParagraph {c} of five words\n\nOther end {i}.") for i, c in enumerate("pqrstuvw")]
+    docs += [(i, f"Own {i}.\n{passage}\nEnd {i}.") for i in (101, 102)]
+    want = any_earlier(docs, 10)
+    assert want != brute_lines(docs, 10, line_dedup.WINDOW) and want[102] == "Own 102.\nEnd 102."
+    got = {r.doc_id: r.text for r in line_dedup.delete_repeats(spark.createDataFrame(docs, "doc_id long, text string"), work(), min_words=10).collect()}
+    assert got == want
+
+
 def test_planted_passage_goes_once_seen(spark, work):
     passage = "".join(f"Sentence {c} of the shared passage has these {c} words in it. " for c in "abcdefgh")
     docs = [(i, f"Own start of document {i} here with some words of its own {i}.\n{passage}\nOwn end number {i}, nobody else has it.") for i in range(5)] + [(9, "A clean document. It has nothing in common.")]
