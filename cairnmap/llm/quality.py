@@ -1,7 +1,7 @@
 """Quality: random-indexing word vectors (Kanerva et al., 2000) pooled per document, then a two-layer network with a
 temperature that calibrates its probabilities.
 
-A word's vector is the sum of the sparse ternary index vectors of its neighbours, over a bounded sample of labelled rows.
+A word's vector is the sum of the sparse ternary index vectors of its neighbours, over all documents, labelled or not.
 Words share a hashed table of 2^WORD_BITS rows; a second, small part of the table holds word shapes (capitals, digits,
 marks, length, repeat of the word before), so that unseen words still say how a text looks.  The table is fixed in size
 (8 MB) and broadcast.  A document's vector is the mean of its words' and of its shapes' vectors.
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
+from .lm import pack, unpack
 from .toxicity import sample_of
 from .work import crc_fold, table
 
@@ -58,31 +59,35 @@ def index_vectors() -> np.ndarray:
 
 
 def _accumulate(batches):
-    index, total = index_vectors(), np.zeros((ROWS, DIM), np.float32)
+    """One task's partial sums over its texts, as pieces of the table."""
+    index, total = index_vectors(), np.zeros((ROWS, DIM), np.float64)
     for whole in batches:
-        for lo, hi in tokens.slices(tokens.byte_lengths(whole.column(2)), 1 << 20):
-            rows, shapes, words = word_rows(whole.column(2).slice(lo, hi - lo))
-            doc = np.repeat(np.arange(hi - lo), np.diff(words))
-            own = index[rows] + index[shapes]
-            near = np.zeros_like(own)
-            for gap in (1, 2):
-                same = (doc[gap:] == doc[:-gap])[:, None]
-                near[gap:] += own[:-gap] * same
-                near[:-gap] += own[gap:] * same
-            for target in (rows, shapes):
-                order = np.argsort(target, kind="stable")
-                at, first = np.unique(target[order], return_index=True)
-                if len(at):
-                    total[at] += np.add.reduceat(near[order], first)
+        for lo, hi in tokens.slices(tokens.byte_lengths(whole.column(0)), 1 << 20):
+            rows, shapes, words = word_rows(whole.column(0).slice(lo, hi - lo))
+            # Pieces of fixed length bound the memory of a very long text; two words more on each side are read.
+            for at in range(0, len(rows), 1 << 18):
+                a, upto, b = max(0, at - 2), min(len(rows), at + (1 << 18)), min(len(rows), at + (1 << 18) + 2)
+                own, doc = index[rows[a:b]] + index[shapes[a:b]], np.searchsorted(words, np.arange(a, b), "right")
+                near = np.zeros_like(own)
+                for gap in (1, 2):
+                    same = (doc[gap:] == doc[:-gap])[:, None]
+                    near[gap:] += own[:-gap] * same
+                    near[:-gap] += own[gap:] * same
+                near = near[at - a : upto - a]
+                for target in (rows[at:upto], shapes[at:upto]):
+                    order = np.argsort(target, kind="stable")
+                    found, first = np.unique(target[order], return_index=True)
+                    total[found] += np.add.reduceat(near[order], first)
     for c in range(0, ROWS, 4096):
-        yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([total[c : c + 4096].tobytes()])], names=["c", "v"])
+        if total[c : c + 4096].any():
+            yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([pack(total[c : c + 4096].astype(np.int64).ravel())])], names=["c", "v"])
 
 
 def _summed(batches):
     total: dict[int, np.ndarray] = {}
     for b in batches:
         for c, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            total[c] = total.get(c, 0) + np.frombuffer(v, np.float32).astype(np.float64)
+            total[c] = total.get(c, 0) + unpack(v, np.int64)
     for c, v in total.items():
         yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([v.astype(np.float32).tobytes()])], names=["c", "v"])
 
@@ -156,10 +161,13 @@ def train(x: np.ndarray, y: np.ndarray, units: int = 32, epochs: int = 40) -> di
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 4, held_out: int = 2, most: int = MAX_FIT) -> tuple[np.ndarray, dict]:
-    """(word and shape vectors, network), from about ``most`` labelled rows at most.  Without labelled rows: probability 1/2."""
+    """(word and shape vectors of all documents, network fitted on about ``most`` labelled rows at most).  Without labelled
+    rows: probability 1/2."""
     spark = docs.sparkSession
     rows = sample_of(docs, labels, label, folds, held_out, most)
-    got = rows.repartition(4, "key").mapInArrow(_accumulate, "c long, v binary").repartition(1).mapInArrow(_summed, "c long, v binary").toArrow()
+    # Sums of whole numbers are exact in any order.  Each task sends one table; pieces of it are added up apart.
+    sums = docs.select("text").mapInArrow(_accumulate, "c long, v binary")
+    got = sums.repartition(-(-ROWS // 4096), "c").mapInArrow(_summed, "c long, v binary").toArrow()
     vectors = np.zeros((ROWS, DIM), np.float32)
     for c, v in zip(got.column(0).to_pylist(), got.column(1).to_pylist()):
         vectors[c : c + 4096] = np.frombuffer(v, np.float32).reshape(-1, DIM)

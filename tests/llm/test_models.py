@@ -52,6 +52,24 @@ def test_quality_on_held_out_rows(spark):
     assert len(held) > 50 and np.mean([(s >= 0.7) == bool(q) for s, q in held]) >= 0.95
 
 
+def test_vectors_cover_all_documents(spark):
+    docs, labels, _ = corpus(spark, 60)
+    more = docs.unionByName(spark.createDataFrame([(1000, "seen unlabelled nowhere else unlabelled"), (1001, None), (1002, "unlabelled")], docs.schema)).repartition(3)
+    vectors, _ = quality.fit(more, labels)
+    # The definition, word by word: neighbours up to two words away, of all documents.
+    index, want = quality.index_vectors().astype(float), np.zeros((quality.ROWS, quality.DIM))
+    for r in more.collect():
+        rows, shapes, _ = quality.word_rows(pa.array([r.text]))
+        for i in range(len(rows)):
+            for j in {i - 2, i - 1, i + 1, i + 2} & set(range(len(rows))):
+                want[rows[i]] += index[rows[j]] + index[shapes[j]]
+                want[shapes[i]] += index[rows[j]] + index[shapes[j]]
+    assert np.allclose(vectors, want / np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9), atol=1e-6)
+    assert vectors[quality.word_rows(pa.array(["nowhere"]))[0]].any()
+    again, _ = quality.fit(more.repartition(7), labels)
+    assert np.array_equal(again, vectors)
+
+
 def test_network_learns_and_temperature_calibrates():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 4))
