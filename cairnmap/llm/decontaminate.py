@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import tokens
 from .work import table
 
-REPEATS, SAMPLED, GROUP = 32, 3, 4
+REPEATS, SAMPLED, GROUP = 64, 3, 4
 #: Items are broadcast in blocks of about so many bytes of text at most; each block is matched against all documents.
 ITEM_BYTES = 16 << 20
 
@@ -62,8 +62,9 @@ class Matcher:
         for g, members in self.groups.items():
             least = min(len(w) for _, w in members)
             rng = np.random.default_rng(1000 + g)
-            # Steps below the least length read words that every item of the group has.
-            reach = least
+            # The pointer moves at every other step: twice as many steps as words span the shortest item, whose length
+            # bounds the words that any walk of the group reads.
+            reach = 2 * least
             sampled = [np.sort(rng.choice(reach, min(SAMPLED, reach), replace=False)) for _ in range(repeats)]
             bits = [rng.integers(0, 1 << 63, reach, np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(repeats)]
             inside = np.zeros(len(self.vocabulary) + 1, bool)
@@ -73,18 +74,18 @@ class Matcher:
             flat = np.concatenate([w for _, w in members])
             tables = []
             for r in range(repeats):
-                keys = self.walk(flat, starts, sampled[r], bits[r])
+                keys = self.walk(flat, starts, least, sampled[r], bits[r])
                 order = np.argsort(keys[-1], kind="stable")
                 tables.append((sampled[r], bits[r], [np.unique(k) for k in keys[:-1]] + [keys[-1][order]], order))
             bags = [Counter(w.tolist()) for _, w in members]
-            self.tables[g] = (members, inside, tables, bags)
+            self.tables[g] = (members, inside, tables, bags, least)
 
     @staticmethod
-    def walk(words: np.ndarray, at: np.ndarray, sampled: np.ndarray, bits: np.ndarray, want=None):
+    def walk(words: np.ndarray, at: np.ndarray, least: int, sampled: np.ndarray, bits: np.ndarray, want=None):
         """Keys after each sampled step; with ``want`` (sorted keys of items for each such step), the start numbers and last
-        keys of the walks that agree with an item up to there.  A walk at the end of the words stays on the last."""
+        keys of the walks that agree with an item up to there.  A walk stays on the word number ``least`` from its start."""
+        last = np.minimum(at + (least - 1), len(words) - 1)
         at, rows, key, keys, s = at.copy(), np.arange(len(at)), np.zeros(len(at), np.uint64), [], 0
-        last = len(words) - 1
         for step in range(int(sampled[-1]) + 1):
             read = words[at]
             if step == sampled[s]:
@@ -92,7 +93,7 @@ class Matcher:
                 keys.append(key)
                 if want is not None:
                     stay = np.flatnonzero(want[s][np.minimum(np.searchsorted(want[s], key), len(want[s]) - 1)] == key)
-                    at, rows, key, read = at[stay], rows[stay], key[stay], read[stay]
+                    at, last, rows, key, read = at[stay], last[stay], rows[stay], key[stay], read[stay]
                 s += 1
                 if s == len(sampled) or not len(at):
                     break
@@ -110,7 +111,7 @@ class Matcher:
         real = self.vocabulary[place] == h[maybe]
         code[maybe[real]] = place[real]
         spots: dict[tuple[int, int, int], set[int]] = {}
-        for group, (members, inside, tables, _) in self.tables.items():
+        for group, (members, inside, tables, _, least) in self.tables.items():
             most = max(len(w) for _, w in members)
             need = min(len(w) - allowed(len(w), self.percent) for _, w in members)
             sums = np.zeros(len(h) + most + 1, np.int32)
@@ -123,7 +124,7 @@ class Matcher:
             room = sums[np.minimum(live + most, words[doc + 1])] - sums[live] >= need
             live, doc = live[room], doc[room]
             for sampled, bits, keys, order in tables:
-                rows, key = self.walk(h, live, sampled, bits, keys)
+                rows, key = self.walk(h, live, least, sampled, bits, keys)
                 left, right = (np.searchsorted(keys[-1], key, side).tolist() for side in ("left", "right"))
                 for w, a, b in zip(rows.tolist(), left, right):
                     for j in order[a:b].tolist():

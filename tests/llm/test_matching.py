@@ -56,6 +56,23 @@ def test_planted_items_are_found_and_clean_texts_are_not(spark):
     assert sorted(map(tuple, blocks.collect())) == sorted(map(tuple, got))
 
 
+@pytest.mark.parametrize("where", ["front", "back", "anywhere", "moved"])
+@pytest.mark.parametrize("n", [15, 36, 60])
+def test_items_with_all_allowed_edits_are_found(n, where):
+    rng = random.Random(n)
+    new = lambda k: [rng.getrandbits(63) for _ in range(k)]
+    items, texts = [], []
+    for i in range(200):
+        item = new(n)
+        items.append((i, np.array(item, np.uint64)))
+        spots = {"front": range(n // 2), "back": range(n - n // 2, n)}.get(where, range(n))
+        for at in sorted(rng.sample(spots, decontaminate.allowed(n)), reverse=True):
+            item[at : at + 1] = new(1) if where != "moved" else rng.choice([[], [item[at], *new(1)]])
+        texts.append(new(70) + item + new(70))
+    found = decontaminate.Matcher(items).find(np.array(sum(texts, []), np.uint64), np.cumsum([0, *map(len, texts)]))
+    assert sum(doc == key for doc, key, *_ in found) >= 198
+
+
 def test_decontamination_odd_rows(spark, odd):
     items = spark.createDataFrame([(1, "three four five"), (2, None), (3, ""), (None, "no id here but some"), (4, "one"), (1, "three four five")], "item_id long, text string")
     got = sorted(((r.doc_id or -1, r.item_id or -1) for r in decontaminate.contaminated(odd, items).collect()))
