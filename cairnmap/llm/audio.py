@@ -154,11 +154,14 @@ def feature_digest(mel: np.ndarray, spans: list[tuple[float, float]]) -> str:
     return f"frames={len(mel)};segments={len(spans)};ms={round(1000 * sum(b - a for a, b in spans))};logmel={hashlib.sha256(body.astype('<f4').tobytes()).hexdigest()[:16]}"
 
 
-MEDIA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, frames int, spans array<struct<start: double, end: double>>"
+STORED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
+SPANS = "frames int, spans array<struct<start: double, end: double>>, tensors array<array<float>>"
 
 
-def media_features(docs: DataFrame) -> DataFrame:
-    """(doc_id long, text) -> a row for each row: the text's bytes stored as sound, read back, and its features.
+def clip_features(docs: DataFrame) -> DataFrame:
+    """(doc_id long, text) -> STORED and SPANS, a row for each row: the text's bytes stored as sound, read back, and its
+    features.  ``tensors`` are the log-mel values in blocks_of(): fixed-shape tensors of 64 frames by MELS, row by row, the
+    last padded with NaN after ``frames`` frames in all; tensor_column() makes Arrow tensors of them.  ``spans`` are seconds.
 
     A null or empty text is stored as 192 blanks.  Bytes are padded with blanks to a positive multiple of 192; the stored
     form is lossless, so any bytes come back as they were.  Equal texts give equal rows but for doc_id.  An empty table
@@ -168,21 +171,46 @@ def media_features(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
-                out = []
+                out, blocks = [], []
                 for doc, text in zip(batch.column(0).slice(lo, 256).to_pylist(), batch.column(1).slice(lo, 256).to_pylist()):
                     raw = (text or "").encode()
                     stored = wav(raw + b" " * (-len(raw) % UNIT if raw else UNIT))
                     payload, rate = samples_of(stored)
                     mel, spans = analyse(payload, rate)
-                    out.append((doc, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature_digest(mel, spans), len(mel), [{"start": a, "end": b} for a, b in spans]))
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64())])))
-                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], names=[c.split(" ")[0] for c in MEDIA.split(", ") if not c.startswith("end")])
+                    blocks.append(blocks_of(mel).storage)
+                    out.append((doc, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), len(mel), [{"start": a, "end": b} for a, b in spans]))
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64())])))
+                values = pa.concat_arrays(blocks).cast(pa.list_(pa.float32()))
+                tensor = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, blocks)]), pa.int32()), values)
+                names = [c.split(" ")[0] for c in f"{STORED}, frames int, spans".split(", ")]
+                yield pa.RecordBatch.from_arrays([*(pa.array([o[i] for o in out], t) for i, t in enumerate(types)), tensor], names=[*names, "tensors"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"{STORED}, {SPANS}")
+
+
+def tensor_column(stored: pa.Array, frames: int = 64) -> pa.Array:
+    """The ``tensors`` of clip_features as one column of Arrow fixed-shape tensors, clip after clip."""
+    kind = pa.fixed_shape_tensor(pa.float32(), (frames, MELS))
+    return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(stored.flatten().flatten(), frames * MELS))
+
+
+def media_features(docs: DataFrame) -> DataFrame:
+    """clip_features with ``feature``, the feature_digest of tensors and spans."""
+
+    def run(batches):
+        for batch in batches:
+            digests = []
+            for i in range(batch.num_rows):
+                frames, spans, stored = (batch.column(c)[i : i + 1] for c in ("frames", "spans", "tensors"))
+                mel = stored.flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, MELS)[: frames[0].as_py()]
+                digests.append(feature_digest(mel, [(s["start"], s["end"]) for s in spans[0].as_py()]))
+            yield batch.append_column("feature", pa.array(digests, pa.string()))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, MEDIA)
+    return clip_features(docs).mapInArrow(run, f"{STORED}, {SPANS}, feature string").select(*[c.split(" ")[0] for c in STORED.split(", ")], "feature", "frames", "spans", "tensors")
 
 
 def op5_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_features(table(spark, sf_dir, "documents")).drop("spans")
+    return media_features(table(spark, sf_dir, "documents")).drop("spans", "tensors")
 
 
 ORACLE: dict[str, str] = {}

@@ -68,6 +68,18 @@ def test_media_rows(spark, odd):
     assert audio.media_features(odd.limit(0)).count() == 0
 
 
+def test_clips_keep_their_tensors_and_spans(spark, odd):
+    rows = audio.clip_features(odd).select("tensors", "frames", "spans").toArrow()
+    for (stored, frames, spans), r in zip(zip(*(c.to_pylist() for c in rows.columns)), odd.collect()):
+        raw = (r.text or "").encode()
+        mel, want = audio.analyse(raw + b" " * (-len(raw) % 192 if raw else 192))
+        column = audio.tensor_column(pa.array([stored], pa.list_(pa.list_(pa.float32()))))
+        assert column.type.shape == [64, audio.MELS] and len(column) == -(-frames // 64)
+        assert np.array_equal(column.to_numpy_ndarray().reshape(-1, audio.MELS)[:frames], mel)
+        assert [(s["start"], s["end"]) for s in spans] == want
+    assert [r.feature for r in audio.media_features(odd).collect()][0] == audio.feature_digest(*audio.analyse(odd.first().text.encode() + b" " * (-len(odd.first().text) % 192)))
+
+
 def test_bundle_frames_stand_alone():
     writer = warc.BundleWriter(frame=500)
     records = [bytes([65 + i]) * (100 + 50 * i) for i in range(20)]
