@@ -104,14 +104,14 @@ _window = np.hanning(FRAME)
 
 
 def analyse(samples: bytes, rate: int = RATE_IN, up: int = UP, down: int = DOWN) -> tuple[np.ndarray, list[tuple[float, float]]]:
-    """(log-mel tensor of shape (frames, MELS), time spans in seconds of segments with energy).  Whole frames of FRAME
-    samples; shorter clips are padded with silence to one."""
+    """(log-mel tensor of shape (frames, MELS), time spans in seconds of segments with energy).  Frames of FRAME
+    samples; the end is padded with silence to the next whole frame, and spans end with the clip at the latest."""
     out_rate = rate * up / down
     bank = mel_bank(out_rate)
     x = np.frombuffer(samples, np.uint8)
     mels, energy = [], []
     n_out = -(-len(x) * up // down)
-    frames = max(1, 1 + (n_out - FRAME) // HOP) if n_out else 0
+    frames = max(1, 1 + -(-(n_out - FRAME) // HOP)) if n_out else 0
     per, margin = PIECE // HOP, TAPS * max(up, down) * 2
     for f in range(0, frames, per):
         upto = min(frames, f + per)
@@ -120,8 +120,9 @@ def analyse(samples: bytes, rate: int = RATE_IN, up: int = UP, down: int = DOWN)
         lo_in = max(0, (lo_out * down // up - margin) // down * down)
         hi_in = min(len(x), -(-hi_out * down // up) + margin)
         y = resample((x[lo_in:hi_in].astype(np.float64) - 128) / 128, up, down)[lo_out - lo_in * up // down :][: hi_out - lo_out]
-        if len(y) < FRAME:
-            y = np.concatenate([y, np.zeros(FRAME - len(y))])
+        whole = (upto - 1 - f) * HOP + FRAME
+        if len(y) < whole:
+            y = np.concatenate([y, np.zeros(whole - len(y))])
         view = np.lib.stride_tricks.sliding_window_view(y, FRAME)[::HOP]
         power = np.abs(np.fft.rfft(view * _window)) ** 2
         mels.append(np.log(power @ bank + 1e-10).astype(np.float32))
@@ -129,7 +130,7 @@ def analyse(samples: bytes, rate: int = RATE_IN, up: int = UP, down: int = DOWN)
     if not frames:
         return np.zeros((0, MELS), np.float32), []
     step = HOP / out_rate
-    spans = [(a * step, (b - 1) * step + FRAME / out_rate) for a, b in hysteresis(np.concatenate(energy))]
+    spans = [(a * step, min((b - 1) * step + FRAME / out_rate, n_out / out_rate)) for a, b in hysteresis(np.concatenate(energy))]
     return np.concatenate(mels), spans
 
 

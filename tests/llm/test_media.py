@@ -36,6 +36,15 @@ def test_pieces_do_not_show(monkeypatch):
     assert np.array_equal(mel, whole) and spans == same_spans
 
 
+def test_the_end_of_a_clip_counts():
+    raw = np.random.default_rng(2).integers(0, 256, 960, np.uint8)
+    other = raw.copy()
+    other[-100:-20] = 255 - other[-100:-20]
+    (mel, spans), (changed, _) = audio.analyse(raw.tobytes()), audio.analyse(other.tobytes())
+    assert len(mel) == 3 and np.array_equal(mel[0], changed[0]) and not np.array_equal(mel[2], changed[2])
+    assert spans and spans[-1][1] <= 480 / 8000
+
+
 def test_a_tone_lies_in_its_band_and_span():
     t = np.arange(32_000) / 16_000
     x = np.where((t > 0.5) & (t < 1.5), np.sin(2 * np.pi * 1000 * t) * 100, 0) + 128
