@@ -74,17 +74,16 @@ class Matcher:
             flat = np.concatenate([w for _, w in members])
             tables = []
             for r in range(repeats):
-                keys = self.walk(flat, starts, least, sampled[r], bits[r])
+                keys = self.walk(flat, starts, starts + least - 1, sampled[r], bits[r])
                 order = np.argsort(keys[-1], kind="stable")
                 tables.append((sampled[r], bits[r], [np.unique(k) for k in keys[:-1]] + [keys[-1][order]], order))
             bags = [Counter(w.tolist()) for _, w in members]
             self.tables[g] = (members, inside, tables, bags, least)
 
     @staticmethod
-    def walk(words: np.ndarray, at: np.ndarray, least: int, sampled: np.ndarray, bits: np.ndarray, want=None):
+    def walk(words: np.ndarray, at: np.ndarray, last: np.ndarray, sampled: np.ndarray, bits: np.ndarray, want=None):
         """Keys after each sampled step; with ``want`` (sorted keys of items for each such step), the start numbers and last
-        keys of the walks that agree with an item up to there.  A walk stays on the word number ``least`` from its start."""
-        last = np.minimum(at + (least - 1), len(words) - 1)
+        keys of the walks that agree with an item up to there.  A walk stays on its word ``last``."""
         at, rows, key, keys, s = at.copy(), np.arange(len(at)), np.zeros(len(at), np.uint64), [], 0
         for step in range(int(sampled[-1]) + 1):
             read = words[at]
@@ -123,8 +122,10 @@ class Matcher:
             doc = np.searchsorted(words, live, "right") - 1
             room = sums[np.minimum(live + most, words[doc + 1])] - sums[live] >= need
             live, doc = live[room], doc[room]
+            # A walk ends with its text at the latest, so no other text of the batch has a part in it.
+            last = np.minimum(live + least, words[doc + 1]) - 1
             for sampled, bits, keys, order in tables:
-                rows, key = self.walk(h, live, least, sampled, bits, keys)
+                rows, key = self.walk(h, live, last, sampled, bits, keys)
                 left, right = (np.searchsorted(keys[-1], key, side).tolist() for side in ("left", "right"))
                 for w, a, b in zip(rows.tolist(), left, right):
                     for j in order[a:b].tolist():
@@ -158,7 +159,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, repea
 
     Words fold A-Z.  Items and documents without words (null, empty, blank) match nothing; items of under five words match
     exactly only.  Items with equal words are reported each.  Rows with a null doc_id or item_id are reported with it.
-    An empty table on either side gives an empty result.  Other columns are not read.
+    A very long text is matched whole, in one piece; memory follows its number of words.  What is found in a text does not
+    depend on other texts.  An empty table on either side gives an empty result.  Other columns are not read.
     """
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, distance int, first_word int, end_word int"

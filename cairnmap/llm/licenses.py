@@ -1,10 +1,12 @@
 """License scan: MinHash bands over overlapping text windows retrieve templates; exact shingle containment verifies them.
 
-Templates are classed by their number of five-word shingles (1, 2, 3-4, 5-8, ...).  For a class of up to L shingles, the
-windows of a text are 2 L shingles long and start at every L-th, so any stretch of L lies in one window.  A window that
+Templates are classed by their number of five-word shingles (1, 2, 3-4, 5-8, ...).  A template of a class of up to L
+shingles is in a text if some L consecutive shingles of the text hold ``percent`` of the template's.  The windows of a text
+are 2 L shingles long and start at every L-th of its shingles, so any stretch of L lies in one window.  A window that
 holds ``percent`` of a template's shingles has at least a known Jaccard similarity with it; the number of bands (one row
 each) makes the chance that no band collides at most ``MISS``.  Minima are taken over blocks once and combined for the
-larger classes.  Candidates are verified on full shingle sets, so no false match is reported.
+larger classes.  Candidates are verified on full shingle sets: all stretches of L in the window are counted, so no false
+match is reported, and what a text holds does not depend on the texts around it or on where in the text it lies.
 """
 
 from __future__ import annotations
@@ -70,49 +72,71 @@ class Scanner:
 
     def find(self, h: np.ndarray, words: np.ndarray) -> list[tuple[int, int, int, int, float]]:
         """(text, template, first word, word after the last, containment) of the best stretch of each template in each text."""
-        runs = tokens.chain(h, WORDS)
-        n = len(runs)
-        if not n or not self.classes:
+        runs, counts = tokens.chain(h, WORDS), np.maximum(np.diff(words) - (WORDS - 1), 0)
+        if not counts.any() or not self.classes:
             return []
-        doc = np.repeat(np.arange(len(words) - 1), np.diff(words))
-        across = doc[:n] != doc[WORDS - 1 :]
-        seen: dict[tuple[int, int], set[int]] = {}
+        # Each text begins at a multiple of the largest block, so all its blocks count from its own first shingle.
         top = max(self.classes)
+        begins = np.concatenate([[0], np.cumsum(-(-counts >> top) << top)])
+        n, doc = int(begins[-1]), np.repeat(np.arange(len(counts)), counts)
+        own = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
+        from_, to = words[doc] + own, begins[doc] + own
+        seen: set[tuple[int, int]] = set()
         for b in range(max(self.bands.values())):
-            value = self._hash(runs, b)
-            value[across] = 0xFFFFFFFF
+            value = np.full(n, 0xFFFFFFFF, np.uint32)
+            value[to] = self._hash(runs[from_], b)
             for c in range(top + 1):
-                if c and len(value) > 1:
-                    value = np.minimum.reduceat(value, np.arange(0, len(value), 2))
+                if c:
+                    value = np.minimum(value[::2], value[1::2])
                 if c not in self.classes or b >= self.bands[c]:
                     continue
-                window = value if len(value) == 1 else np.minimum(value[:-1], value[1:])
+                window = np.append(np.minimum(value[:-1], value[1:]), value[-1])
+                ends = (begins[1:][counts > 0] >> c) - 1  # the last block of a text is a window by itself
+                window[ends] = value[ends]
                 least, flags = self.hits[c, b]
                 for at in np.flatnonzero(flags[window >> np.uint32(16)]).tolist():
-                    for i in least.get(int(window[at]), ()):
-                        seen.setdefault((i, at << c), set()).add(c)
+                    seen.update((i, at << c) for i in least.get(int(window[at]), ()))
         best: dict[tuple[int, int], tuple] = {}
-        for (i, at), classes in sorted(seen.items()):
-            length = 2 << max(classes)
-            for d in range(int(doc[at]), int(doc[min(at + length, n) - 1]) + 1):
-                lo, hi = max(at, int(words[d])), min(at + length, int(words[d + 1]) - WORDS + 1)
-                if hi <= lo:
-                    continue
-                here = runs[lo:hi]
-                inside = np.flatnonzero(np.isin(here, self.sets[i]))
-                share = len(np.unique(here[inside])) / len(self.sets[i])
-                if share * 100 >= self.percent - 1e-9:
-                    found = (-share, lo + int(inside[0]) - int(words[d]), lo + int(inside[-1]) + WORDS - int(words[d]))
-                    best[d, i] = min(best.get((d, i), found), found)
+        for i, at in sorted(seen):
+            length = 1 << max(0, (len(self.sets[i]) - 1).bit_length())
+            d = int(np.searchsorted(begins, at, "right")) - 1
+            lo = int(at - begins[d])
+            here = runs[words[d] + lo : words[d] + min(lo + 2 * length, int(counts[d]))]
+            found = self._fullest(here, self.sets[i], length)
+            if found and found[0] * 100 >= self.percent * len(self.sets[i]):
+                found = (-found[0] / len(self.sets[i]), lo + found[1], lo + found[2] + WORDS)
+                best[d, i] = min(best.get((d, i), found), found)
         return sorted((d, i, a, z, -s) for (d, i), (s, a, z) in best.items())
 
+    @staticmethod
+    def _fullest(here: np.ndarray, wanted: np.ndarray, length: int) -> tuple[int, int, int] | None:
+        """(distinct shingles of ``wanted``, first of them, last of them) of the fullest ``length`` shingles in a row; of
+        equal ones the first."""
+        inside = np.flatnonzero(np.isin(here, wanted))
+        if not len(inside):
+            return None
+        # An occurrence counts in the stretches that begin after the one before of the same shingle.
+        order = np.lexsort((inside, here[inside]))
+        before = np.full(len(inside), -1)
+        same = here[inside[order[1:]]] == here[inside[order[:-1]]]
+        before[order[1:][same]] = inside[order[:-1][same]]
+        change = np.zeros(len(here) + 1, np.int64)
+        np.add.at(change, np.maximum(before, inside - length) + 1, 1)
+        np.add.at(change, inside + 1, -1)
+        held = np.cumsum(change)[: max(1, len(here) - length + 1)]
+        start = int(held.argmax())
+        part = inside[(inside >= start) & (inside < start + length)]
+        return int(held[start]), int(part[0]), int(part[-1])
+
 
 def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, percent: int = 80) -> DataFrame:
     """(doc_id, text) -> doc_id, license, first_word, end_word, containment: a row for each document row and template of
-    which a window holds ``percent`` of the distinct five-word shingles; of several, the fullest, then the first.
+    which L shingles in a row hold ``percent`` of the distinct five-word shingles (L: their number, rounded up to a power of
+    two); of several such stretches the fullest, then the one that begins first.
 
     Words fold A-Z.  Texts of under five words (null, empty, blank) match nothing.  A null doc_id is reported as null;
-    repeated rows are each reported.  Empty tables give empty results; other columns are not read.  Templates (a bounded,
+    repeated rows are each reported.  A very long text is scanned whole, by itself; memory follows its number of words.
+    Empty tables give empty results; other columns are not read.  Templates (a bounded,
     stated list, of five words or more each) go to all executors; a shorter one raises ValueError.
     """
     Scanner(templates, percent)

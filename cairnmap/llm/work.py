@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
+import shutil
 import tempfile
 import uuid
 
@@ -13,13 +15,18 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset (local tests), a local folder, set in the session for later calls."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """``spark.checkpoint.dir``, or the context's checkpoint folder.  Where neither is set, a temporary folder (removed at
+    exit) serves a local master; on a cluster that is an error, because executors do not share the driver's folders."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("cairnmap.work.dir", None)
+    if not found and context._jsc.sc().getCheckpointDir().isDefined():
+        found = context._jsc.sc().getCheckpointDir().get()
     if not found:
-        found = spark.conf.get("cairnmap.work.dir", None)
-        if not found:
-            found = tempfile.mkdtemp(prefix="cairnmap-")
-            spark.conf.set("cairnmap.work.dir", found)
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="cairnmap-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
+        spark.conf.set("cairnmap.work.dir", found)
     return found.rstrip("/")
 
 
@@ -48,21 +55,42 @@ class Work:
             df.write.parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
-    def drop(self, *names: str) -> None:
-        """Deletes tables that nothing reads any more; without names, all of the run's."""
+    def _files(self):
         jvm = self.spark.sparkContext._jvm
-        for name in names or [""]:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
+    def drop(self, *names: str) -> None:
+        """Deletes tables that nothing reads any more."""
+        files, path = self._files()
+        for name in names:
+            files.delete(path(f"{self.path}/{name}"), True)
+
+    def only(self, df: DataFrame, name: str) -> DataFrame:
+        """Saves the result of a run and deletes all its other tables."""
+        saved = self.save(df, name)
+        files, path = self._files()
+        for found in files.listStatus(path(self.path)):
+            if found.getPath().getName() != name:
+                files.delete(found.getPath(), True)
+        return saved
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+def column(name: str):
+    """A column by its exact name, whatever characters that has."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
-def small(df: DataFrame, rows: int) -> bool:
-    """Whether df has no more than ``rows`` rows (stops counting after that many)."""
-    return df.limit(rows + 1).count() <= rows
+
+def unused(df: DataFrame, stem: str = "_x") -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while stem in taken:
+        stem += "_"
+    return stem
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def crc_fold(column: str, modulus: int):
