@@ -1,19 +1,22 @@
 """Language-model scoring by a weighted backoff automaton over n-gram counts.
 
-States are the contexts seen in training; the arc of word w leaves state s with the smoothed log-probability
-``log10((c(s w) + mu * P(w | s')) / (c(s) + mu))`` (Dirichlet smoothing; s' is s without its first word).  A word without
-an arc takes the failure arc to s', of weight ``log10(mu / (c(s) + mu))``, and is read there.  The lowest state has
-``(c(w) + 0.1) / (N + 0.1 (V + 1))``.  Probabilities of a state sum to one.  One pass from left to right carries the state
-(the last words) and adds up weights.
-
-The automaton grows with the corpus and is never broadcast or collected.  Documents are dealt into blocks; each block asks
-the tables of counts, which are dealt into parts by n-gram hash, for the n-grams that its texts can reach, once each, and
-traverses the part of the automaton that comes back.  Requests carry the block's own training counts, so counting and
-asking take one shuffle, in which a frequent n-gram has one entry for each block.
+States are the contexts seen in training, up to ``order - 1`` words long; the arc of word w leaves state s with the smoothed
+log-probability ``log10((c(s w) + mu * P(w | s')) / (c(s) + mu))`` (Dirichlet smoothing; s' is s without its first word) and
+leads to the longest seen context that ends in w.  A word without an arc takes the failure arc to s', of weight
+``log10(mu / (c(s) + mu))``, and is read there.  The lowest state reads every word, with ``(c(w) + 0.1) / (N + 0.1 (V + 1))``.
+Probabilities of a state sum to one.  One traversal from left to right carries the state and adds up weights.
+
+The automaton grows with the corpus and is never broadcast or collected.  Documents are cut into blocks by bytes; each block
+asks the tables of counts, which are dealt into parts by n-gram hash, for the n-grams that its texts can reach, once each,
+and builds and traverses the part of the automaton that comes back.  Requests carry the block's own training counts, so
+counting and asking take one shuffle.  A frequent n-gram has one entry for each block, and a pair of block and part one row
+if any n-gram falls there, so what moves follows the n-grams of the blocks, however many parts there are.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,8 +25,10 @@ from pyspark.sql import functions as F
 from . import tokens
 from .work import Work, crc_fold, table
 
-ORDER, MU = 2, 100.0
-BLOCK_BYTES, PART_BYTES = 4 << 20, 16 << 20
+ORDER, MU = 3, 100.0
+BLOCK_BYTES, PART_BYTES = 4 << 20, 8 << 20
+#: Tokens that one lane of a traversal reads.
+LANE = 512
 _END, _START = np.uint64(0xE7D), np.uint64(0x57A27)
 
 
@@ -63,9 +68,31 @@ def ngrams(texts: pa.Array, order: int):
     return keys, offs
 
 
-def _batch(table_: pa.Table, name: str) -> pa.Array:
-    column = table_.column(name).combine_chunks()
-    return column.chunk(0) if isinstance(column, pa.ChunkedArray) and column.num_chunks else column
+def _cut(block_bytes: int):
+    """mapInArrow function: (doc_id, held_out, text) -> blocks of whole texts, packed.  Their numbers are drawn at random
+    and hold once the table is written."""
+
+    def run(batches):
+        import zstandard
+
+        for whole in batches:
+            for lo, hi in tokens.slices(tokens.byte_lengths(whole.column(2)), block_bytes):
+                data, offs = tokens.buffer_of(whole.column(2).slice(lo, hi - lo))
+                lists = lambda values, kind: pa.array([values], pa.list_(kind))
+                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65]), lists(whole.column(0).slice(lo, hi - lo).to_pylist(), pa.int64()), lists(whole.column(1).slice(lo, hi - lo).to_pylist(), pa.bool_()), lists(offs, pa.int64()), pa.array([zstandard.ZstdCompressor(level=1).compress(data)])], names=["block", "ids", "held", "offs", "texts"])
+
+    return run
+
+
+def _grams(block: dict, order: int):
+    """(distinct keys, number of the n-gram that ends at each token by length, first place of each key, token offsets)."""
+    import zstandard
+
+    offs = np.array(block["offs"], np.int64)
+    data = pa.py_buffer(zstandard.ZstdDecompressor().decompress(block["texts"]))
+    keys, places = ngrams(pa.LargeStringArray.from_buffers(len(offs) - 1, pa.py_buffer(offs), data), order)
+    distinct, first, numbers = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    return distinct, numbers.reshape(order, -1), first, places
 
 
 def _part_of(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -73,16 +100,16 @@ def _part_of(keys: np.ndarray, parts: int) -> np.ndarray:
 
 
 def _request(order: int, parts: int):
-    def run(block: pa.Table) -> pa.Table:
-        keys, offs = ngrams(_batch(block, "text"), order)
-        learn = np.repeat(~block.column("held_out").to_numpy(), np.diff(offs))
-        flat = np.concatenate(keys)
-        distinct, inverse = np.unique(flat, return_inverse=True)
-        counts = np.bincount(inverse[np.tile(learn, order)], minlength=len(distinct)).astype(np.uint32)
-        cuts = np.searchsorted(_part_of(distinct, parts), np.arange(parts + 1))
-        rows = [(p, a, b) for p, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if b > a]
-        number = block.column("block")[0].as_py()
-        return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([number] * len(rows), pa.int32()), "keys": pa.array([pack(distinct[a:b], True) for _, a, b in rows], pa.binary()), "counts": pa.array([pack(counts[a:b]) for _, a, b in rows], pa.binary())})
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block = batch.slice(i, 1).to_pylist()[0]
+                distinct, numbers, _, offs = _grams(block, order)
+                learn = np.repeat(~np.array(block["held"], bool), np.diff(offs))
+                counts = np.bincount(numbers[:, learn].ravel(), minlength=len(distinct)).astype(np.uint32)
+                cuts = np.searchsorted(_part_of(distinct, parts), np.arange(parts + 1))
+                rows = [(p, a, b) for p, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if b > a]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([block["block"]] * len(rows), pa.int64()), pa.array([pack(distinct[a:b], True) for _, a, b in rows], pa.binary()), pa.array([pack(counts[a:b]) for _, a, b in rows], pa.binary())], names=["part", "block", "keys", "counts"])
 
     return run
 
@@ -96,62 +123,118 @@ def _answer(asked: pa.Table) -> pa.Table:
     total = np.bincount(inverse, np.concatenate(counts), len(distinct)).astype(np.uint64)
     single = (distinct & np.uint64(1)).astype(bool) & (total > 0)
     ends = np.cumsum([0] + [len(k) for k in keys])
-    back = [pack(total[inverse[a:b]].astype(np.uint32) if total.max(initial=0) < 1 << 32 else total[inverse[a:b]]) for a, b in zip(ends[:-1], ends[1:])]
     wide = 4 if total.max(initial=0) < 1 << 32 else 8
-    return pa.table({"block": pa.array([*blocks, -1], pa.int32()), "part": pa.array([part] * (len(blocks) + 1), pa.int32()), "width": pa.array([wide] * len(blocks) + [0], pa.int32()), "counts": pa.array([*back, b""], pa.binary()), "n": pa.array([0] * len(blocks) + [int(total[single].sum())], pa.int64()), "v": pa.array([0] * len(blocks) + [int(single.sum())], pa.int64())})
+    back = [pack(total[inverse[a:b]].astype(np.uint32 if wide == 4 else np.uint64)) for a, b in zip(ends[:-1], ends[1:])]
+    none = [0] * len(blocks)
+    return pa.table({"block": pa.array([*blocks, -1], pa.int64()), "part": pa.array([part] * (len(blocks) + 1), pa.int32()), "width": pa.array([wide] * len(blocks) + [0], pa.int32()), "counts": pa.array([*back, b""], pa.binary()), "n": pa.array([*none, int(total[single].sum())], pa.int64()), "v": pa.array([*none, int(single.sum())], pa.int64())})
 
 
-def traverse(c: list[np.ndarray], context: list[np.ndarray], base: np.ndarray, mu: float) -> np.ndarray:
-    """Weight of each token's path: arcs where an n-gram was seen, failure arcs and the lower state's weight elsewhere."""
-    weight = base
-    for count, state in zip(c, context):
-        fail = np.log10(mu / (state + mu))
-        arc = np.log10((count + mu * 10.0**weight) / (state + mu))
-        weight = np.where(count > 0, arc, fail + weight)
-    return weight
+class Automaton:
+    """The states and arcs that the texts of a block can reach.
 
+    An n-gram seen in training is an arc: its last word, read in the state of the words before.  Below ``order`` words it
+    is a state, too.  Both have the number of the n-gram; ``lowest`` is the state without words, after it come the starts
+    of a text as contexts of 1, 2, ... words.
+    """
 
-def _score(order: int, mu: float, n_train: int, v: int):
-    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
-        out = {"doc_id": pa.array([], pa.int64()), "held_out": pa.array([], pa.bool_()), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "train_tokens": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())}
-        if not block.num_rows:
-            return pa.table(out)
-        answers = answers.sort_by("part")
-        keys, offs = ngrams(_batch(block, "text"), order)
-        distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        counts = np.concatenate([unpack(x, np.uint32 if w == 4 else np.uint64) for x, w in zip(answers.column("counts").to_pylist(), answers.column("width").to_pylist())])
-        c = counts[inverse].astype(np.float64).reshape(order, -1)
-        starts, rows = offs[:-1], np.diff(offs)
-        base = np.log10((c[0] + 0.1) / (n_train + 0.1 * (v + 1)))
-        # The state before a token is the n-gram that ends at the token before it; texts begin as often as they end.
-        end = c[0][offs[1:] - 1]
-        states = []
+    def __init__(self, numbers: np.ndarray, first: np.ndarray, offs: np.ndarray, counts: np.ndarray, texts: float, n_train: int, v: int, mu: float):
+        order, size = numbers.shape
+        self.lowest, self.start = len(counts), len(counts) + order - 1
+        length, at = np.divmod(first, max(1, size))
+        opens = np.zeros(size + 1, bool)
+        opens[offs] = True
+        seen = np.concatenate([counts, [0.0], np.full(order - 1, texts)])
+        self.weight = np.log10((counts + 0.1) / (n_train + 0.1 * (v + 1)))
+        self.up = np.full(len(seen), self.lowest)
+        self.up[self.lowest + 2 :] = np.arange(self.lowest + 1, self.start)
+        source, self.to = np.full(len(counts), self.lowest), np.where((counts > 0) & (length < order - 1), np.arange(len(counts)), self.lowest)
         for m in range(1, order):
-            state = np.concatenate([[0.0], c[m - 1][:-1]])
-            state[starts] = end
-            states.append(state)
-        weight = traverse(list(c[1:]), states, base, mu)
-        held = block.column("held_out").combine_chunks()
-        return pa.table({"doc_id": block.column("doc_id").combine_chunks(), "held_out": held, "n_tokens": pa.array(rows), "n_known": pa.array(np.add.reduceat((c[0] > 0).astype(np.int64), starts)), "train_tokens": pa.array(np.full(len(rows), n_train, np.int64)), "base_score": pa.array(np.add.reduceat(base, starts)), "score": pa.array(np.add.reduceat(weight, starts))})
+            mine = np.flatnonzero(length == m)
+            here, lower = at[mine], numbers[m - 1, at[mine]]
+            source[mine] = np.where(opens[here], self.lowest + m, numbers[m - 1, here - 1])
+            self.up[mine] = lower
+            self.weight[mine] = np.log10((counts[mine] + mu * 10.0 ** self.weight[lower]) / (seen[source[mine]] + mu))
+            if m == order - 1:
+                self.to[mine] = lower
+        self.to[opens[at + 1]] = self.start  # after an end, the next text begins
+        self.fail = np.log10(mu / (seen + mu))
+        arcs = np.flatnonzero((counts > 0) | (length == 0))
+        key = source[arcs] * np.int64(len(counts)) + numbers[0, at[arcs]]
+        by_key = np.argsort(key)
+        self.keys, self.arcs, self.order = key[by_key], arcs[by_key], order
+
+    def traverse(self, words: np.ndarray, offs: np.ndarray, lane: int = LANE) -> np.ndarray:
+        """Weight of each text's path.  All texts advance together, word by word; long ones in lanes of ``lane`` words, which
+        read the ``order - 1`` words before theirs from the lowest state on: that gives the state a longer past gives."""
+        lanes = -(-np.diff(offs) // lane)
+        text = np.repeat(np.arange(len(lanes)), lanes)
+        own = (np.arange(len(text)) - np.repeat(np.cumsum(lanes) - lanes, lanes)) * lane
+        warm = np.where(own > 0, self.order - 1, 0)
+        at, left = offs[text] + own - warm, np.minimum(np.diff(offs)[text] - own, lane) + warm
+        by_length = np.argsort(-left, kind="stable")
+        at, left, warm = at[by_length], left[by_length], warm[by_length]
+        state = np.where(warm > 0, self.lowest, self.start)
+        if self.order == 1:
+            state[:] = self.lowest
+        total, vocabulary = np.zeros(len(at)), np.int64(self.lowest)
+        for step in range(int(left.max(initial=0))):
+            todo = np.arange(np.searchsorted(-left, -step))
+            counted = step >= warm
+            while len(todo):
+                key = state[todo] * vocabulary + words[at[todo] + step]
+                place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                hit = self.keys[place] == key
+                arc, reads, falls = self.arcs[place[hit]], todo[hit], todo[~hit]
+                total[reads] += self.weight[arc] * counted[reads]
+                state[reads] = self.to[arc]
+                total[falls] += self.fail[state[falls]] * counted[falls]
+                state[falls] = self.up[state[falls]]
+                todo = falls
+        out = np.zeros(len(lanes))
+        np.add.at(out, text[by_length], total)
+        return out
+
+
+def _score(order: int, mu: float, n_train: int, v: int):
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        out = []
+        # A block has one row; should numbers drawn at random agree, its answers would not fit.
+        for block in blocks.to_pylist():
+            answers = answers.sort_by("part")
+            distinct, numbers, first, offs = _grams(block, order)
+            counts = np.concatenate([unpack(x, np.uint32 if w == 4 else np.uint64) for x, w in zip(answers.column("counts").to_pylist(), answers.column("width").to_pylist())]).astype(np.float64)
+            if len(counts) != len(distinct) or blocks.num_rows > 1:
+                raise ValueError(f"block {block['block']} got {len(counts)} counts for {len(distinct)} n-grams")
+            # Texts begin as often as they end.
+            automaton = Automaton(numbers, first, offs, counts, counts[numbers[0, offs[1] - 1]], n_train, v, mu)
+            known = np.add.reduceat((counts[numbers[0]] > 0).astype(np.int64), offs[:-1])
+            base = np.add.reduceat(automaton.weight[numbers[0]], offs[:-1])
+            out.append(pa.table({"doc_id": pa.array(block["ids"], pa.int64()), "held_out": pa.array(block["held"], pa.bool_()), "n_tokens": pa.array(np.diff(offs)), "n_known": pa.array(known), "train_tokens": pa.array(np.full(len(known), n_train, np.int64)), "base_score": pa.array(base), "score": pa.array(automaton.traverse(numbers[0], offs))}))
+        none = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
+        return pa.concat_tables(out) if out else pa.table({k: pa.array([], t) for k, t in none.items()})
 
     return run
 
 
-def lm_scores(docs: DataFrame, work: Work, order: int = ORDER, mu: float = MU, folds: int = 10, held_out: int = 0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def lm_scores(docs: DataFrame, work: Work, order: int = ORDER, mu: float = MU, folds: int = 10, held_out: int = 0, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
     """(doc_id long, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; one row per input row.
 
     Learns from rows whose crc32(doc_id as text) modulo ``folds`` is not ``held_out`` (a null id counts as empty text).
-    A null, empty or blank text is one end token.  Rows that repeat count each.  With no training row all counts are 0 and
-    scores follow from the smoothing alone; an empty table gives an empty result.  Other columns are not read.
+    A null, empty or blank text is one end token.  Rows that repeat count each, and equal texts get equal scores.  A very
+    long text is a block by itself; memory follows its number of words.  With no training row all counts are 0 and scores
+    follow from the smoothing alone; an empty table gives an empty result.  Other columns are not read.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks, parts = 8 + size // block_bytes, 8 + size // PART_BYTES
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (crc_fold("doc_id", folds) == held_out).alias("held_out"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
-    asked = dealt.groupBy("block").applyInArrow(_request(order, int(parts)), "part int, block int, keys binary, counts binary")
-    answers = work.save(asked.groupBy("part").applyInArrow(_answer, "block int, part int, width int, counts binary, n long, v long"), "answers")
+    parts, tasks = int(8 + size // part_bytes), int(8 + size // (4 * block_bytes))
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_fold("doc_id", folds) == held_out).alias("held_out"), "text")
+    blocks = work.save(dealt.mapInArrow(_cut(block_bytes), "block long, ids array<long>, held array<boolean>, offs array<long>, texts binary"), "blocks")
+    asked = blocks.mapInArrow(_request(order, parts), "part int, block long, keys binary, counts binary")
+    answered = asked.repartition(parts, "part").groupBy("part").applyInArrow(_answer, "block long, part int, width int, counts binary, n long, v long")
+    answers = work.save(answered, "answers", split=4 * block_bytes)
     n, v = answers.where("block = -1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("block").cogroup(answers.where("block >= 0").select("block", "part", "width", "counts").groupBy("block")).applyInArrow(_score(order, mu, n, v), schema)
+    back = answers.where("block >= 0").select("block", "part", "width", "counts").repartition(tasks, "block").groupBy("block")
+    return blocks.repartition(tasks, "block").groupBy("block").cogroup(back).applyInArrow(_score(order, mu, n, v), schema)
 
 
 def op4_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

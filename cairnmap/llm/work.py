@@ -50,8 +50,10 @@ class Work:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        with setting(self.spark, **{CLEANUP: "true"}):
+    def save(self, df: DataFrame, name: str, split: int | None = None) -> DataFrame:
+        """Writes df and reads it back.  ``split``: bytes that a task of this step reads of a table at most (packed tables
+        hold more work a byte than others)."""
+        with setting(self.spark, **{CLEANUP: "true"} | ({"spark.sql.files.maxPartitionBytes": str(split), "spark.sql.files.openCostInBytes": str(split // 4)} if split else {})):
             df.write.parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 

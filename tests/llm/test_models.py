@@ -120,11 +120,11 @@ def brute_lm(docs, order, mu):
     return out
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_lm_equals_brute_force(spark, work, order):
     rng = random.Random(order)
     docs = [(i, " ".join(rng.choice(["a", "b", "c", "dd", "e"]) for _ in range(rng.randint(0, 12)))) for i in range(80)] + [(3, "a b"), (None, "b c"), (90, None), (91, "zzz unseen")]
-    got = lm.lm_scores(spark.createDataFrame(docs, "doc_id long, text string"), work(), order=order, mu=5.0, block_bytes=100).collect()
+    got = lm.lm_scores(spark.createDataFrame(docs, "doc_id long, text string"), work(), order=order, mu=5.0, block_bytes=100, part_bytes=200).collect()
     key = lambda r: tuple((x is None, x) if not isinstance(x, float) else (False, round(x, 7)) for x in r)
     want = sorted(brute_lm(docs, order, 5.0), key=key)
     have = sorted([(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got], key=key)
@@ -132,6 +132,35 @@ def test_lm_equals_brute_force(spark, work, order):
     assert [h[4:] for h in have] == [pytest.approx(w[4:], rel=1e-9) for w in want]
 
 
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_automaton(order):
+    rng = random.Random(order)
+    texts = pa.array([" ".join(rng.choice("abcd") for _ in range(rng.randint(0, 90))) for _ in range(40)])
+    keys, offs = lm.ngrams(texts, order)
+    distinct, first, numbers = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    numbers = numbers.reshape(order, -1)
+    learn = np.repeat(np.arange(40) < 25, np.diff(offs))
+    counts = np.bincount(numbers[:, learn].ravel(), minlength=len(distinct)).astype(float)
+    single = numbers[0][learn]
+    machine = lm.Automaton(numbers, first, offs, counts, 25.0, len(single), len(set(single.tolist())), 7.0)
+    # Of each seen state: the weights of all words by arc or failure path, and of what no text has, sum to one.
+    for s in [machine.lowest, *machine.to[counts > 0].tolist()]:
+        total = 0.0
+        for w in {*numbers[0].tolist()}:
+            at, weight = s, 0.0
+            while not len(hit := np.flatnonzero(machine.keys == at * len(counts) + w)):
+                at, weight = machine.up[at], weight + machine.fail[at]
+            total += 10 ** (weight + machine.weight[machine.arcs[hit[0]]])
+        unseen, at = 0.0, s
+        while at != machine.lowest:
+            at, unseen = machine.up[at], unseen + machine.fail[at]
+        v = len(set(single.tolist()))
+        assert total + 10**unseen * 0.1 / (len(single) + 0.1 * (v + 1)) == pytest.approx(1)
+    # Lanes do not show.
+    whole = machine.traverse(numbers[0], offs, 1000)
+    assert machine.traverse(numbers[0], offs, 7) == pytest.approx(whole) and np.array_equal(machine.traverse(numbers[0], offs), whole)
+
+
 def test_lm_odd_rows(spark, work, odd):
     assert lm.lm_scores(odd, work()).count() == odd.count()
     assert lm.lm_scores(odd.limit(0), work()).count() == 0
