@@ -18,12 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import tokens
 from .work import table
 
-RATE_IN, UP, DOWN, TAPS = 16_000, 1, 2, 8
+RATE_IN, UP, DOWN, TAPS = 16_000, 2, 3, 8
 FRAME, HOP, MELS = 256, 128, 16
 ENTER, LEAVE = 0.08, 0.03
 UNIT, PIECE = 192, 1 << 16
+#: Bytes of text whose features go out together (a longer text goes by itself).
+BATCH = 2 << 20
 
 
 def wav(samples: bytes, rate: int = RATE_IN) -> bytes:
@@ -165,21 +168,22 @@ def clip_features(docs: DataFrame) -> DataFrame:
     last padded with NaN after ``frames`` frames in all; tensor_column() makes Arrow tensors of them.  ``spans`` are seconds.
 
     A null or empty text is stored as 192 blanks.  Bytes are padded with blanks to a positive multiple of 192; the stored
-    form is lossless, so any bytes come back as they were.  Equal texts give equal rows but for doc_id.  An empty table
-    gives an empty result; other columns are not read.
+    form is lossless, so any bytes come back as they were.  Equal texts give equal rows but for doc_id, repeated rows come
+    out each.  A very long text is one clip, worked through in pieces; its tensors make one row.  An empty table gives an
+    empty result; other columns are not read.
     """
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
+            for lo, hi in tokens.slices(tokens.byte_lengths(batch.column(1)), BATCH):
                 out, blocks = [], []
-                for doc, text in zip(batch.column(0).slice(lo, 256).to_pylist(), batch.column(1).slice(lo, 256).to_pylist()):
-                    raw = (text or "").encode()
-                    stored = wav(raw + b" " * (-len(raw) % UNIT if raw else UNIT))
+                data, offs = tokens.buffer_of(batch.column(1).slice(lo, hi - lo))
+                for doc, a, b in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), offs[:-1].tolist(), offs[1:].tolist()):
+                    stored = wav(data[a:b].tobytes() + b" " * ((a - b) % UNIT if b > a else UNIT))
                     payload, rate = samples_of(stored)
                     mel, spans = analyse(payload, rate)
                     blocks.append(blocks_of(mel).storage)
-                    out.append((doc, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), len(mel), [{"start": a, "end": b} for a, b in spans]))
+                    out.append((doc, b - a, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), len(mel), [{"start": x, "end": y} for x, y in spans]))
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64())])))
                 values = pa.concat_arrays(blocks).cast(pa.list_(pa.float32()))
                 tensor = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, blocks)]), pa.int32()), values)
@@ -211,7 +215,7 @@ def media_features(docs: DataFrame) -> DataFrame:
 
 
 def op5_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_features(table(spark, sf_dir, "documents")).drop("spans", "tensors")
+    return media_features(table(spark, sf_dir, "documents"))
 
 
 ORACLE: dict[str, str] = {}

@@ -41,8 +41,8 @@ def test_the_end_of_a_clip_counts():
     other = raw.copy()
     other[-100:-20] = 255 - other[-100:-20]
     (mel, spans), (changed, _) = audio.analyse(raw.tobytes()), audio.analyse(other.tobytes())
-    assert len(mel) == 3 and np.array_equal(mel[0], changed[0]) and not np.array_equal(mel[2], changed[2])
-    assert spans and spans[-1][1] <= 480 / 8000
+    assert len(mel) == 4 and np.array_equal(mel[0], changed[0]) and not np.array_equal(mel[3], changed[3])
+    assert spans and spans[-1][1] <= 960 / audio.RATE_IN + 1e-9
 
 
 def test_a_tone_lies_in_its_band_and_span():
@@ -50,7 +50,7 @@ def test_a_tone_lies_in_its_band_and_span():
     x = np.where((t > 0.5) & (t < 1.5), np.sin(2 * np.pi * 1000 * t) * 100, 0) + 128
     mel, spans = audio.analyse(x.astype(np.uint8).tobytes())
     assert len(spans) == 1 and spans[0] == pytest.approx((0.5, 1.5), abs=0.05)
-    centre = audio.mel_bank(8000.0)[np.argmin(abs(np.arange(129) * 8000 / 256 - 1000))].argmax()
+    centre = audio.mel_bank(audio.RATE_IN * audio.UP / audio.DOWN)[np.argmin(abs(np.arange(129) * audio.RATE_IN * audio.UP / audio.DOWN / 256 - 1000))].argmax()
     assert mel[len(mel) // 2].argmax() == centre
 
 
@@ -77,6 +77,18 @@ def test_media_rows(spark, odd):
     assert audio.media_features(odd.limit(0)).count() == 0
 
 
+def test_op5_returns_features_that_rebuild_its_digest(spark, sf_dir):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = audio.op5_audio_features(spark, sf_dir).collect()
+    assert sorted(r.doc_id for r in got) == sorted(docs) and {len(t) for r in got for t in r.tensors} == {64 * audio.MELS}
+    for r in got:
+        raw = (docs[r.doc_id] or "").encode()
+        assert (r.n_bytes, r.payload_sha256) == (len(raw), hashlib.sha256(raw + b" " * (-len(raw) % 192 if raw else 192)).hexdigest())
+        mel = np.array(r.tensors, np.float32).reshape(-1, audio.MELS)
+        assert np.isnan(mel[r.frames :]).all() and not np.isnan(mel[: r.frames]).any()
+        assert r.feature == audio.feature_digest(mel[: r.frames], [(s.start, s.end) for s in r.spans])
+
+
 def test_clips_keep_their_tensors_and_spans(spark, odd):
     rows = audio.clip_features(odd).select("tensors", "frames", "spans").toArrow()
     for (stored, frames, spans), r in zip(zip(*(c.to_pylist() for c in rows.columns)), odd.collect()):
