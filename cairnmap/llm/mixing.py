@@ -12,9 +12,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .work import Work, table
+from .work import Work, column, table, unused
 
 BINS = 4096
+ADDED = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
 WORD = r"[^\\x20\\x09-\\x0D]+"
 
 
@@ -38,10 +39,11 @@ def mix_sources(docs: DataFrame, work: Work, weights=(5, 2, 1), most: int = 3, s
 
     A null or empty text has size 0; it gets its certain copies and may be drawn, and counts nothing.  Null is a source,
     the last one.  ``weight`` names a column of positive relative weights (null: 1).  Rows that agree in doc_id and text
-    are decided together.  An empty table gives an empty result.  Columns of docs may have any names but the four added.
+    are decided together.  A very long text counts whole.  An empty table gives an empty result.  Columns of docs may have
+    any names; one with the name of an added column gives way to it.
     Chance comes from md5(seed, doc_id, text): reruns agree, whatever the partitioning.
     """
-    own = F.coalesce(F.col(weight).cast("double"), F.lit(1.0)) if weight else F.lit(1.0)
+    own = F.coalesce(column(weight).cast("double"), F.lit(1.0)) if weight else F.lit(1.0)
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))))
     size = F.coalesce(F.expr(f"regexp_count(text, '{WORD}')"), F.lit(0)).cast("long")
     sized = work.save(docs.select("doc_id", F.col("source").alias("source"), size.alias("size"), own.alias("own"), key.alias("key")), "sized")
@@ -77,17 +79,21 @@ def mix_sources(docs: DataFrame, work: Work, weights=(5, 2, 1), most: int = 3, s
 
     work.drop("sized", "targets", "bins")
 
-    if "mix_size" not in docs.columns:
-        docs = docs.withColumn("mix_size", size)
-    df = docs.withColumns({"_own": own, "_key": key}).join(plan, F.expr("source <=> _s"), "left")
-    u = (F.conv(F.substring("_key", 1, 13), 16, 10).cast("double") + 0.5) / 2.0**52
-    expected = F.least(F.coalesce(F.col("_rate") * F.col("_own"), F.lit(0.0)), F.lit(float(most)))
-    df = df.withColumn("_whole", F.floor(expected)).withColumn("_p", expected - F.col("_whole"))
-    df = df.withColumn("_q", F.when(F.col("_p") > 0, (u / (1 - u)) / (F.col("_p") / (1 - F.col("_p")))))
-    df = df.withColumn("_bin", F.floor(F.col("_q") / (1 + F.col("_q")) * BINS))
-    edge_take = F.coalesce(F.struct(F.col("_q").alias("q"), F.col("_key").alias("key")) <= F.col("_last"), F.lit(False))
-    draw = F.when(F.col("_q").isNull() | (F.coalesce("_left", F.lit(0.0)) <= 0), F.lit(False)).when(F.col("_edge_bin").isNull() | (F.col("_bin") < F.col("_edge_bin")), F.lit(True)).otherwise((F.col("_bin") == F.col("_edge_bin")) & edge_take)
-    return df.select(*(c for c in docs.columns), F.col("_source_size").alias("mix_source_size"), F.col("_target").alias("mix_target"), (F.col("_whole") + draw.cast("int")).cast("int").alias("mix_copies"))
+    # Helpers stand in two columns whose names docs does not have.
+    own_, plan_ = unused(docs, "_own"), unused(docs, "_plan")
+    df = docs.withColumn(own_, F.struct(F.col("source").alias("source"), size.alias("size"), own.alias("own"), key.alias("key")))
+    df = df.join(plan.select(F.struct("*").alias(plan_)), F.expr(f"{own_}.source <=> {plan_}._s"), "left")
+    mine, here = (lambda c: F.col(own_)[c]), (lambda c: F.col(plan_)[f"_{c}"])
+    u = (F.conv(F.substring(mine("key"), 1, 13), 16, 10).cast("double") + 0.5) / 2.0**52
+    expected = F.least(F.coalesce(here("rate") * mine("own"), F.lit(0.0)), F.lit(float(most)))
+    whole = F.floor(expected)
+    p = expected - whole
+    q = F.when(p > 0, (u / (1 - u)) / (p / (1 - p)))
+    bin_ = F.floor(q / (1 + q) * BINS)
+    edge_take = F.coalesce(F.struct(q.alias("q"), mine("key").alias("key")) <= here("last"), F.lit(False))
+    draw = F.when(q.isNull() | (F.coalesce(here("left"), F.lit(0.0)) <= 0), F.lit(False)).when(here("edge_bin").isNull() | (bin_ < here("edge_bin")), F.lit(True)).otherwise((bin_ == here("edge_bin")) & edge_take)
+    kept = [column(c) for c in docs.columns if c.lower() not in ADDED]
+    return df.select(*kept, mine("size").alias("mix_size"), here("source_size").alias("mix_source_size"), here("target").alias("mix_target"), (whole + draw.cast("int")).cast("int").alias("mix_copies"))
 
 
 def op7_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

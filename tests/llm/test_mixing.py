@@ -38,3 +38,18 @@ def test_odd_rows(spark, work, odd):
     got = mixing.mix_sources(odd, work()).collect()
     assert len(got) == odd.count() and all(0 <= r.mix_copies <= 3 for r in got)
     assert mixing.mix_sources(odd.limit(0), work()).count() == 0
+
+
+def test_clashing_names(spark, work):
+    docs = [(i, "a b c d" * (i % 5), "x" if i % 3 else None, i) for i in range(300)]
+    plain = spark.createDataFrame(docs, "doc_id long, text string, source string, n long")
+    want = sorted((r.doc_id, r.mix_size, r.mix_copies) for r in mixing.mix_sources(plain, work()).collect())
+    names = ["_own", "_key", "_q", "_bin", "_s", "_target", "_plan", "_whole", "_p", "s", "s2", "size", "key", "last", "a.b", "mix_size", "mix_copies"]
+    from pyspark.sql import functions as F
+
+    odd = plain.select("*", *(F.lit(7).alias(c) for c in names))
+    got = mixing.mix_sources(odd, work())
+    assert got.columns == ["doc_id", "text", "source", "n", *(c for c in names if c not in mixing.ADDED), *mixing.ADDED]
+    rows = got.collect()
+    assert sorted((r.doc_id, r.mix_size, r.mix_copies) for r in rows) == want
+    assert all(r[c] == 7 for r in rows for c in names if c not in mixing.ADDED) and all(r.n == r.doc_id for r in rows)
