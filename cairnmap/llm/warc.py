@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .work import Work, table
 
 BUNDLE, FRAME = 8 << 20, 256 << 10
+#: Bundles that one task reads back, about.
+BUNDLES = 4
 LEAST_PAYLOAD = 0
 DATE = "2024-01-01T00:00:00Z"
 SEEK_HEAD, SEEK_TAIL = 0x184D2A5E, 0x8F92EAB1
@@ -143,12 +145,15 @@ def write_warc(pages: DataFrame, folder: str, least: int = LEAST_PAYLOAD, bundle
     """pages (page_id long, url, html) -> the index of the bundles written to ``folder`` once the result is computed.
 
     A null html is an empty payload.  Payloads of under ``least`` bytes are all responses.  Of rows with equal payloads, the
-    one with the smallest page_id is the response (all rows of that page_id, where it repeats; null is the largest).  An
-    empty table writes no bundle.  Other columns are not read.
+    one with the smallest page_id is the response (all rows of that page_id, where it repeats; null is the largest).  A very
+    long payload is a frame by itself.  An empty table writes no bundle.  Other columns are not read.
+
+    Payloads meet their record kind by page_id and digest, so pages with one common payload do not come to one task.
     """
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("d", F.unhex(F.sha1(F.encode("html", "utf-8"))))
-    firsts = own.groupBy("d").agg(F.min("page_id").alias("first"))
-    own = own.join(firsts, "d").select("page_id", "url", "html", "first", (F.octet_length("html") >= least).alias("deduped"))
+    firsts = own.groupBy("d").agg(F.min("page_id").alias("first"), F.max(F.coalesce("page_id", F.lit((1 << 63) - 1))).alias("top")).where("first < top").select("d", "first")
+    again = own.select("page_id", "d").distinct().join(firsts, "d").where("not page_id <=> first").select(F.col("page_id").alias("p2"), F.col("d").alias("d2"), "first")
+    own = own.join(again.hint("merge"), F.expr("page_id <=> p2 and d = d2"), "left").select("page_id", "url", "html", "first", (F.octet_length("html") >= least).alias("deduped"))
 
     def run(batches):
         store, base = _store(folder)
@@ -164,7 +169,7 @@ def write_warc(pages: DataFrame, folder: str, least: int = LEAST_PAYLOAD, bundle
         for batch in batches:
             for page, url, html, first, deduped in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 payload = html.encode()
-                revisit = deduped and first is not None and page != first
+                revisit = deduped and first is not None
                 writer = writer or BundleWriter(frame)
                 at = writer.add(build_record(page, url, payload, first if revisit else None, revisit))
                 rows.append((page, *at))
@@ -178,10 +183,12 @@ def write_warc(pages: DataFrame, folder: str, least: int = LEAST_PAYLOAD, bundle
 
 
 def read_warc(folder: str, index: DataFrame) -> DataFrame:
-    """Reads every record of the index back through the seek table and its frame; bundles are read where the index rows
-    are, no bytes of them move between tasks -> page_id, payload_bytes, payload_digest, record_type,
+    """Reads every record of the index (a written table) back through the seek table and its frame; a task reads about
+    ``BUNDLES`` bundles, no bytes of them move between tasks -> page_id, payload_bytes, payload_digest, record_type,
     refers_to, payload (null for revisits).  Digests of responses are computed anew and must agree with the record."""
-    wanted = index.groupBy("bundle").agg(F.sort_array(F.collect_list(F.struct("frame", "at", "length"))).alias("records"))
+    # Adaptive execution would judge by the few bytes of the index and read all bundles in one task.
+    tasks = 1 + index.agg(F.count_distinct("bundle")).first()[0] // BUNDLES
+    wanted = index.repartition(tasks, "bundle").groupBy("bundle").agg(F.sort_array(F.collect_list(F.struct("frame", "at", "length"))).alias("records"))
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
     def run(batches):
