@@ -19,12 +19,12 @@ from pyspark.sql import functions as F
 
 from . import tokens
 from .components import components
-from .work import Work, small, table
+from .work import Work, table
 
 HALVES, HALF_ROWS = 9, 2
 BITS = 1024
-#: The most ids that are broadcast (16 MB).
-FEW = 1_000_000
+#: Bytes of text whose signatures and packed texts make one bucket, about; pairs with one hub that a task verifies, about.
+BUCKET, SHARE = 32 << 20, 4096
 
 
 def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,31 +129,38 @@ def near_duplicates(docs: DataFrame, work: Work, k: int = 5, percent: int = 80,
     """(doc_id long, text) -> doc_id, n_shingles, component_id, kept; one row per input row.
 
     Empty, blank and null texts have no shingles and no link.  A row without doc_id takes part in no link: its component_id
-    is null and it is kept.  Rows that repeat a doc_id count as one document.  Rows with equal texts get equal results.  An
-    empty table gives an empty result.  Columns other than doc_id and text are not read.
+    is null and it is kept.  Rows that repeat a doc_id count as one document.  Rows with equal texts get equal results.  A
+    very long text is compared whole; memory follows its number of words.  An empty table gives an empty result.  Columns
+    other than doc_id and text are not read.
+
+    Packed texts are dealt into buckets by doc_id once; whatever number of them is asked for later, only the ids move.
     """
     run, schema = signatures(k, halves, half_rows)
-    sig = work.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema), "sig")
-    linked = sig.where("n > 0 and doc_id is not null")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    buckets = min(100_000, 8 + (own.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET)
+    sig = work.bucketed(own.where("doc_id is not null").mapInArrow(run, schema), "sig", "doc_id", buckets)
+    linked = sig.where("n > 0")
     nodes = work.save(linked.groupBy("lo", "hi", "n").agg(F.min("doc_id").alias("id"), F.first("a").alias("a"), F.first("b").alias("b")), "nodes")
     keys = F.flatten(F.transform("a", lambda x, i: F.transform("b", lambda y, j: F.xxhash64(x, y, i * halves + j))))
     rows = nodes.select("id", F.col("n").cast("int").alias("n"), F.explode(keys).alias("key"))
     hubs = rows.groupBy("key").agg(F.min(F.struct("id", "n")).alias("h"), F.max("id").alias("top")).where("h.id <> top").select("key", F.col("h.id").alias("hub"), F.col("h.n").alias("hub_n"))
-    active = work.save(rows.join(hubs, "key"), "active")
+    active = work.save(rows.join(hubs, "key"), "active", split=8 << 20)
     fits = f"100L * least({{0}}, {{1}}) >= {percent}L * greatest({{0}}, {{1}})".format
     stars = active.where("id <> hub").where(fits("n", "hub_n")).groupBy("id", "hub").agg(F.count("*").alias("votes"))
     best = work.save(stars.groupBy("id").agg(F.max_by("hub", F.struct("votes", -F.col("hub"))).alias("hub")).select(F.col("id").alias("a"), F.col("hub").alias("b")), "best")
 
     def texts_of(ids: DataFrame) -> DataFrame:
-        """(doc_id, blob) of the ids; few ids go to the texts, many meet them in a shuffle."""
-        ids = ids.distinct().withColumnRenamed("id", "doc_id")
-        return linked.select("doc_id", "blob").join(F.broadcast(ids) if small(ids, FEW) else ids, "doc_id", "left_semi")
+        """(doc_id, blob) of the ids: they meet the buckets, in memory that the ids of a bucket bound."""
+        return linked.select("doc_id", "blob").join(ids.select(F.col("id").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id", "left_semi")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        blobs = texts_of(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))))
-        with_a = pairs.join(blobs.select(F.col("doc_id").alias("a"), F.col("blob").alias("blob_a")), "a")
-        with_b = with_a.join(blobs.select(F.col("doc_id").alias("b"), F.col("blob").alias("blob_b")), "b")
-        return with_b.select("a", "b", "blob_a", "blob_b").mapInArrow(verifier(k, percent), "a long, b long")
+        """The pairs that are similar.  Pairs with one hub are dealt over several tasks, each with a copy of the hub."""
+        shares = pairs.groupBy("b").agg((F.floor(F.count("*") / SHARE) + 1).cast("int").alias("shares"))
+        dealt = pairs.join(shares.hint("merge"), "b").select("a", "b", F.pmod(F.xxhash64("a"), "shares").cast("int").alias("share"))
+        with_a = dealt.hint("merge").join(texts_of(pairs.select(F.col("a").alias("id"))).select(F.col("doc_id").alias("a"), F.col("blob").alias("blob_a")), "a")
+        hub = shares.hint("merge").join(texts_of(pairs.select(F.col("b").alias("id"))).select(F.col("doc_id").alias("b"), F.col("blob").alias("blob_b")), "b")
+        hub = hub.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).select("b", "share", "blob_b")
+        return with_a.join(hub.hint("merge"), ["b", "share"]).select("a", "b", "blob_a", "blob_b").mapInArrow(verifier(k, percent), "a long, b long")
 
     edges = work.save(confirmed(best), "edges-1")
     labels = components(edges, work, "c1")
@@ -166,7 +173,7 @@ def near_duplicates(docs: DataFrame, work: Work, k: int = 5, percent: int = 80,
     open_ = labelled(active.select("key", "id", "n"), "id", "c")
     mixed = open_.groupBy("key").agg(F.min("c").alias("u"), F.max("c").alias("v")).where("u <> v").select("key")
     open_ = work.save(open_.join(mixed, "key").select("id", "c").distinct(), "open")
-    sets = work.save(open_.join(texts_of(open_.select("id")).withColumnRenamed("doc_id", "id"), "id").select("id", "c", "blob").mapInArrow(exploder(k), "id long, c long, n int, bits array<long>, gs array<long>"), "sets")
+    sets = work.save(open_.hint("merge").join(texts_of(open_).withColumnRenamed("doc_id", "id"), "id").select("id", "c", "blob").mapInArrow(exploder(k), "id long, c long, n int, bits array<long>, gs array<long>"), "sets")
     each = sets.select("id", "c", "n", F.explode("gs").alias("g"))
     shared = each.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
     # Shingles of one node only come first in the order, so the place r of the others follows from their number.
@@ -186,8 +193,9 @@ def near_duplicates(docs: DataFrame, work: Work, k: int = 5, percent: int = 80,
 
     work.drop("active", "best", "edges-1", "edges-2", "open", "sets", "prefix", "pairs-2")
     out = sig.select("doc_id", "n", "lo", "hi").join(nodes.select("lo", "hi", "n", "id"), ["lo", "hi", "n"], "left")
-    out = labelled(out.withColumn("id", F.when(F.col("doc_id").isNotNull(), F.coalesce("id", "doc_id"))), "id", "component_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    out = labelled(out.withColumn("id", F.coalesce("id", "doc_id")), "id", "component_id").select("doc_id", "n", "component_id")
+    without_id = own.where("doc_id is null").mapInArrow(run, schema).select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    return work.only(out.unionByName(without_id).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")), "classes")
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

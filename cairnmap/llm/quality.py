@@ -179,8 +179,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int =
 
 
 def scored(docs: DataFrame, model: tuple[np.ndarray, dict]) -> DataFrame:
-    """(doc_id, text) -> doc_id, score.  Null and empty texts are scored by zeros; a text of any length is scored whole;
-    equal texts get equal scores."""
+    """(doc_id, text) -> doc_id, score; a row for each row.  Null and empty texts are scored by zeros; a text of any length
+    is scored whole; equal texts get equal scores.  An empty table gives an empty result; other columns are not read."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

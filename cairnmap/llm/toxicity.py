@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .work import crc_fold, table
+from .work import column, crc_fold, table, unused
 
 BITS, HEAD = 20, 5
 #: The most labelled documents that a model is fitted on (about; a hash of doc_id picks them).
@@ -40,12 +40,14 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sample_of(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, most: int) -> DataFrame:
-    """(key, label, text) of about ``most`` labelled rows at most, of folds other than held_out, picked by a hash of doc_id."""
+    """(key, label, text) of about ``most`` labelled documents at most, of folds other than held_out, picked by a hash of
+    doc_id.  Of rows that repeat a doc_id, the least text that is not null counts; of labels, the greater."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (crc_fold("doc_id", folds) != held_out)).groupBy("doc_id").agg(F.max(label).alias("label"))
     share = min(1.0, most / max(1, known.count()))
     picked = known.where((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))))
     # The sample has a bound, so it goes to the texts.
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select(F.xxhash64("doc_id", F.lit(1)).alias("key"), F.col("label").cast("int").alias("label"), "text")
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    return found.select(F.xxhash64("doc_id", F.lit(1)).alias("key"), F.col("label").cast("int").alias("label"), "text")
 
 
 def _extract(batches):
@@ -129,11 +131,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5
 
 
 def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
-    """docs -> its columns ``keep`` and ``name``, the probability of label 1.  Null and empty texts have the bias alone;
-    a text of any length is scored whole; equal texts get equal scores."""
+    """docs -> its columns ``keep`` and ``name``, the probability of label 1; a row for each row.  Null and empty texts have
+    the bias alone; a text of any length is scored whole; equal texts get equal scores.  An empty table gives an empty
+    result.  Other columns are not read, whatever their names; ``name`` among ``keep`` raises ValueError."""
+    if name.lower() in {c.lower() for c in keep}:
+        raise ValueError(f"{name} is a column of the documents")
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    schema = docs.select(*keep).schema.add(name, "double")
+    docs = docs.select(*map(column, keep), F.col("text").alias(unused(docs, "_text")))
+    schema = docs.select(*map(column, keep)).schema.add(name, "double")
 
     def run(batches):
         at, w = shared.value
@@ -149,7 +155,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], keep: tuple[st
                 score = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(score)], names=[*keep, name])
 
-    return docs.select(*keep, "text").mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def op1_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,6 +57,15 @@ class Work:
             df.write.parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
+    def bucketed(self, df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+        """Saves df in buckets of the hash of ``key``: later joins on the key move only their other side."""
+        with setting(self.spark, **{CLEANUP: "true", "spark.sql.sources.bucketing.maxBuckets": str(max(buckets, 100_000))}):
+            df.repartition(buckets, key).write.option("path", f"{self.path}/{name}").bucketBy(buckets, key).saveAsTable(self._listed(name))
+        return self.spark.table(self._listed(name))
+
+    def _listed(self, name: str) -> str:
+        return f"{self.path.rpartition('/')[2]}_{name}".replace("-", "_")
+
     def _files(self):
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
@@ -66,15 +75,14 @@ class Work:
         """Deletes tables that nothing reads any more."""
         files, path = self._files()
         for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._listed(name)}")
             files.delete(path(f"{self.path}/{name}"), True)
 
     def only(self, df: DataFrame, name: str) -> DataFrame:
         """Saves the result of a run and deletes all its other tables."""
         saved = self.save(df, name)
         files, path = self._files()
-        for found in files.listStatus(path(self.path)):
-            if found.getPath().getName() != name:
-                files.delete(found.getPath(), True)
+        self.drop(*(found.getPath().getName() for found in files.listStatus(path(self.path)) if found.getPath().getName() != name))
         return saved
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from cairnmap.llm import lm, quality, toxicity
+from cairnmap.llm import lm, quality, tokens, toxicity
 
 
 def corpus(spark, n=400):
@@ -39,6 +39,75 @@ def test_ftrl_is_sparse():
     assert w[1] > 0 > w[0] and not w[10:210].any()
 
 
+def test_ftrl_equals_the_published_update():
+    """Per-coordinate FTRL-proximal, one feature at a time, by the formulas of the paper."""
+    rng = random.Random(3)
+    rows = [(y, np.array(sorted(rng.sample(range(10 * y, 30 + 10 * y), 6)))) for y in (rng.random() < 0.3 for _ in range(150))]
+    alpha, beta, l1, l2 = 0.7, 1.0, 0.5, 0.3
+    bias = 1 << toxicity.BITS
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        lam = 0 if i == bias else l1
+        return 0.0 if abs(z[i]) <= lam else -(z[i] - math.copysign(lam, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    more = math.sqrt((150 - sum(y for y, _ in rows)) / sum(y for y, _ in rows))
+    for _ in range(2):
+        for y, f in rows:
+            f = [*f.tolist(), bias]
+            w = {i: weight(i) for i in f}
+            g = (1 / (1 + math.exp(-sum(w.values()))) - y) * (more if y else 1)
+            for i in f:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w[i]
+                n[i] += g * g
+    got = toxicity.ftrl(rows, alpha, beta, l1, l2, epochs=2)
+    want = np.zeros(bias + 1)
+    for i in z:
+        want[i] = weight(i)
+    assert np.allclose(got, want, atol=1e-12) and 0 < np.count_nonzero(want) < len(z)
+
+
+def test_toxicity_scores_equal_a_sum_over_features(spark):
+    docs, labels, _ = corpus(spark, 120)
+    at, w = toxicity.fit(docs, labels)
+    weights = dict(zip(at.tolist(), w.tolist()))
+    got = {r.doc_id: r.score for r in toxicity.scored(docs, (at, w)).collect()}
+    for r in docs.collect():
+        total = sum(weights.get(f, 0.0) for f in set(toxicity.features(pa.array([r.text]))[0].tolist())) + weights.get(1 << toxicity.BITS, 0.0)
+        assert got[r.doc_id] == pytest.approx(1 / (1 + math.exp(-total)))
+
+
+def test_feature_kinds():
+    """Words, heads of longer words, pairs and pairs with a word skipped."""
+    mixed = lambda value, kind: int(tokens.mix(np.array([value + kind * 0x9E3779B97F4A7C15 & (1 << 64) - 1], np.uint64))[0] >> np.uint64(64 - toxicity.BITS))
+    texts = pa.array(["Alpha be gammarays be"])
+    h, _, heads = tokens.word_hashes(texts, toxicity.HEAD)
+    h, want = h.tolist(), Counter()
+    want.update(mixed(x, 1) for x in h)
+    want.update(mixed(x, 2) for x in heads.tolist() if x)
+    want.update(mixed((a * 3 + b) & (1 << 64) - 1, 3) for a, b in zip(h, h[1:]))
+    want.update(mixed((a * 3 + b) & (1 << 64) - 1, 4) for a, b in zip(h, h[2:]))
+    assert Counter(toxicity.features(texts)[0].tolist()) == want and sum(x != 0 for x in heads.tolist()) == 1
+
+
+def test_repeated_rows_do_not_enlarge_the_sample(spark):
+    docs = spark.createDataFrame([(i % 20, f"text {i} of many") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    got = toxicity.sample_of(docs, labels, "toxic", 5, 0, 12_000).collect()
+    assert len(got) == len({r.key for r in got}) == sum(crc32(str(i).encode()) % 5 != 0 for i in range(20))
+
+
+def test_quality_scores_equal_a_walk_through_the_network(spark):
+    docs, labels, _ = corpus(spark, 80)
+    vectors, net = quality.fit(docs, labels)
+    got = {r.doc_id: r.score for r in quality.scored(docs, (vectors, net)).collect()}
+    for r in docs.collect():
+        rows, shapes, _ = quality.word_rows(pa.array([r.text]))
+        x = np.concatenate([vectors[rows].astype(float).mean(0), vectors[shapes].astype(float).mean(0)]).astype(np.float32)
+        h = np.maximum((x - net["mean"]) / net["dev"] @ net["w1"] + net["b1"], 0)
+        assert got[r.doc_id] == pytest.approx(1 / (1 + math.exp(-(h @ net["w2"] + net["b2"]) / net["t"])), rel=1e-6)
+
+
 def test_features_do_not_cross_texts():
     a, _ = toxicity.features(pa.array(["one two three"]))
     both, owner = toxicity.features(pa.array(["one two three", "four"]))
