@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .work import table
+from .work import table, through_arrow
 
 REPEATS, SAMPLED, GROUP = 64, 3, 4
 #: Items are broadcast in blocks of about so many bytes of text at most; each block is matched against all documents.
@@ -162,16 +162,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, repea
     A very long text is matched whole, in one piece; memory follows its number of words.  What is found in a text does not
     depend on other texts.  An empty table on either side gives an empty result.  Other columns are not read.
     """
-    spark = docs.sparkSession
     schema = "doc_id long, item_id long, distance int, first_word int, end_word int"
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
-    n_blocks = 1 + (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // item_bytes
     out = None
-    for block in range(n_blocks):
-        got = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block).toArrow()
-        h, words = tokens.word_hashes(got.column(1).combine_chunks() if got.num_rows else pa.array([], pa.string()))
-        listed = sorted(((key, h[a:b]) for key, a, b in zip(got.column(0).to_pylist(), words[:-1].tolist(), words[1:].tolist())), key=lambda x: (x[0] is None, x[0] or 0))
-        shared = spark.sparkContext.broadcast(listed)
+    for shared in _blocks(benchmark, item_bytes):
 
         def run(batches, shared=shared):
             matcher = Matcher(shared.value, percent, repeats)
@@ -187,6 +180,35 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, repea
     return out
 
 
+def _blocks(benchmark: DataFrame, item_bytes: int):
+    """Broadcasts of the items as (item_id, word hashes), about ``item_bytes`` bytes of text each."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
+    n_blocks = 1 + (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // item_bytes
+    for block in range(n_blocks):
+        got = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block).toArrow()
+        h, words = tokens.word_hashes(got.column(1).combine_chunks() if got.num_rows else pa.array([], pa.string()))
+        listed = sorted(((key, h[a:b]) for key, a, b in zip(got.column(0).to_pylist(), words[:-1].tolist(), words[1:].tolist())), key=lambda x: (x[0] is None, x[0] or 0))
+        yield benchmark.sparkSession.sparkContext.broadcast(listed)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, percent: int = 80, repeats: int = REPEATS, item_bytes: int = ITEM_BYTES) -> DataFrame:
+    """The rows of docs (text, ...) that hold no item in the sense of contaminated(), with all their columns, whatever their
+    names.  Each row is judged by its own text; nothing is shuffled."""
+    at = [c.lower() for c in docs.columns].index("text")
+    for shared in _blocks(benchmark, item_bytes):
+
+        def run(batches, shared=shared):
+            matcher = Matcher(shared.value, percent, repeats)
+            for whole in batches:
+                for lo, hi in tokens.slices(tokens.byte_lengths(whole.column(at)), 4 << 20):
+                    batch, keep = whole.slice(lo, hi - lo), np.ones(hi - lo, bool)
+                    keep[[f[0] for f in matcher.find(*tokens.word_hashes(batch.column(at)))]] = False
+                    yield batch.filter(pa.array(keep))
+
+        docs = through_arrow(docs, run, docs.schema)
+    return docs
+
+
 def op2_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

@@ -16,27 +16,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .work import Work, table
+from .work import Work, column, table, unused
 
-CUT = r"(?<=\\n)|(?<=[.!?] )(?<=[^.!?\\n]{20}[.!?] )"
+CUT = r"(?<=[\\n ])(?:(?<=\\n)|(?<=[.!?] )(?<=[^.!?\\n]{20}[.!?] ))"
 MIN_WORDS, WINDOW = 25, 2
 
 
 def repeated(places: DataFrame) -> DataFrame:
-    """(h, d, at) -> h, d0, at0: the first place of each h that has several."""
-    place = F.struct("d", "at")
-    return places.groupBy("h").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f <> l").select("h", F.col("f.d").alias("d0"), F.col("f.at").alias("at0"))
+    """(h, d, t, p) -> h, d0, t0, p0: the first place of each h that has several."""
+    place = F.struct("d", "t", "p")
+    return places.groupBy("h").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f <> l").select("h", F.col("f.d").alias("d0"), F.col("f.t").alias("t0"), F.col("f.p").alias("p0"))
 
 
 def delete_repeats(docs: DataFrame, work: Work, min_words: int = MIN_WORDS, window: int = WINDOW) -> DataFrame:
     """docs (doc_id, text, ...) -> its columns with the text without repeated runs, and n_lines, lines_deleted (int).
 
     A null text stays null (no lines); an empty one is one line; a text of which all lines are repeats becomes empty.  Words
-    of a line are its blanks plus one (30,000 at most).  A null doc_id comes last in the order.  Rows that agree in doc_id and text are one
-    document and get the same result.  An earlier place may overlap the later one.  Empty tables give empty results; other columns pass through, with any names but the two added and
-    names that begin with ``_rl_``.  A text may have 2^24 lines.
+    of a line are its blanks plus one (30,000 at most, which no result shows).  Rows without doc_id come last in the order,
+    by a hash of the text.  Rows that agree in doc_id and text are one document and get the same result.  An earlier place
+    may overlap the later one.  A very long text is worked on whole, in memory that follows its number of lines.  Empty
+    tables give empty results; other columns pass through, with any names; one named n_lines or lines_deleted gives way.
     """
-    doc, half = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), F.shiftleft(F.xxhash64("text").bitwiseAND(F.lit((1 << 39) - 1)), 24)
+    # A document is its doc_id and the hash of its text; without doc_id, two hashes of its text, above all ids in use.
+    half = F.xxhash64("text")
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64("text", F.lit(1)), 2).bitwiseOR(F.lit(1 << 62)))
     lines = docs.where("text is not null").select(doc.alias("d"), half.alias("t"), F.expr(f"split(text, '{CUT}')").alias("s"))
     words = lambda x: F.least(F.lit(30000), F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).cast("short")
     arrays = work.save(lines.select("d", "t", F.transform("s", lambda x: F.xxhash64(F.rtrim(x, F.lit(" \t\r\n")))).alias("h"), F.transform("s", words).alias("w")), "arrays")
@@ -47,11 +50,11 @@ def delete_repeats(docs: DataFrame, work: Work, min_words: int = MIN_WORDS, wind
     alone = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get("w", i) >= min_words)
     places = F.transform(F.array_distinct(F.concat(F.transform(starts, least), alone)), lambda p: F.struct(F.get("h", p).alias("h"), p.alias("p")))
     picked = arrays.where(F.size("h") > 0).withColumn("v", value).select("d", "t", F.explode(places).alias("m"))
-    marks = picked.select("m.h", "d", F.col("t").bitwiseOR(F.col("m.p").cast("long")).alias("at"))
-    # No side of these joins has a bound, so none is broadcast.
-    firsts = work.save(repeated(marks).select("h"), "firsts")
-    low, high = F.lit((1 << 24) - 1), F.lit(~((1 << 24) - 1))
-    live = marks.join(firsts.hint("merge"), "h").select("d", F.col("at").bitwiseAND(high).alias("t"), F.col("at").bitwiseAND(low).cast("int").alias("p"))
+    marks = picked.select("m.h", "d", "t", "m.p")
+    # No side of these joins has a bound, so none is broadcast; adaptive execution splits the partition of a frequent line.
+    several = " or ".join(f"least_{c} < most_{c}" for c in "dtp")
+    firsts = work.save(marks.groupBy("h").agg(*(f(c).alias(f"{name}_{c}") for c in "dtp" for name, f in (("least", F.min), ("most", F.max)))).where(several).select("h"), "firsts")
+    live = marks.join(firsts.hint("merge"), "h")
     live = live.groupBy("d", "t").agg(F.collect_set("p").alias("p"))
 
     # A fingerprint among the first ``window`` lines of a run begins up to window - 1 lines after the run.
@@ -63,23 +66,24 @@ def delete_repeats(docs: DataFrame, work: Work, min_words: int = MIN_WORDS, wind
         if(s.n + w[j] >= {min_words} and (s.n < {min_words} or s.n + w[j] - w[i] < {min_words}), concat(s.out, array(named_struct('h', xxhash64(s.k, h[j]), 'a', i, 'b', j + 1))), s.out))),
       s -> s.out)))""")
     runs = live.join(one.hint("merge"), ["d", "t"]).select("d", "t", F.explode(tight).alias("r"))
-    runs = work.save(runs.select("r.h", "d", F.col("t").bitwiseOR(F.col("r.a").cast("long")).alias("at"), (F.col("r.b") - F.col("r.a")).cast("short").alias("n")), "runs")
+    runs = work.save(runs.select("r.h", "d", "t", F.col("r.a").alias("p"), (F.col("r.b") - F.col("r.a")).cast("short").alias("n")), "runs")
     work.drop("arrays", "firsts")
     first_runs = work.save(repeated(runs), "first_runs")
-    later = runs.join(first_runs.hint("merge"), "h").where("d <> d0 or at <> at0")
-    begin = F.col("at").bitwiseAND(low).cast("int")
-    deleted = later.groupBy("d", F.col("at").bitwiseAND(high).alias("t")).agg(F.collect_set(F.struct(begin.alias("a"), (begin + F.col("n")).alias("b"))).alias("runs"))
+    later = runs.join(first_runs.hint("merge"), "h").where("d <> d0 or t <> t0 or p <> p0")
+    deleted = later.groupBy("d", "t").agg(F.collect_set(F.struct(F.col("p").alias("a"), (F.col("p") + F.col("n")).alias("b"))).alias("runs"))
     covered = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["a"], r["b"] - 1))))
     deleted = work.save(deleted.select("d", "t", covered.alias("gone")), "deleted")
     work.drop("runs", "first_runs")
 
-    wide = docs.withColumns({"_rl_d": doc, "_rl_t": half}).join(deleted.select(F.col("d").alias("_rl_d"), F.col("t").alias("_rl_t"), F.col("gone").alias("_rl_gone")).hint("merge"), ["_rl_d", "_rl_t"], "left")
-    split_ = F.expr(f"split(text, '{CUT}')")
-    wide = wide.withColumn("_rl_s", split_).withColumn("_rl_k", F.when(F.col("_rl_gone").isNotNull(), F.expr("transform(array_except(sequence(0, size(_rl_s) - 1), _rl_gone), i -> _rl_s[i])")))
-    text = F.when(F.col("_rl_k").isNull(), F.col("text")).otherwise(F.array_join("_rl_k", ""))
-    n = F.coalesce(F.size("_rl_s"), F.lit(0))
-    kept = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return wide.select(*kept, F.greatest(n, F.lit(0)).alias("n_lines"), F.when(F.col("_rl_k").isNull(), 0).otherwise(n - F.size("_rl_k")).alias("lines_deleted"))
+    # Helpers stand in columns whose names docs does not have.
+    d, t, parts, cut = (unused(docs, f"_{c}") for c in ("d", "t", "parts", "cut"))
+    wide = docs.withColumns({d: doc, t: half})
+    wide = wide.join(deleted.select(F.col("d").alias(d), F.col("t").alias(t), F.col("gone").alias(cut)).hint("merge"), [d, t], "left").withColumn(parts, F.expr(f"split(text, '{CUT}')"))
+    wide = wide.withColumn(cut, F.when(F.col(cut).isNotNull(), F.expr(f"transform(array_except(sequence(0, size({parts}) - 1), {cut}), i -> {parts}[i])")))
+    text = F.when(F.col(cut).isNull(), F.col("text")).otherwise(F.array_join(cut, ""))
+    n = F.greatest(F.coalesce(F.size(parts), F.lit(0)), F.lit(0))
+    kept = [text.alias(c) if c.lower() == "text" else column(c) for c in docs.columns if c.lower() not in ("n_lines", "lines_deleted")]
+    return wide.select(*kept, n.alias("n_lines"), F.when(F.col(cut).isNull(), 0).otherwise(n - F.size(cut)).alias("lines_deleted"))
 
 
 def op10_winnowing_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .work import column, crc_fold, table, unused
+from .work import column, crc_fold, table, through_arrow, unused
 
 BITS, HEAD = 20, 5
 #: The most labelled documents that a model is fitted on (about; a hash of doc_id picks them).
@@ -153,9 +153,9 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], keep: tuple[st
                 pairs = np.unique(owner[hit].astype(np.int64) << BITS | found[hit])
                 total = np.bincount(pairs >> BITS, weights[pairs & ((1 << BITS) - 1)], hi - lo) + weights[-1]
                 score = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(score)], names=[*keep, name])
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(score)], names=[str(i) for i in range(len(keep) + 1)])
 
-    return docs.mapInArrow(run, schema)
+    return through_arrow(docs, run, schema)
 
 
 def op1_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

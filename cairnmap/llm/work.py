@@ -10,6 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -99,6 +100,12 @@ def unused(df: DataFrame, stem: str = "_x") -> str:
     return stem
 
 
+def through_arrow(df: DataFrame, run, schema: StructType) -> DataFrame:
+    """mapInArrow that bears any column names: batches that go in and come out name their columns 0, 1, ..."""
+    inner = StructType([StructField(str(i), f.dataType) for i, f in enumerate(schema)])
+    return df.toDF(*map(str, range(len(df.columns)))).mapInArrow(run, inner).toDF(*schema.names)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

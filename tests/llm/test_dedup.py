@@ -163,3 +163,29 @@ def test_line_dedup_odd_rows(spark, work, odd):
         texts.setdefault(r.doc_id, []).append(r.text)
     assert texts[1] != [""] and texts[2] == ["", ""] and texts[3] == [None] and texts[4] == [""] and texts[6] == ["short"]
     assert line_dedup.delete_repeats(odd.limit(0), work()).count() == 0
+
+
+def test_line_dedup_names_and_rows_without_id(spark, work):
+    line = "A line of exactly eight words stands here. "
+    docs = [(None, f"Own {i}.\n{line * 2}\nEnd {i}.") for i in range(50)] + [(3, f"First.\n{line * 2}\nLast.")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    from pyspark.sql import functions as F
+
+    names = ["_d", "_t", "_parts", "_cut", "_rl_d", "h", "p", "a.b", "n_lines"]
+    got = line_dedup.delete_repeats(df.select("*", *(F.lit(7).alias(c) for c in names)), work(), min_words=10)
+    assert got.columns == ["doc_id", "text", *names[:-1], "n_lines", "lines_deleted"]
+    rows = got.collect()
+    assert all(r[c] == 7 for r in rows for c in names[:-1]) and len(rows) == 51
+    # The row with an id comes first in the order; of those without, every one is a document of its own.
+    assert [r.text for r in rows if r.doc_id == 3] == [docs[-1][1]]
+    assert sorted(r.text for r in rows if r.doc_id is None) == sorted(f"Own {i}.\nEnd {i}." for i in range(50))
+
+
+def test_a_text_of_two_lines_in_turn_takes_time_by_its_length(spark, work):
+    import time
+
+    text = "This is one of the two lines in turn\nAnd this one is the other of them\n" * 50_000
+    began = time.time()
+    rows = line_dedup.delete_repeats(spark.createDataFrame([(1, text), (2, "x " + text)], "doc_id long, text string"), work()).collect()
+    assert time.time() - began < 60
+    assert {r.doc_id: r.n_lines - r.lines_deleted for r in rows} == {1: 3, 2: 1}
