@@ -26,7 +26,7 @@ from . import tokens
 from .work import Work, crc_fold, table
 
 ORDER, MU = 3, 100.0
-BLOCK_BYTES, PART_BYTES = 4 << 20, 8 << 20
+BLOCK_BYTES, PART_BYTES = 6 << 20, 8 << 20
 #: Tokens that one lane of a traversal reads.
 LANE = 512
 _END, _START = np.uint64(0xE7D), np.uint64(0x57A27)
@@ -75,24 +75,46 @@ def _cut(block_bytes: int):
     def run(batches):
         import zstandard
 
+        lists = lambda values, kind: pa.array([values], pa.list_(kind))
+        texts, ids, held, lengths, size = [], [], [], [], 0
+
+        def block():
+            packed = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
+            offs = np.concatenate([[0], np.cumsum(lengths)])
+            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65]), lists(ids, pa.int64()), lists(held, pa.bool_()), lists(offs, pa.int64()), pa.array([packed])], names=["block", "ids", "held", "offs", "texts"])
+
         for whole in batches:
-            for lo, hi in tokens.slices(tokens.byte_lengths(whole.column(2)), block_bytes):
+            for lo, hi in tokens.slices(tokens.byte_lengths(whole.column(2)), block_bytes // 8):
                 data, offs = tokens.buffer_of(whole.column(2).slice(lo, hi - lo))
-                lists = lambda values, kind: pa.array([values], pa.list_(kind))
-                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65]), lists(whole.column(0).slice(lo, hi - lo).to_pylist(), pa.int64()), lists(whole.column(1).slice(lo, hi - lo).to_pylist(), pa.bool_()), lists(offs, pa.int64()), pa.array([zstandard.ZstdCompressor(level=1).compress(data)])], names=["block", "ids", "held", "offs", "texts"])
+                if size and size + len(data) > block_bytes:
+                    yield block()
+                    texts, ids, held, lengths, size = [], [], [], [], 0
+                texts.append(data.tobytes())
+                ids += whole.column(0).slice(lo, hi - lo).to_pylist()
+                held += whole.column(1).slice(lo, hi - lo).to_pylist()
+                lengths += np.diff(offs).tolist()
+                size += len(data)
+        if ids:
+            yield block()
 
     return run
 
 
 def _grams(block: dict, order: int):
-    """(distinct keys, number of the n-gram that ends at each token by length, first place of each key, token offsets)."""
+    """(distinct keys, number of the n-gram that ends at each token by length, a place of each key, token offsets)."""
     import zstandard
 
     offs = np.array(block["offs"], np.int64)
     data = pa.py_buffer(zstandard.ZstdDecompressor().decompress(block["texts"]))
     keys, places = ngrams(pa.LargeStringArray.from_buffers(len(offs) - 1, pa.py_buffer(offs), data), order)
-    distinct, first, numbers = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-    return distinct, numbers.reshape(order, -1), first, places
+    flat = np.concatenate(keys)
+    by_key = np.argsort(flat)
+    flat = flat[by_key]
+    new = np.ones(len(flat), bool)
+    np.not_equal(flat[1:], flat[:-1], out=new[1:])
+    numbers = np.empty(len(flat), np.int64)
+    numbers[by_key] = np.cumsum(new) - 1
+    return flat[new], numbers.reshape(order, -1), by_key[new], places
 
 
 def _part_of(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -225,12 +247,12 @@ def lm_scores(docs: DataFrame, work: Work, order: int = ORDER, mu: float = MU, f
     follow from the smoothing alone; an empty table gives an empty result.  Other columns are not read.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts, tasks = int(8 + size // part_bytes), int(8 + size // (4 * block_bytes))
+    parts, tasks = int(8 + size // part_bytes), int(8 + size // (2 * block_bytes))
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_fold("doc_id", folds) == held_out).alias("held_out"), "text")
     blocks = work.save(dealt.mapInArrow(_cut(block_bytes), "block long, ids array<long>, held array<boolean>, offs array<long>, texts binary"), "blocks")
     asked = blocks.mapInArrow(_request(order, parts), "part int, block long, keys binary, counts binary")
-    answered = asked.repartition(parts, "part").groupBy("part").applyInArrow(_answer, "block long, part int, width int, counts binary, n long, v long")
-    answers = work.save(answered, "answers", split=4 * block_bytes)
+    answered = asked.repartitionById(parts, F.col("part")).groupBy("part").applyInArrow(_answer, "block long, part int, width int, counts binary, n long, v long")
+    answers = work.save(answered, "answers", split=16 << 20)
     n, v = answers.where("block = -1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     back = answers.where("block >= 0").select("block", "part", "width", "counts").repartition(tasks, "block").groupBy("block")
