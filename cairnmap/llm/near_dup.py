@@ -150,8 +150,9 @@ def near_duplicates(docs: DataFrame, work: Work, k: int = 5, percent: int = 80,
     best = work.save(stars.groupBy("id").agg(F.max_by("hub", F.struct("votes", -F.col("hub"))).alias("hub")).select(F.col("id").alias("a"), F.col("hub").alias("b")), "best")
 
     def texts_of(ids: DataFrame) -> DataFrame:
-        """(doc_id, blob) of the ids: they meet the buckets, in memory that the ids of a bucket bound."""
-        return linked.select("doc_id", "blob").join(ids.select(F.col("id").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id", "left_semi")
+        """(doc_id, blob) of the ids: they are dealt like the buckets and meet them, in memory that the ids of a bucket bound."""
+        dealt = ids.select(F.col("id").alias("doc_id")).repartition(buckets, "doc_id").distinct()
+        return linked.select("doc_id", "blob").join(dealt.hint("shuffle_hash"), "doc_id", "left_semi")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The pairs that are similar.  Pairs with one hub are dealt over several tasks, each with a copy of the hub."""
