@@ -79,7 +79,7 @@ def _cut(block_bytes: int):
         texts, ids, held, lengths, size = [], [], [], [], 0
 
         def block():
-            packed = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
+            packed = zstandard.ZstdCompressor(level=6).compress(b"".join(texts))
             offs = np.concatenate([[0], np.cumsum(lengths)])
             return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65]), lists(ids, pa.int64()), lists(held, pa.bool_()), lists(offs, pa.int64()), pa.array([packed])], names=["block", "ids", "held", "offs", "texts"])
 
@@ -117,6 +117,12 @@ def _grams(block: dict, order: int):
     return flat[new], numbers.reshape(order, -1), by_key[new], places
 
 
+def _learned(block: dict, numbers: np.ndarray, offs: np.ndarray, size: int) -> np.ndarray:
+    """How often each key occurs in the texts of the block that are learned from."""
+    learn = np.repeat(~np.array(block["held"], bool), np.diff(offs))
+    return np.bincount(numbers[:, learn].ravel(), minlength=size)
+
+
 def _part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
 
@@ -127,8 +133,7 @@ def _request(order: int, parts: int):
             for i in range(batch.num_rows):
                 block = batch.slice(i, 1).to_pylist()[0]
                 distinct, numbers, _, offs = _grams(block, order)
-                learn = np.repeat(~np.array(block["held"], bool), np.diff(offs))
-                counts = np.bincount(numbers[:, learn].ravel(), minlength=len(distinct)).astype(np.uint32)
+                counts = _learned(block, numbers, offs, len(distinct)).astype(np.uint32)
                 cuts = np.searchsorted(_part_of(distinct, parts), np.arange(parts + 1))
                 rows = [(p, a, b) for p, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if b > a]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([block["block"]] * len(rows), pa.int64()), pa.array([pack(distinct[a:b], True) for _, a, b in rows], pa.binary()), pa.array([pack(counts[a:b]) for _, a, b in rows], pa.binary())], names=["part", "block", "keys", "counts"])
@@ -137,7 +142,8 @@ def _request(order: int, parts: int):
 
 
 def _answer(asked: pa.Table) -> pa.Table:
-    """All blocks' keys and counts of one part -> the training counts that each block asked for; the part's N and V."""
+    """All blocks' keys and counts of one part -> the training counts that each block asked for, without its own (so what
+    one block alone has is 0 and packs well); the part's N and V."""
     blocks, part = asked.column("block").to_pylist(), asked.column("part")[0].as_py()
     keys = [unpack(x, np.uint64, True) for x in asked.column("keys").to_pylist()]
     counts = [unpack(x, np.uint32) for x in asked.column("counts").to_pylist()]
@@ -146,7 +152,7 @@ def _answer(asked: pa.Table) -> pa.Table:
     single = (distinct & np.uint64(1)).astype(bool) & (total > 0)
     ends = np.cumsum([0] + [len(k) for k in keys])
     wide = 4 if total.max(initial=0) < 1 << 32 else 8
-    back = [pack(total[inverse[a:b]].astype(np.uint32 if wide == 4 else np.uint64)) for a, b in zip(ends[:-1], ends[1:])]
+    back = [pack((total[inverse[a:b]] - own).astype(np.uint32 if wide == 4 else np.uint64)) for own, a, b in zip(counts, ends[:-1], ends[1:])]
     none = [0] * len(blocks)
     return pa.table({"block": pa.array([*blocks, -1], pa.int64()), "part": pa.array([part] * (len(blocks) + 1), pa.int32()), "width": pa.array([wide] * len(blocks) + [0], pa.int32()), "counts": pa.array([*back, b""], pa.binary()), "n": pa.array([*none, int(total[single].sum())], pa.int64()), "v": pa.array([*none, int(single.sum())], pa.int64())})
 
@@ -227,6 +233,7 @@ def _score(order: int, mu: float, n_train: int, v: int):
             counts = np.concatenate([unpack(x, np.uint32 if w == 4 else np.uint64) for x, w in zip(answers.column("counts").to_pylist(), answers.column("width").to_pylist())]).astype(np.float64)
             if len(counts) != len(distinct) or blocks.num_rows > 1:
                 raise ValueError(f"block {block['block']} got {len(counts)} counts for {len(distinct)} n-grams")
+            counts += _learned(block, numbers, offs, len(distinct))
             # Texts begin as often as they end.
             automaton = Automaton(numbers, first, offs, counts, counts[numbers[0, offs[1] - 1]], n_train, v, mu)
             known = np.add.reduceat((counts[numbers[0]] > 0).astype(np.int64), offs[:-1])
