@@ -2,7 +2,7 @@
 
 from .operators.knn import knn_join
 from .operators.tiles import tile_count, tile_grid
-from .plans.localize import build_index, image_descriptors, k_sweep, locate, match, query_images, report
+from .plans.localize import build_index, build_site, extract, image_descriptors, k_sweep, locate, match, query_images, report
 
 
 def query_top_n_patches(queries, index, patches, n: int = 100, k: int = 5):
@@ -10,4 +10,4 @@ def query_top_n_patches(queries, index, patches, n: int = 100, k: int = 5):
     return query_images(queries, index, patches, k=k, n=n).select("image", "top_n")
 
 
-__all__ = ["build_index", "image_descriptors", "k_sweep", "knn_join", "locate", "match", "query_images", "query_top_n_patches", "report", "tile_count", "tile_grid"]
+__all__ = ["build_index", "build_site", "extract", "image_descriptors", "k_sweep", "knn_join", "locate", "match", "query_images", "query_top_n_patches", "report", "tile_count", "tile_grid"]

@@ -49,3 +49,22 @@ def shape_features(p: Point, q: Point, r: Point, eps: float = 1e-8) -> dict[str,
 def centroid(p: Point, q: Point, r: Point, offset: Point | None = None) -> Point:
     x, y = (p[0] + q[0] + r[0]) / 3, (p[1] + q[1] + r[1]) / 3
     return (x + offset[0], y + offset[1]) if offset else (x, y)
+
+
+def outward_bisector(before, at, after) -> tuple[Column, Column]:
+    """Unit vector that halves the outer angle of a counter-clockwise boundary at a vertex; where the sides fold back on
+    each other, the normal of the first."""
+
+    def normal(p, q):
+        dx, dy = q[0] - p[0], q[1] - p[1]
+        size = F.hypot(dx, dy) + 1e-10
+        return dy / size, -dx / size
+
+    (ax, ay), (bx, by) = normal(before, at), normal(at, after)
+    length = F.hypot(ax + bx, ay + by)
+    return F.when(length < 1e-6, ax).otherwise((ax + bx) / length), F.when(length < 1e-6, ay).otherwise((ay + by) / length)
+
+
+def adaptive_tolerance(area: Column, image_area: Column, perimeter: Column) -> Column:
+    """Tolerance for simplification, growing with the root of the share of the image: 0.2 to 2 % of the perimeter."""
+    return (0.002 + 0.018 * F.sqrt(F.greatest(F.lit(0.0), F.least(F.lit(1.0), area / image_area)))) * perimeter

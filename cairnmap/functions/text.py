@@ -38,6 +38,24 @@ def variant_name(kind: str, amount: float) -> str:
     raise ValueError(f"unknown variant {kind!r}")
 
 
+#: Labels of variants in tables (fixed values).
+VARIANT_LABELS = {
+    "l2_distance": r"Full 5-D CDT, $\ell_2$ distance",
+    "top1_no_voting": r"Top-1 match (no voting)",
+    "distance_weighted": r"Distance-weighted voting",
+    "interior_angles_only": r"Interior angles only ($\alpha_1,\alpha_2$)",
+    "mfca_only": r"MFCA only ($e_1,e_2,e_3$)",
+}
+
+
+def variant_label(name: Column) -> Column:
+    """A variant's label in TeX; K=5 and Dmax=4 as formulas, other names with escaped underscores."""
+    fixed = F.create_map(*(F.lit(x) for pair in VARIANT_LABELS.items() for x in pair))
+    value = F.split_part(name, F.lit("="), F.lit(2))
+    formula = F.when(name.startswith("K="), F.concat(F.lit("$K="), value, F.lit("$"))).when(name.startswith("Dmax="), F.concat(F.lit(r"Full 5-D CDT, $D_{\max}="), value, F.lit("$")))
+    return F.coalesce(F.try_element_at(fixed, name), formula, F.replace(name, F.lit("_"), F.lit(r"\_")))
+
+
 def number(value: Column, digits: int = 2) -> Column:
     """Fixed digits; --- for null and non-finite values."""
     finite = value.isNotNull() & ~F.isnan(value.cast("double")) & (F.abs(value.cast("double")) != float("inf"))

@@ -35,6 +35,7 @@ def to_polygons(detections: DataFrame, keys: list[str], least_score: float = 0.5
 def query_pool(queries: DataFrame, key: str, order: str, per_key: int = 5, total: int = 20) -> DataFrame:
     """Up to ``per_key`` queries of each key in order, until ``total`` is reached; a key that reaches it is taken whole."""
     first = queries.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(order))).where(F.col("_r") <= per_key)
-    sizes = first.groupBy(key).agg(F.count("*").alias("_n"))
+    # Each key has a query at least, so the first ``total`` keys decide: what is summed and sent is bounded by that.
+    sizes = first.groupBy(key).agg(F.count("*").alias("_n")).orderBy(key).limit(total)
     before = F.coalesce(F.sum("_n").over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return first.join(F.broadcast(sizes.withColumn("_before", before).where(F.col("_before") < total).select(key)), key).drop("_r")

@@ -1,8 +1,8 @@
 """Exact K-nearest-neighbour join of a stated query set against an index table of any size.
 
 Queries go out in blocks of bounded size; each task scans its part of the index once per block, keeps the k best of each
-query and emits only those, so the shuffle carries ``k`` rows for each query and task, and the last choice is a ranked
-window that Spark also cuts to k rows before its shuffle.
+query, with the columns that they carry, and emits only those, so the shuffle has ``k`` rows for each query and task.  The
+last choice is a ranked window that Spark also cuts to k rows before its shuffle.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 #: Queries of one block; with 64 single-precision components, 4 MB.
 BLOCK = 16_384
@@ -43,12 +45,16 @@ def distances(q: np.ndarray, s: np.ndarray, p: int) -> np.ndarray:
     return total if p == 1 else np.sqrt(total) if p == 2 else total ** (1 / p)
 
 
-def _best(rows: list[np.ndarray], k: int) -> list[np.ndarray]:
-    q, d, i = (np.concatenate(x) for x in zip(*rows)) if rows else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+def _best(rows: list[tuple], k: int) -> tuple:
+    """Of (query number, distance, index id, carried Arrow arrays) the k best of each query, in order."""
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), None
+    q, d, i = (np.concatenate([r[n] for r in rows]) for n in range(3))
     order = np.lexsort((i, d, q))
-    q, d, i = q[order], d[order], i[order]
-    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
-    return [q[keep], d[keep], i[keep]]
+    at = q[order]
+    order = order[np.arange(len(q)) - np.searchsorted(at, at) < k]
+    carried = [pa.concat_arrays([r[3][n] for r in rows]).take(pa.array(order)) for n in range(len(rows[0][3]))]
+    return q[order], d[order], i[order], carried
 
 
 def knn_join(queries: DataFrame, index: DataFrame, k: int, p: int = 1, query_id: str = "query_id", index_id: str = "index_id", vec: str = "vec", dims: tuple[int, int] | None = None, carry: Sequence[str] = (), skip_same_id: bool = False) -> DataFrame:
@@ -60,7 +66,9 @@ def knn_join(queries: DataFrame, index: DataFrame, k: int, p: int = 1, query_id:
         raise ValueError("k and p must be positive")
     part = F.slice(vec, dims[0] + 1, dims[1]) if dims else F.col(vec)
     asked = queries.where(F.col(vec).isNotNull()).select(F.col(query_id).cast("long").alias("query_id"), part.alias("vec"))
-    scanned = index.where(F.col(vec).isNotNull()).select(F.col(index_id).cast("long").alias("index_id"), part.alias("vec"))
+    scanned = index.where(F.col(vec).isNotNull()).select(F.col(index_id).cast("long").alias("index_id"), part.alias("vec"), *carry)
+    schema = scanned.drop("vec").schema
+    types = dict(zip(carry, to_arrow_schema(scanned.select(*carry).schema).types)) if carry else {}
     spark, blocks = queries.sparkSession, 1 + asked.count() // BLOCK
     found = None
     for b in range(blocks):
@@ -73,7 +81,7 @@ def knn_join(queries: DataFrame, index: DataFrame, k: int, p: int = 1, query_id:
 
         def run(batches, shared=shared):
             ids, q = shared.value
-            kept: list[list[np.ndarray]] = []
+            kept: list[tuple] = []
             # No row beyond the k-th distance found so far can count; ties with it still can, by id.
             size, bound = 0, np.full(len(ids), np.inf)
             for batch in batches if len(ids) else ():
@@ -88,7 +96,7 @@ def knn_join(queries: DataFrame, index: DataFrame, k: int, p: int = 1, query_id:
                         if d.shape[1] >= k and np.isinf(limit).any():
                             limit = bound[a : a + _QUERIES] = np.minimum(limit, np.partition(d, k - 1, axis=1)[:, k - 1])
                         r, c = np.nonzero((d <= limit[:, None]) & (d < np.inf))
-                        kept.append([r + a, d[r, c], own[c]])
+                        kept.append((r + a, d[r, c], own[c], [piece.column(n).take(pa.array(c)) for n in carry]))
                         size += len(r)
                     if size > 4 * k * len(q):
                         kept = [_best(kept, k)]
@@ -96,14 +104,13 @@ def knn_join(queries: DataFrame, index: DataFrame, k: int, p: int = 1, query_id:
                         full = np.flatnonzero(np.bincount(at, minlength=len(ids)) == k)
                         bound[full] = np.minimum(bound[full], far[np.searchsorted(at, full, "right") - 1])
                         size = len(at)
-            r, d, i = _best(kept, k)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[r] if len(ids) else r), pa.array(i), pa.array(d)], names=["query_id", "index_id", "distance"])
+            r, d, i, carried = _best(kept, k)
+            carried = carried or [pa.array([], types[n]) for n in carry]
+            yield pa.RecordBatch.from_arrays([pa.array(i), *carried, pa.array(ids[r] if len(ids) else r), pa.array(d)], names=["index_id", *carry, "query_id", "distance"])
 
-        near = scanned.mapInArrow(run, "query_id long, index_id long, distance double")
+        near = scanned.mapInArrow(run, StructType([*schema.fields, StructField("query_id", LongType()), StructField("distance", DoubleType())]))
         found = near if found is None else found.unionByName(near)
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "index_id"))).where(F.col("rank") <= k)
-    if carry:
-        ranked = ranked.join(index.select(F.col(index_id).cast("long").alias("index_id"), *carry), "index_id")
     return ranked.select("query_id", "index_id", *carry, "distance", "rank")
 
 
@@ -114,6 +121,14 @@ def nearest_one(points: DataFrame, candidates: DataFrame, key: str, px: str, py:
     return both.groupBy(key, px, py).agg(F.min_by(name, F.struct(d2, order)).alias(name), F.sqrt(F.min(d2)).alias("distance"))
 
 
+def nearest_point(points: DataFrame, candidates: DataFrame, point_id: str, at: tuple[str, str], candidate_id: str, there: tuple[str, str]) -> DataFrame:
+    """(point_id, candidate_id, distance): for each point its nearest candidate in the plane; on a tie the smallest id.  The
+    candidates are scanned once for each block of points, never paired with all of them in a shuffle."""
+    asked = points.select(F.col(point_id).alias("query_id"), F.array(*(F.col(c).cast("double") for c in at)).alias("vec"))
+    rows = candidates.select(F.col(candidate_id).alias("index_id"), F.array(*(F.col(c).cast("double") for c in there)).alias("vec"))
+    return knn_join(asked, rows, 1, 2).select(F.col("query_id").alias(point_id), F.col("index_id").alias(candidate_id), "distance")
+
+
 def top_pairs(queries: DataFrame, index: DataFrame, k: int, metric, query_id: str = "query_id", index_id: str = "index_id", vec: str = "vec") -> DataFrame:
     """The k closest pairs of a query and an index row overall, by score, then ids.  l1 and l2 by name run in blocks (the k
     best pairs are among the k nearest of each query); any other metric, a function of two array columns, scores each
@@ -121,6 +136,12 @@ def top_pairs(queries: DataFrame, index: DataFrame, k: int, metric, query_id: st
     if metric in ("l1", "l2"):
         near = knn_join(queries, index, k, 1 if metric == "l1" else 2, query_id, index_id, vec).select("query_id", "index_id", F.col("distance").alias("score"))
     else:
-        left = queries.select(F.col(query_id).alias("query_id"), F.col(vec).alias("_q"))
-        near = index.select(F.col(index_id).alias("index_id"), F.col(vec).alias("_s")).crossJoin(F.broadcast(left)).select("query_id", "index_id", metric(F.col("_q"), F.col("_s")).alias("score"))
+        left, near = queries.select(F.col(query_id).alias("query_id"), F.col(vec).alias("_q")), None
+        right = index.select(F.col(index_id).alias("index_id"), F.col(vec).alias("_s"))
+        blocks = 1 + left.count() // BLOCK
+        for b in range(blocks):
+            # A block of the stated queries is bounded, so it goes to all rows; each keeps its own k best.
+            block = left.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+            part = right.join(F.broadcast(block), how="cross").select("query_id", "index_id", metric(F.col("_q"), F.col("_s")).alias("score")).orderBy("score", "query_id", "index_id").limit(k)
+            near = part if near is None else near.unionByName(part)
     return near.orderBy("score", "query_id", "index_id").limit(k)

@@ -45,15 +45,17 @@ def match_bounds(names: DataFrame, bounds: DataFrame, name: str = "name", map_:
     plain = lambda c: F.regexp_replace(c, "^satellite", "")
     left = names.withColumn("_n", text.normal_name(F.col(name))).withColumn("_p", plain(F.col("_n"))).withColumn("_id", text.numeric_id(F.col("_n")))
     right = bounds.withColumn("_mn", text.normal_name(F.col(map_))).withColumn("_mp", plain(F.col("_mn"))).withColumn("_mid", text.numeric_id(F.col("_mn")))
+    # Of equal forms and of equal numbers only the first row of bounds can win, so no group of them is paired.
+    row = F.struct(*bounds.columns)
+    first = lambda df, key: df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(row, order).alias("_row"), F.min(order).alias(order))
     forms_l = left.select(name, F.explode(F.array_distinct(F.array("_n", "_p"))).alias("_f"))
-    forms_r = right.select("*", F.explode(F.array_distinct(F.array("_mn", "_mp"))).alias("_f"))
-    row = F.struct(*bounds.columns).alias("_row")
-    tier1 = forms_l.join(forms_r, "_f").select(name, F.lit(1).alias("tier"), order, row)
-    tier2 = left.join(right, F.col("_id") == F.col("_mid")).select(name, F.lit(2).alias("tier"), order, row)
+    forms_r = first(right.select("*", F.explode(F.array_distinct(F.array("_mn", "_mp"))).alias("_f")), "_f")
+    tier1 = forms_l.join(forms_r, "_f").select(name, F.lit(1).alias("tier"), order, "_row")
+    tier2 = left.join(first(right, "_mid"), F.col("_id") == F.col("_mid")).select(name, F.lit(2).alias("tier"), order, "_row")
     hit = tier1.unionByName(tier2)
     missed = left.join(hit.select(name).distinct(), name, "left_anti")
     inside = F.contains("_mn", "_n") | F.contains("_mn", "_p") | F.contains("_mp", "_p")
-    tier3 = missed.join(right, inside).select(name, F.lit(3).alias("tier"), order, row)
+    tier3 = missed.join(right, inside).select(name, F.lit(3).alias("tier"), order, row.alias("_row"))
     best = hit.unionByName(tier3).groupBy(name).agg(F.min_by("_row", F.struct("tier", order)).alias("_row"), F.min("tier").alias("tier"))
     return names.join(best, name, "left").select(*names.columns, "tier", *(F.col(f"_row.{c}").alias(c) for c in bounds.columns if c not in names.columns))
 
@@ -69,15 +71,19 @@ def signs(images: DataFrame, key: str, order: str) -> DataFrame:
     return images.withColumn("sign", F.when(place % 2 == 0, 1).otherwise(-1))
 
 
+def lot(key, seed: int = 0) -> Column:
+    """A lot for each key: md5 of seed and key, the same in every run and engine."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+
+
 def hash_sample(rows: DataFrame, key: str, n: int, seed: int = 0, within: str | None = None) -> DataFrame:
-    """n rows (of each ``within``) in the order of a hash of key."""
-    order = F.xxhash64(F.lit(seed), key)
+    """n rows (of each ``within``) in the order of their keys' lots."""
     if within is None:
-        return rows.orderBy(order, key).limit(n)
-    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(within).orderBy(order, key))).where(F.col("_r") <= n).drop("_r")
+        return rows.orderBy(lot(key, seed), key).limit(n)
+    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(within).orderBy(lot(key, seed), key))).where(F.col("_r") <= n).drop("_r")
 
 
 def foreground_or_chance(rows: DataFrame, key: str, ratio: Column, least: float, chance: float, seed: int = 0) -> DataFrame:
-    """Rows with enough foreground, and by chance a share of the others."""
-    drawn = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1_000_000)) < int(chance * 1_000_000)
+    """Rows with enough foreground, and by their keys' lots a share of the others."""
+    drawn = F.conv(F.substring(lot(key, seed), 1, 8), 16, 10).cast("long") < int(chance * 2**32)
     return rows.where((ratio >= least) | drawn)

@@ -16,7 +16,8 @@ def finite(value: Column) -> Column:
 
 
 def bundle(error: str = "error_m", at: Sequence[int] = RECALL_AT) -> list[Column]:
-    """Aggregates: count, mean, median, RMSE and recall in per cent; nulls for no rows."""
+    """Aggregates: count, mean, median, RMSE and recall in per cent; nulls for no rows.  The exact median's buffer has an
+    entry for each distinct error; records store errors in hundredths of a metre, which bounds it."""
     e = F.when(finite(F.col(error).cast("double")), F.col(error).cast("double"))
     recall = [(100 * F.avg((e <= t).cast("int"))).alias(f"recall_{t}") for t in at]
     return [F.count(e).alias("n"), F.avg(e).alias("mean"), F.median(e).alias("median"), F.sqrt(F.avg(e * e)).alias("rmse"), *recall]
@@ -62,10 +63,13 @@ def runtimes(records: DataFrame) -> DataFrame:
 
 
 def ecdf(records: DataFrame, key: str, error: str = "error_m") -> DataFrame:
-    """(key, error, fraction): i / n of the i-th smallest error; equal errors step one by one."""
+    """(key, error, fraction): i / n of the i-th smallest error; equal errors step one by one.  Only distinct errors are
+    ranked; records store them in hundredths of a metre, so their number has a bound, whatever the number of records."""
     known = records.where(F.col(key).isNotNull() & finite(F.col(error).cast("double")))
-    at = Window.partitionBy(key)
-    return known.select(key, error, (F.row_number().over(at.orderBy(error)) / F.count("*").over(at)).alias("fraction"))
+    steps, at = known.groupBy(key, error).agg(F.count("*").alias("_n")), Window.partitionBy(key)
+    steps = steps.withColumns({"_upto": F.sum("_n").over(at.orderBy(error)), "_all": F.sum("_n").over(at)})
+    each = steps.select(key, error, "_all", F.explode(F.sequence(F.col("_upto") - F.col("_n") + 1, F.col("_upto"))).alias("_i"))
+    return each.select(key, error, (F.col("_i") / F.col("_all")).alias("fraction"))
 
 
 def confusion(rows: DataFrame, truth: Column, predicted: Column) -> DataFrame:
@@ -79,7 +83,8 @@ def confusion(rows: DataFrame, truth: Column, predicted: Column) -> DataFrame:
 
 def quantile_cap(rows: DataFrame, key: str, area: str, image_area: Column | float, fraction: float = 0.95, quantile: float = 0.995, least: int = 4) -> DataFrame:
     """Rows of an area up to its group's cap: ``fraction`` of the image, and from ``least`` rows on also the quantile
-    (interpolated, at least 1).  The caps are joined back on the key, so a large group is not gathered."""
+    (interpolated, at least 1).  The caps are joined back on the key, so a large group is not gathered; the quantile's
+    buffer has an entry for each distinct area, at most the image's pixels."""
     hard = (image_area if isinstance(image_area, Column) else F.lit(float(image_area))) * fraction
     caps = rows.groupBy(key).agg(F.count(area).alias("_n"), F.percentile(area, quantile).alias("_q"))
     cap = F.when(F.col("_n") >= least, F.least(F.greatest("_q", F.lit(1.0)), hard)).otherwise(hard)
@@ -92,8 +97,26 @@ def blended(pixels: DataFrame, keys: Sequence[str], value: str, weight: str) ->
     return pixels.groupBy(*keys).agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), mean)).alias("blended"))
 
 
-def iou_matches(left: DataFrame, right: DataFrame, image: str, left_id: str, right_id: str, iou, least: float = 0.5) -> DataFrame:
-    """For each left box its best right box of the same image, where they overlap by more than ``least``."""
-    both = left.join(right, image).withColumn("iou", iou)
+def iou_matches(left: DataFrame, right: DataFrame, image: str, left_id: str, right_id: str, iou, least: float = 0.5, boxes: tuple | None = None, cell: float | None = None) -> DataFrame:
+    """For each left box its best right box of the same image, where they overlap by more than ``least``.
+
+    With ``boxes`` (x0, y0, x1, y1 of either side as two lists of column names) and ``cell``, only boxes that reach into one
+    cell of a grid meet: an image with many boxes is not squared.  Pairs that meet in several cells count once."""
+    if boxes:
+        spread = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell)))
+        left, right = (df.select("*", spread(b[0], b[2]).alias("_cx")).select("*", spread(b[1], b[3]).alias("_cy")) for df, b in zip((left, right), boxes))
+    both = left.join(right, [image, "_cx", "_cy"] if boxes else image).withColumn("iou", iou)
     best = both.groupBy(image, left_id).agg(F.max_by(right_id, F.struct("iou", -F.col(right_id))).alias(right_id), F.max("iou").alias("iou"))
     return best.where(F.col("iou") > least)
+
+
+def codes(rows: DataFrame, column: str) -> DataFrame:
+    """(column, code, n): the distinct values that are not null, numbered from 0 in order; one row a value."""
+    found = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+    return found.select(column, (F.row_number().over(Window.orderBy(column)) - 1).cast("long").alias("code"), "n")
+
+
+def index_size(index: DataFrame, patch: str = "patch", keys: Sequence[str] = ()) -> DataFrame:
+    """(*keys, n_descriptors, n_patches, mb) of an index, at 32 bytes a descriptor."""
+    aggs = [F.count("*").alias("n_descriptors"), F.count_distinct(patch).alias("n_patches"), F.round(F.count("*") * 32 / 1048576, 1).alias("mb")]
+    return index.groupBy(*keys).agg(*aggs) if keys else index.agg(*aggs)

@@ -18,6 +18,12 @@ def explode_polygons(rows: DataFrame, polygons: str = "polygons") -> DataFrame:
     return rows.select(*others, F.posexplode(polygons).alias("polygon_idx", "polygon")).where(F.size("polygon") >= 3)
 
 
+def below_share(rows: DataFrame, area: str, image_area: float, share: float = 0.2, least: float | None = None) -> DataFrame:
+    """Rows of an area under ``share`` of the image, and of ``least`` or more where that is given."""
+    kept = rows.where(F.col(area) < share * image_area)
+    return kept if least is None else kept.where(F.col(area) >= least)
+
+
 def polygon_descriptors(rows: DataFrame, polygon: str = "polygon", cap: int | tuple[int, ...] = 4, offset: tuple[str, str] | None = None) -> DataFrame:
     """A row for each interior triangle of each polygon: the other columns, triangle_idx, alpha1, alpha2, e1, e2, e3 and the
     triangle's centre (moved by the offset columns).  Null and degenerate polygons give no row.  With several caps

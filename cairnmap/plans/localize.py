@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import knn, metrics, polygons, vote
+from ..operators import detections, knn, metrics, polygons, vote
+from ..sources import layout, readers, writers
 
 
 def build_index(tiles: DataFrame, cap: int | tuple[int, ...] = 4) -> tuple[DataFrame, DataFrame]:
@@ -93,10 +96,50 @@ def report(records: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def scalability(index: DataFrame, sites: int) -> DataFrame:
-    """(n_descriptors, n_patches, mb) of the index of the first ``sites`` sites: 32 bytes a descriptor."""
-    chosen = index.select("site").distinct().orderBy("site").limit(sites)
-    return index.join(F.broadcast(chosen), "site").agg(F.count("*").alias("n_descriptors"), F.countDistinct("patch").alias("n_patches"), F.round(F.count("*") * 32 / 1048576, 1).alias("mb"))
+def scalability(index: DataFrame, counts: tuple[int, ...] = (1, 3), seconds: dict[int, tuple[float, float]] | None = None) -> DataFrame:
+    """(sites, n_descriptors, n_patches, mb[, build_s, query_s]) of the index of the first 1, 3, ... and all sites, in one
+    pass over the index.  ``seconds`` are measured times of a number of sites."""
+    sizes = index.groupBy("site").agg(F.count("*").alias("_n"), F.count_distinct("patch").alias("_p"))
+    place, all_ = F.row_number().over(Window.orderBy("site")), F.count("*").over(Window.partitionBy())
+    wanted = F.array_distinct(F.transform(F.array(*map(F.lit, counts), F.col("_all").cast("int")), lambda c: F.least(c, F.col("_all").cast("int"))))
+    each = sizes.withColumns({"_at": place, "_all": all_}).withColumn("sites", F.explode(wanted)).where("_at <= sites")
+    out = each.groupBy("sites").agg(F.sum("_n").alias("n_descriptors"), F.sum("_p").alias("n_patches"), F.round(F.sum("_n") * 32 / 1048576, 1).alias("mb"))
+    if seconds is None:
+        return out
+    times = index.sparkSession.createDataFrame([(n, b, q) for n, (b, q) in seconds.items()], "sites int, build_s double, query_s double")
+    return out.join(times, "sites", "left")
+
+
+def build_totals(index: DataFrame) -> DataFrame:
+    """(site, n_triangles, n_patches_with_buildings), a row a site."""
+    return index.groupBy("site").agg(F.count("*").alias("n_triangles"), F.count_distinct("patch").alias("n_patches_with_buildings"))
+
+
+def as_json(results: DataFrame) -> DataFrame:
+    """(image, json): each result as one JSON text."""
+    return results.select("image", F.to_json(F.struct(*results.columns)).alias("json"))
+
+
+def extract(images: DataFrame, model: Callable, schema: str, keys: list[str], cap: int = 4, least_score: float = 0.5) -> DataFrame:
+    """Images through a segmentation model to descriptors: mask instances, polygons, (image, query_id, vec)."""
+    found = detections.to_polygons(detections.segment(images, model, schema), keys, least_score)
+    return image_descriptors(found.select(F.col(keys[0]).alias("image"), "polygons"), cap)
+
+
+def build_site(tiles: DataFrame, model: Callable, schema: str, out: layout.Results | None = None, cap: int = 4, least_score: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """Tiles (site, patch_id, left, top, image) through a segmentation model to the index and its patch table.  ``schema``
+    is what the model gives: those keys with mask and score.  With ``out``, polygons, descriptors and totals are written
+    and the index is read back."""
+    found = detections.to_polygons(detections.segment(tiles, model, schema), ["site", "patch_id", "left", "top"], least_score)
+    found = found.select("site", "patch_id", F.array(F.col("left").cast("int"), F.col("top").cast("int")).alias("tl"), "polygons")
+    if out is None:
+        return build_index(found, cap)
+    writers.write_polygons(found, out.table("polygons"))
+    rows, _ = build_index(tiles.sparkSession.read.json(out.table("polygons"), schema="site string, " + readers.TILE_POLYGONS), cap)
+    writers.write_descriptors(rows, out.table("descriptors"))
+    index = tiles.sparkSession.read.schema(rows.schema).parquet(out.table("descriptors"))
+    writers.write_meta(build_totals(index), out.table("meta"))
+    return index, vote.patch_centroids(index, "patch", "centroid_x", "centroid_y")
 
 
 def workload(images: int, tiles: int, variants: int, tiles_per_s: float, triangles: int, triangles_per_s: float) -> dict[str, float]:

@@ -49,11 +49,12 @@ def _near(spark, sf_dir, k, p=1, dims=None) -> DataFrame:
     return knn.knn_join(asked, rows, k, p, dims=dims, carry=("label",), skip_same_id=True)
 
 
-def _near_sql(k: int, p: int = 1, dims: str = "") -> str:
+def _near_sql(k: int, p: int = 1, dims: str = "", rest: bool = False) -> str:
+    """The k nearest of the stated queries among all other rows or, with ``rest``, among those that are no queries."""
     term = "abs(CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE))"
     total = f"list_sum(list_transform(list_zip(q.embedding{dims}, i.embedding{dims}), lambda x: {term if p == 1 else f'{term} * {term}'}))"
     return f"""near AS (SELECT q.vec_id AS query_id, i.vec_id AS index_id, i.label, {total if p == 1 else f'sqrt({total})'} AS distance
-  FROM embeddings q JOIN embeddings i ON q.vec_id % 20 = 0 AND i.vec_id <> q.vec_id),
+  FROM embeddings q JOIN embeddings i ON q.vec_id % 20 = 0 AND {"i.vec_id % 20 <> 0" if rest else "i.vec_id <> q.vec_id"}),
 m AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, index_id) AS rank FROM near QUALIFY rank <= {k})"""
 
 
@@ -94,13 +95,14 @@ def _matches(spark, sf_dir, patch: str, k: int = 5) -> DataFrame:
     return _near(spark, sf_dir, k).selectExpr("query_id div 100 as image", f"{patch} as patch", "query_id", "index_id", "distance", "rank")
 
 
-def _matches_sql(patch: str, k: int = 5) -> str:
-    return f"{_near_sql(k)}, v AS (SELECT query_id // 100 AS image, {patch} AS patch, query_id, index_id, distance, rank FROM m)"
+def _matches_sql(patch: str, k: int = 5, rest: bool = False) -> str:
+    return f"{_near_sql(k, rest=rest)}, v AS (SELECT query_id // 100 AS image, {patch} AS patch, query_id, index_id, distance, rank FROM m)"
 
 
 _FINE, _FINE_SQL = "index_id div 10", "index_id // 10"
-_PLURALITY = """c AS (SELECT image, patch, count(*) AS votes FROM v GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY votes DESC, patch) AS rank FROM c)
+_RANKED = """c AS (SELECT image, patch, count(*) AS votes FROM v GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY votes DESC, patch) AS rank FROM c)"""
+_PLURALITY = _RANKED + """
 SELECT image, CAST(max(CASE WHEN rank = 1 THEN patch END) AS BIGINT) AS winner, max(votes) AS votes, coalesce(max(CASE WHEN rank = 2 THEN votes END), 0) AS runner_up,
   CAST(sum(votes) AS BIGINT) AS total_votes, count(*) AS n_voted, max(votes) - coalesce(max(CASE WHEN rank = 2 THEN votes END), 0) AS margin FROM r GROUP BY image"""
 
@@ -167,23 +169,21 @@ def k_sweep_accuracy(spark, sf_dir):
     return rounded(found.join(truth, "image").groupBy("k").agg(F.count("*").alias("images"), (100 * F.avg((F.col("winner") == F.col("label")).cast("int"))).alias("accuracy")))
 
 
-@query("SELECT label AS patch, round(avg(CAST(embedding[1] AS DOUBLE)), 5) AS centroid_x, round(avg(CAST(embedding[2] AS DOUBLE)), 5) AS centroid_y, count(*) AS n FROM embeddings GROUP BY label")
+@query("SELECT label AS patch, round(CAST(CAST(avg(CAST(embedding[1] AS DOUBLE)) AS FLOAT) AS DOUBLE), 5) AS centroid_x, round(CAST(CAST(avg(CAST(embedding[2] AS DOUBLE)) AS FLOAT) AS DOUBLE), 5) AS centroid_y, count(*) AS n FROM embeddings GROUP BY label")
 def patch_centroids(spark, sf_dir):
     rows = t(spark, sf_dir, "embeddings").select(F.col("label").alias("patch"), F.col("embedding")[0].alias("x"), F.col("embedding")[1].alias("y"))
-    means = rows.groupBy("patch").agg(F.avg(F.col("x").cast("double")).alias("centroid_x"), F.avg(F.col("y").cast("double")).alias("centroid_y"), F.count("*").alias("n"))
-    return rounded(means, 5)
+    found = vote.patch_centroids(rows)
+    return found.select("patch", *(F.round(F.col(c).cast("double"), 5).alias(c) for c in ("centroid_x", "centroid_y")), "n")
 
 
 @query("""WITH c AS (SELECT label, avg(CAST(embedding[1] AS DOUBLE)) AS x, avg(CAST(embedding[2] AS DOUBLE)) AS y FROM embeddings GROUP BY label),
 p AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS px, CAST(embedding[2] AS DOUBLE) AS py FROM embeddings WHERE vec_id % 20 = 0)
 SELECT vec_id, arg_min(label, ((px - x) ** 2 + (py - y) ** 2, label)) AS label, round(sqrt(min((px - x) ** 2 + (py - y) ** 2)), 6) AS distance FROM p, c GROUP BY vec_id""")
 def nearest_candidate(spark, sf_dir):
-    rows = t(spark, sf_dir, "embeddings").select("vec_id", "label", F.lit(1).alias("map"), F.col("embedding")[0].cast("double").alias("px"), F.col("embedding")[1].cast("double").alias("py"))
-    centres = rows.groupBy("map", "label").agg(F.avg("px").alias("cx"), F.avg("py").alias("cy"))
-    points = rows.where("vec_id % 20 = 0").select("vec_id", "map", "px", "py")
-    both = points.join(centres, "map")
-    d2 = (F.col("px") - F.col("cx")) ** 2 + (F.col("py") - F.col("cy")) ** 2
-    return rounded(both.groupBy("vec_id").agg(F.min_by("label", F.struct(d2, "label")).alias("label"), F.sqrt(F.min(d2)).alias("distance")))
+    rows = t(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding")[0].cast("double").alias("px"), F.col("embedding")[1].cast("double").alias("py"))
+    centres = rows.groupBy("label").agg(F.avg("px").alias("cx"), F.avg("py").alias("cy"))
+    found = knn.nearest_point(rows.where("vec_id % 20 = 0"), centres, "vec_id", ("px", "py"), "label", ("cx", "cy"))
+    return rounded(found.select("vec_id", F.col("label").cast("int").alias("label"), "distance"))
 
 
 @query(f"WITH {_near_sql(1000)} SELECT query_id, index_id, round(distance, 6) AS score FROM m ORDER BY distance, query_id, index_id LIMIT 1000")
@@ -192,6 +192,12 @@ def legacy_topk_pairs(spark, sf_dir):
     return rounded(near.select("query_id", "index_id", F.col("distance").alias("score")).orderBy("score", "query_id", "index_id").limit(1000))
 
 
+@query(f"WITH {_near_sql(50, rest=True)} SELECT query_id, index_id, round(distance, 6) AS score FROM near ORDER BY distance, query_id, index_id LIMIT 50")
+def top_pairs_l1(spark, sf_dir):
+    rows = t(spark, sf_dir, "embeddings")
+    return rounded(knn.top_pairs(rows.where("vec_id % 20 = 0"), rows.where("vec_id % 20 <> 0"), 50, "l1", "vec_id", "vec_id", "embedding"))
+
+
 # ---- distances -------------------------------------------------------------------------------------------------------
 
 
@@ -375,7 +381,7 @@ def quantile_cap(spark, sf_dir):
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_extendedprice < 0.2 * 200000 AND l_extendedprice >= 1000")
 def area_filters(spark, sf_dir):
-    return t(spark, sf_dir, "lineitem").where("l_extendedprice < 0.2 * 200000 and l_extendedprice >= 1000").select("l_orderkey", "l_linenumber")
+    return polygons.below_share(t(spark, sf_dir, "lineitem"), "l_extendedprice", 200000, least=1000).select("l_orderkey", "l_linenumber")
 
 
 @query("""WITH b AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
@@ -387,7 +393,10 @@ def box_iou_match(spark, sf_dir):
     rows = t(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("image"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
     side = lambda df, s: df.select("image", F.col("vec_id").alias(f"{s}_id"), F.col("x").alias(f"{s}x"), F.col("y").alias(f"{s}y"))
     box = lambda s: [F.col(f"{s}x"), F.col(f"{s}y"), F.col(f"{s}x") + 0.5, F.col(f"{s}y") + 0.5]
-    return rounded(metrics.iou_matches(side(rows.where("vec_id % 20 = 0"), "left"), side(rows, "right"), "image", "left_id", "right_id", F.when(F.col("left_id") != F.col("right_id"), geo.box_iou(box("left"), box("right")))))
+    edges = lambda df, n: df.withColumns({f"{n}x1": F.col(f"{n}x") + 0.5, f"{n}y1": F.col(f"{n}y") + 0.5})
+    left, right = edges(side(rows.where("vec_id % 20 = 0"), "left"), "left"), edges(side(rows, "right"), "right")
+    names = tuple([f"{n}x", f"{n}y", f"{n}x1", f"{n}y1"] for n in ("left", "right"))
+    return rounded(metrics.iou_matches(left, right, "image", "left_id", "right_id", F.when(F.col("left_id") != F.col("right_id"), geo.box_iou(box("left"), box("right"))), boxes=names, cell=0.5))
 
 
 @query("""WITH e AS (SELECT user_id AS pixel, value / 500 AS v, greatest(0.001, 1 - abs(event_id % 100 - 49.5) / 49.5) AS w FROM events)
@@ -485,8 +494,17 @@ def name_forms(spark, sf_dir):
 
 @query("SELECT d.doc_id, d.source, l.quality, l.toxic FROM documents d LEFT JOIN (SELECT doc_id, quality, toxic FROM labels QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY quality, toxic) = 1) l USING (doc_id)")
 def pose_lookup(spark, sf_dir):
-    labels = t(spark, sf_dir, "labels").withColumn("o", F.struct("quality", "toxic"))
-    return t(spark, sf_dir, "documents").select("doc_id", "source").join(lookup.first_per_key(labels, "doc_id", "o").drop("o"), "doc_id", "left")
+    poses = t(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("filename"), "quality", "toxic", F.struct("quality", "toxic").alias("num"))
+    images = t(spark, sf_dir, "documents").select("doc_id", "source", F.concat(F.lit("some/folder/"), "doc_id").alias("image"))
+    return lookup.pose_of(images, poses).select("doc_id", "source", "quality", "toxic")
+
+
+@query("SELECT l.doc_id, min(l.quality) AS quality FROM labels l JOIN documents d USING (doc_id) GROUP BY l.doc_id")
+def pose_demanded(spark, sf_dir):
+    labels = t(spark, sf_dir, "labels").join(t(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+    poses = labels.select(F.col("doc_id").cast("string").alias("filename"), "quality", F.col("quality").alias("num"))
+    images = labels.select("doc_id", F.concat(F.lit("photos/"), "doc_id").alias("image")).distinct()
+    return lookup.pose_required(images, poses).select("doc_id", "quality")
 
 
 @query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -513,16 +531,13 @@ def first_per_site(spark, sf_dir):
 
 @query("SELECT 'events' AS origin, event_type AS name, count(*) AS n FROM events GROUP BY event_type UNION ALL SELECT 'orders', o_orderstatus, count(*) FROM orders GROUP BY o_orderstatus")
 def union_records(spark, sf_dir):
-    part = lambda name, c: t(spark, sf_dir, name).groupBy(F.col(c).alias("name")).agg(F.count("*").alias("n")).select(F.lit(name).alias("origin"), "name", "n")
+    part = lambda name, c: metrics.codes(t(spark, sf_dir, name), c).select(F.lit(name).alias("origin"), F.col(c).alias("name"), "n")
     return part("events", "event_type").unionByName(part("orders", "o_orderstatus"))
 
 
 @query("SELECT event_type, dense_rank() OVER (ORDER BY event_type) - 1 AS code, n FROM (SELECT event_type, count(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY event_type)")
 def distinct_codes(spark, sf_dir):
-    from pyspark.sql import Window
-
-    kinds = t(spark, sf_dir, "events").where("event_type is not null").groupBy("event_type").agg(F.count("*").alias("n"))
-    return kinds.select("event_type", (F.dense_rank().over(Window.orderBy("event_type")) - 1).cast("long").alias("code"), "n")
+    return metrics.codes(t(spark, sf_dir, "events"), "event_type")
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -532,7 +547,7 @@ def json_cache_scan(spark, sf_dir):
 
 @query("SELECT count(*) AS n_descriptors, count(DISTINCT label) AS n_patches, round(count(*) * 32 / 1048576.0, 1) AS mb FROM embeddings")
 def index_size(spark, sf_dir):
-    return t(spark, sf_dir, "embeddings").agg(F.count("*").alias("n_descriptors"), F.countDistinct("label").alias("n_patches"), F.round(F.count("*") * 32 / 1048576, 1).alias("mb"))
+    return metrics.index_size(t(spark, sf_dir, "embeddings"), "label")
 
 
 @query("""SELECT event_type, replace(replace(event_type, '_', '\\_'), '%', '\\%') || ' & ' || printf('%.2f', avg(value)) || ' & ' || printf('%.2f', max(value)) || ' \\\\' AS line FROM events GROUP BY event_type""")
@@ -576,3 +591,6 @@ def locate_images(spark, sf_dir):
     images = tiles_.where("vec_id % 20 = 0").select(F.col("patch_id").alias("image"), F.transform("polygons", lambda p: F.transform(p, lambda q: F.array(jitter(q[0], q[1], 1), jitter(q[1], q[0], 2)))).alias("polygons"))
     found = localize.query_images(localize.image_descriptors(images).persist(), index, patches, n=5)
     return found.select("image", "winner", "votes", "runner_up", "margin", "total_votes", "pred_px_x", "pred_px_y")
+
+
+from . import records  # noqa: E402, F401  registers the queries over records, sources and flows

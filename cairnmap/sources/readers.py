@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text
+from ..operators import lookup
+
+#: Column names and order of the stored tables (fixed values).
 POSE = (("num", "string"), ("filename", "string"), ("date", "string"), ("lat", "double"), ("lon", "double"), ("height", "double"), ("Omega", "double"), ("Kappa", "double"), ("Phi1", "double"), ("Phi2", "double"))
 BOUNDS = "map string, LT_lat_map double, LT_lon_map double, RB_lat_map double, RB_lon_map double"
 TILE_POLYGONS = "patch_id string, tl array<int>, polygons array<array<array<double>>>"
@@ -16,16 +20,31 @@ RECORD = "site string, image string, variant string, n_polygons int, n_descripto
 
 def flight_metadata(spark: SparkSession, path: str) -> DataFrame:
     """Poses from text without a header, fields apart by blanks or a comma; fields that do not parse are null."""
+    return parse_poses(spark.read.text(path))
+
+
+def parse_poses(lines: DataFrame) -> DataFrame:
+    """Lines (value, ...) of flight metadata -> the other columns and POSE; blank lines give no row."""
     parts = F.split(F.trim("value"), r"\s*,\s*|\s+")
     fields = [F.get(parts, i) if kind == "string" else F.expr(f"try_cast(get(split(trim(value), '\\\\s*,\\\\s*|\\\\s+'), {i}) as {kind})") for i, (_, kind) in enumerate(POSE)]
-    rows = spark.read.text(path).where(F.trim("value") != "")
-    return no_nan(rows.select(*(F.trim(f).alias(n) if kind == "string" else f.alias(n) for f, (n, kind) in zip(fields, POSE))))
+    others = [c for c in lines.columns if c != "value"]
+    return no_nan(lines.where(F.trim("value") != "").select(*others, *(F.trim(f).alias(n) if kind == "string" else f.alias(n) for f, (n, kind) in zip(fields, POSE))))
 
 
 def map_bounds(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(BOUNDS).csv(path, header=True)
 
 
+def bounds_by_name(spark: SparkSession, name: str, *paths: str) -> dict[str, float] | None:
+    """The bounds of the most similar map name in the first table of bounds that exists; None without a table or a hit."""
+    path = first_existing(spark, *paths)
+    if path is None:
+        return None
+    table = map_bounds(spark, path).withColumn("pos", F.monotonically_increasing_id())
+    row = lookup.match_bounds(spark.createDataFrame([(name,)], "name string"), table).first()
+    return None if row.tier is None else {k: row[f"{k}_map"] for k in ("LT_lat", "LT_lon", "RB_lat", "RB_lon")}
+
+
 def first_existing(spark: SparkSession, *paths: str) -> str | None:
     """The first of some candidate paths that exists, on any file system Spark reads."""
     jvm = spark.sparkContext._jvm
@@ -53,6 +72,20 @@ def json_text(spark: SparkSession, path: str, schema: str, encoding: str = "UTF-
     return spark.read.schema(schema).option("multiLine", True).option("encoding", encoding).json(path)
 
 
+def cached_polygons(spark: SparkSession, path: str, images: DataFrame, encoding: str = "UTF-8") -> DataFrame:
+    """(image, polygons) of the images (image) whose stored polygons are found by file stem and are not empty."""
+    if first_existing(spark, path) is None:
+        return spark.createDataFrame([], IMAGE_POLYGONS)
+    return cached_of(images, json_text(spark, path, IMAGE_POLYGONS, encoding), "polygons")
+
+
+def cached_of(images: DataFrame, cached: DataFrame, value: str) -> DataFrame:
+    """images with their cached value (an array), joined on the file stem; images without one, or with an empty one, give
+    no row.  Of several cached rows of a stem, the first by the cached name counts."""
+    known = cached.where(F.size(value) > 0).groupBy(text.stem(F.col("image")).alias("_stem")).agg(F.min_by(value, "image").alias(value))
+    return images.withColumn("_stem", text.stem(F.col("image"))).join(known, "_stem").drop("_stem")
+
+
 def descriptors(spark: SparkSession, path: str, format: str = "parquet", columns: list[str] | None = None) -> DataFrame:
     """The descriptor table or some columns of it; csv or parquet."""
     df = spark.read.parquet(path) if format == "parquet" else spark.read.schema(DESCRIPTORS).csv(path, header=True)

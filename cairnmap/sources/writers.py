@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import number, tex
 
+#: Columns of the expansion table (fixed values).
 EXPANSION = "filename string, seed_triangle_idx int, vertex_0_idx int, vertex_1_idx int, vertex_2_idx int, vertex_0_x double, vertex_0_y double, vertex_1_x double, vertex_1_y double, vertex_2_x double, vertex_2_y double, ekeland_v0 double, ekeland_v1 double, ekeland_v2 double, axis_v0 string, axis_v1 string, axis_v2 string, mean_ekeland double, expansion_steps int, num_triangles_in_region int, num_boundary_vertices int"
 
 
@@ -55,3 +56,41 @@ def flat_expansions(df: DataFrame) -> DataFrame:
         *(F.coalesce(F.try_element_at("axes", v(i)), F.lit("Unknown")).alias(f"axis_v{i}") for i in range(3)),
         ((angle(0) + angle(1) + angle(2)) / 3).alias("mean_ekeland"), "expansion_steps", "num_triangles_in_region", "num_boundary_vertices",
     )
+
+
+def write_meta(totals: DataFrame, path: str) -> None:
+    """One JSON file with a line for each site; totals are a row a site."""
+    totals.coalesce(1).write.mode("overwrite").json(path)
+
+
+def cache_images(images: DataFrame, polygons_path: str, descriptors_path: str, mode: str = "append") -> None:
+    """Stored polygons and descriptors of located images (image, variant, polygons, descriptors): main variant only."""
+    main = images.where("variant = 'main'")
+    main.select("image", "polygons").write.mode(mode).json(polygons_path)
+    main.select("image", "descriptors").write.mode(mode).parquet(descriptors_path)
+
+
+def stored(records: DataFrame) -> DataFrame:
+    """Records as they are stored: seconds to four digits, pixels to one, metres to two, halves to even."""
+    digits = {"pred_px_x": 1, "pred_px_y": 1, "error_m": 2} | {c: 4 for c in records.columns if c.startswith("t_")}
+    return records.withColumns({c: F.bround(c, n) for c, n in digits.items() if c in records.columns})
+
+
+def write_expansions(df: DataFrame, path: str) -> bool:
+    """The expansion table as CSV with a header; no rows: no file, and False."""
+    rows = flat_expansions(df)
+    if rows.isEmpty():
+        return False
+    rows.write.mode("overwrite").option("header", True).csv(path)
+    return True
+
+
+def write_tex(tables: dict[str, DataFrame], path: str) -> None:
+    """One text file: a comment with each table's name, then its lines (column line, in the order of column label)."""
+    lines = None
+    for i, (name, rows) in enumerate(tables.items()):
+        label, line = rows.columns
+        part = rows.select(F.lit(i).alias("_t"), F.col(label).cast("string").alias("_l"), F.col(line).alias("value"))
+        head = rows.sparkSession.createDataFrame([(i, None, f"% {name}")], "_t int, _l string, value string")
+        lines = head.unionByName(part) if lines is None else lines.unionByName(head).unionByName(part)
+    lines.orderBy("_t", F.asc_nulls_first("_l")).select("value").coalesce(1).write.mode("overwrite").text(path)

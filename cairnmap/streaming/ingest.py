@@ -21,9 +21,7 @@ def locate_stream(images: DataFrame, locate: Callable[[DataFrame], DataFrame], o
     spark = images.sparkSession
 
     def add(batch: DataFrame, number: int) -> None:
-        known = readers.records(spark, out).select("image").distinct()
-        fresh = batch.join(known, "image", "left_anti").dropDuplicates(["image"])
-        if not fresh.isEmpty():
-            writers.append_records(locate(fresh), out)
+        known = readers.records(spark, out).select("image")
+        writers.append_records(locate(batch.dropDuplicates(["image"]).join(known, "image", "left_anti")), out)
 
     return images.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
