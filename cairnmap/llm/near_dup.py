@@ -140,7 +140,7 @@ def near_duplicates(docs: DataFrame, work: Work, k: int = 5, percent: int = 80,
     buckets = min(100_000, 8 + (own.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET)
     sig = work.bucketed(own.where("doc_id is not null").mapInArrow(run, schema), "sig", "doc_id", buckets)
     linked = sig.where("n > 0")
-    nodes = work.save(linked.groupBy("lo", "hi", "n").agg(F.min("doc_id").alias("id"), F.first("a").alias("a"), F.first("b").alias("b")), "nodes")
+    nodes = work.save(linked.groupBy("lo", "hi", "n").agg(F.min("doc_id").alias("id"), F.first("a").alias("a"), F.first("b").alias("b")).repartition(buckets, "id"), "nodes")
     keys = F.flatten(F.transform("a", lambda x, i: F.transform("b", lambda y, j: F.xxhash64(x, y, i * halves + j))))
     rows = nodes.select("id", F.col("n").cast("int").alias("n"), F.explode(keys).alias("key"))
     hubs = rows.groupBy("key").agg(F.min(F.struct("id", "n")).alias("h"), F.max("id").alias("top")).where("h.id <> top").select("key", F.col("h.id").alias("hub"), F.col("h.n").alias("hub_n"))
