@@ -26,7 +26,7 @@ from . import tokens
 from .work import Work, crc_fold, table
 
 ORDER, MU = 3, 100.0
-BLOCK_BYTES, PART_BYTES = 6 << 20, 8 << 20
+BLOCK_BYTES, PART_BYTES = 6 << 20, 4 << 20
 #: Tokens that one lane of a traversal reads.
 LANE = 512
 _END, _START = np.uint64(0xE7D), np.uint64(0x57A27)
@@ -108,12 +108,13 @@ def _grams(block: dict, order: int):
     data = pa.py_buffer(zstandard.ZstdDecompressor().decompress(block["texts"]))
     keys, places = ngrams(pa.LargeStringArray.from_buffers(len(offs) - 1, pa.py_buffer(offs), data), order)
     flat = np.concatenate(keys)
+    del keys, data
     by_key = np.argsort(flat)
     flat = flat[by_key]
     new = np.ones(len(flat), bool)
     np.not_equal(flat[1:], flat[:-1], out=new[1:])
-    numbers = np.empty(len(flat), np.int64)
-    numbers[by_key] = np.cumsum(new) - 1
+    numbers = np.empty(len(flat), np.int32)
+    numbers[by_key] = np.cumsum(new, dtype=np.int32) - 1
     return flat[new], numbers.reshape(order, -1), by_key[new], places
 
 
@@ -187,6 +188,7 @@ class Automaton:
         self.to[opens[at + 1]] = self.start  # after an end, the next text begins
         self.fail = np.log10(mu / (seen + mu))
         arcs = np.flatnonzero((counts > 0) | (length == 0))
+        del seen, opens, length
         key = source[arcs] * np.int64(len(counts)) + numbers[0, at[arcs]]
         by_key = np.argsort(key)
         self.keys, self.arcs, self.order = key[by_key], arcs[by_key], order
