@@ -137,6 +137,20 @@ def test_licenses_equal_brute_force(spark):
             assert got.get(d, {}) == pytest.approx(brute_licenses(t, licenses.TEMPLATES))
 
 
+def test_license_wordings_apart():
+    """Versions of a header that differ in several words are told apart; whoever differs in one word has less containment."""
+    names, found = sorted(licenses.TEMPLATES), {}
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    for name in names:
+        hits = scanner.find(*tokens.word_hashes(pa.array([f"before it {licenses.TEMPLATES[name]} and after"])))
+        found[name] = {names[h[1]]: h[4] for h in hits}
+        assert found[name][name] >= 0.8
+        assert found[name][name] == max(found[name].values())
+    assert "GPL-3.0-header" not in found["GPL-2.0-header"] and "GPL-2.0-header" not in found["GPL-3.0-header"]
+    assert "CC-BY-4.0" not in found["CC-BY-SA-4.0"] and "LGPL-2.1-header" not in found["GPL-2.0-header"]
+    assert found["AGPL-3.0-header"]["GPL-3.0-header"] < found["AGPL-3.0-header"]["AGPL-3.0-header"] == 1.0
+
+
 def test_license_odd_rows(spark, odd):
     assert licenses.license_scan(odd).count() == 0
     assert licenses.license_scan(odd, {"t": "four five six seven eight nine"}).count() == 3
