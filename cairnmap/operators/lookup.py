@@ -41,7 +41,7 @@ def pairs_by_name(images: DataFrame, masks: DataFrame, name: str = "name") -> Da
 def match_bounds(names: DataFrame, bounds: DataFrame, name: str = "name", map_: str = "map", order: str = "pos") -> DataFrame:
     """names with the row of bounds of the most similar map name: equal normal forms (with or without the prefix
     "satellite"), else the same last number, else containment; the first row by ``order`` of the first way that hits.
-    Equal forms and numbers are equi-joins; only names without either meet all (bounded) map names.  No hit: nulls."""
+    All three are equi-joins on a form, a number or a substring of a map name, so no name meets all maps.  No hit: nulls."""
     plain = lambda c: F.regexp_replace(c, "^satellite", "")
     left = names.withColumn("_n", text.normal_name(F.col(name))).withColumn("_p", plain(F.col("_n"))).withColumn("_id", text.numeric_id(F.col("_n")))
     right = bounds.withColumn("_mn", text.normal_name(F.col(map_))).withColumn("_mp", plain(F.col("_mn"))).withColumn("_mid", text.numeric_id(F.col("_mn")))
@@ -54,8 +54,13 @@ def match_bounds(names: DataFrame, bounds: DataFrame, name: str = "name", map_:
     tier2 = left.join(first(right, "_mid"), F.col("_id") == F.col("_mid")).select(name, F.lit(2).alias("tier"), order, "_row")
     hit = tier1.unionByName(tier2)
     missed = left.join(hit.select(name).distinct(), name, "left_anti")
-    inside = F.contains("_mn", "_n") | F.contains("_mn", "_p") | F.contains("_mp", "_p")
-    tier3 = missed.join(right, inside).select(name, F.lit(3).alias("tier"), order, row.alias("_row"))
+    # A form inside a map name is one of its substrings, so this is an equi-join too, with the first map of each substring.
+    maps = first(right, "_mn")
+    cuts = F.expr("if(length(_mn) > 0, flatten(transform(sequence(1, length(_mn)), i -> transform(sequence(1, length(_mn) - i + 1), n -> substring(_mn, i, n)))), array())")
+    parts = maps.select("_mn", order, F.explode(F.concat(F.array(F.lit("")), cuts)).alias("_f"))
+    parts = parts.groupBy("_f").agg(F.min_by("_mn", order).alias("_mn"))
+    forms_m = missed.select(name, F.explode(F.array_distinct(F.array("_n", "_p"))).alias("_f"))
+    tier3 = forms_m.join(parts, "_f").select(name, "_mn").distinct().join(maps, "_mn").select(name, F.lit(3).alias("tier"), order, "_row")
     best = hit.unionByName(tier3).groupBy(name).agg(F.min_by("_row", F.struct("tier", order)).alias("_row"), F.min("tier").alias("tier"))
     return names.join(best, name, "left").select(*names.columns, "tier", *(F.col(f"_row.{c}").alias(c) for c in bounds.columns if c not in names.columns))
 

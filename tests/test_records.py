@@ -1,5 +1,7 @@
 import json
 import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -169,3 +171,33 @@ def test_stream_adds_each_image_once(spark, tmp_path):
         (src / f"{n}.json").write_text(json.dumps({"image": n, "polygons": []}))
         ingest.locate_stream(ingest.image_stream(spark, str(src)), locate, out, str(tmp_path / check)).awaitTermination()
     assert sorted(r.image for r in readers.records(spark, out).collect()) == ["a", "b"]
+
+
+def test_contained_names_equal_brute_force(spark):
+    """Names without an equal form or number: the first map that holds the name, also where many do; repeats, blanks, nulls."""
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("ab") for _ in range(n))
+    maps = [(i, ("satellite_" if i % 3 == 0 else "") + word(rng.randint(4, 9)) + ".tif") for i in range(60)] + [(60, None), (61, "")]
+    asked = [word(rng.randint(1, 5)) for _ in range(60)] + ["satellite " + word(3), "a", "a", "", "__", None]
+    names = spark.createDataFrame([(n,) for n in asked], "name string")
+    got = lookup.match_bounds(names, spark.createDataFrame(maps, "pos int, map string"))
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+
+    form = lambda s: re.sub("[^a-z0-9]", "", re.sub(r"(?<=.)\.[^.]*$", "", s).strip().lower())
+    plain = lambda s: re.sub("^satellite", "", s)
+
+    def want(name):
+        if name is None:
+            return (None, None)
+        n = form(name)
+        known = [(i, form(m)) for i, m in maps if m is not None]
+        for i, m in known:
+            if {n, plain(n)} & {m, plain(m)}:
+                return (1, i)
+        return next(((3, i) for i, m in known if n in m or plain(n) in m), (None, None))
+
+    rows = got.collect()
+    assert len(rows) == len(asked)
+    for r in rows:
+        assert (r.tier, r.pos) == want(r.name), r
+    assert {r.tier for r in rows} == {1, 3, None}
