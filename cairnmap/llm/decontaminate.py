@@ -9,6 +9,11 @@ are verified by the edit distance, in words, between the item and the best stret
 Windows start at every word of a text.  A window takes part if as many of its words occur in items as an item within the
 allowed distance needs; this filter loses nothing.  Walks end as soon as no item has the sampled prefix.
 A candidate also has to share enough words with the item, counted with repeats, before its edit distance is computed.
+
+Walks of distant sequences drift apart with their length, so an item of over ``PIECE`` words is cut into pieces of equal
+length that are embedded each: of the allowed edits, which are a share of the words, at least one piece holds no more than
+that share of its own.  Whatever piece collides, the whole item is verified, so the recall of a long item is that of one
+piece at least.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from pyspark.sql import functions as F
 from . import tokens
 from .work import table, through_arrow
 
-REPEATS, SAMPLED, GROUP = 64, 3, 4
+REPEATS, SAMPLED, GROUP, PIECE = 64, 3, 4, 60
 #: Items are broadcast in blocks of about so many bytes of text at most; each block is matched against all documents.
 ITEM_BYTES = 16 << 20
 
@@ -47,20 +52,22 @@ def edit_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 
 
 class Matcher:
-    """Items of one block, grouped by length, with their sampled keys for every repetition."""
+    """Pieces of the items of one block, grouped by length, with their sampled keys for every repetition."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]], percent: int = 80, repeats: int = REPEATS):
         self.percent, self.repeats = percent, repeats
-        self.groups: dict[int, list[tuple[int, np.ndarray]]] = {}
-        for key, words in items:
-            if len(words):
-                self.groups.setdefault(len(words) // GROUP, []).append((key, words))
+        self.items = [(key, words, Counter(words.tolist())) for key, words in items if len(words)]
+        self.groups: dict[int, list[tuple[int, int, np.ndarray]]] = {}  # (number of the item, place in it, words)
+        for number, (_, words, _) in enumerate(self.items):
+            cuts = np.linspace(0, len(words), -(-len(words) // PIECE) + 1).astype(int).tolist()
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                self.groups.setdefault((b - a) // GROUP, []).append((number, a, words[a:b]))
         self.vocabulary = np.unique(np.concatenate([w for _, w in items])) if items else np.zeros(0, np.uint64)
         self.bitmap = np.zeros(1 << 20, bool)
         self.bitmap[(self.vocabulary & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         self.tables = {}
         for g, members in self.groups.items():
-            least = min(len(w) for _, w in members)
+            least = min(len(w) for *_, w in members)
             rng = np.random.default_rng(1000 + g)
             # The pointer moves at every other step: twice as many steps as words span the shortest item, whose length
             # bounds the words that any walk of the group reads.
@@ -68,17 +75,16 @@ class Matcher:
             sampled = [np.sort(rng.choice(reach, min(SAMPLED, reach), replace=False)) for _ in range(repeats)]
             bits = [rng.integers(0, 1 << 63, reach, np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(repeats)]
             inside = np.zeros(len(self.vocabulary) + 1, bool)
-            for _, w in members:
+            for *_, w in members:
                 inside[np.searchsorted(self.vocabulary, w)] = True
-            starts = np.cumsum([0] + [len(w) for _, w in members])[:-1]
-            flat = np.concatenate([w for _, w in members])
+            starts = np.cumsum([0] + [len(w) for *_, w in members])[:-1]
+            flat = np.concatenate([w for *_, w in members])
             tables = []
             for r in range(repeats):
                 keys = self.walk(flat, starts, starts + least - 1, sampled[r], bits[r])
                 order = np.argsort(keys[-1], kind="stable")
                 tables.append((sampled[r], bits[r], [np.unique(k) for k in keys[:-1]] + [keys[-1][order]], order))
-            bags = [Counter(w.tolist()) for _, w in members]
-            self.tables[g] = (members, inside, tables, bags, least)
+            self.tables[g] = (members, inside, tables, least)
 
     @staticmethod
     def walk(words: np.ndarray, at: np.ndarray, last: np.ndarray, sampled: np.ndarray, bits: np.ndarray, want=None):
@@ -109,10 +115,10 @@ class Matcher:
         place = np.minimum(np.searchsorted(self.vocabulary, h[maybe]), len(self.vocabulary) - 1)
         real = self.vocabulary[place] == h[maybe]
         code[maybe[real]] = place[real]
-        spots: dict[tuple[int, int, int], set[int]] = {}
-        for group, (members, inside, tables, _, least) in self.tables.items():
-            most = max(len(w) for _, w in members)
-            need = min(len(w) - allowed(len(w), self.percent) for _, w in members)
+        spots: dict[tuple[int, int], set[int]] = {}  # (text, item) -> where the item would begin
+        for members, inside, tables, least in self.tables.values():
+            most = max(len(w) for *_, w in members)
+            need = min(len(w) - allowed(len(w), self.percent) for *_, w in members)
             sums = np.zeros(len(h) + most + 1, np.int32)
             np.cumsum(inside[code], out=sums[1 : len(h) + 1])
             sums[len(h) + 1 :] = sums[len(h)]
@@ -129,23 +135,27 @@ class Matcher:
                 left, right = (np.searchsorted(keys[-1], key, side).tolist() for side in ("left", "right"))
                 for w, a, b in zip(rows.tolist(), left, right):
                     for j in order[a:b].tolist():
-                        spots.setdefault((int(doc[w]), group, j), set()).add(int(live[w]))
+                        number, place, _ = members[j]
+                        spots.setdefault((int(doc[w]), number), set()).add(int(live[w]) - place)
         out = []
-        for (doc, group, j), starts in spots.items():
-            key, item = self.tables[group][0][j]
-            bag = self.tables[group][3][j]
-            n, d, best, upto = len(item), allowed(len(item), self.percent), None, -1
+        for (doc, number), starts in spots.items():
+            key, item, bag = self.items[number]
+            n, d, best = len(item), allowed(len(item), self.percent), None
+            stretches: list[list[int]] = []
             for p in sorted(starts):
                 lo, hi = max(int(words[doc]), p - d), min(int(words[doc + 1]), p + n + 2 * d)
-                if hi <= upto:
-                    continue
                 # Each edit spoils one word of the item at most.
                 if (bag & Counter(h[lo:hi].tolist())).total() < n - d:
                     continue
-                upto = hi
+                # Stretches that overlap are read once, so a text full of an item takes no longer than one with few.
+                if stretches and lo <= stretches[-1][1]:
+                    stretches[-1][1] = hi
+                else:
+                    stretches.append([lo, hi])
+            for lo, hi in stretches:
                 cost, stop = edit_distance(item, h[lo:hi])
                 if cost <= d and (best is None or cost < best[0]):
-                    length = n if not cost else edit_distance(item[::-1], h[lo : lo + stop][::-1])[1]
+                    length = n if not cost else edit_distance(item[::-1], h[max(lo, lo + stop - n - d) : lo + stop][::-1])[1]
                     best = (cost, lo + stop - length - int(words[doc]), lo + stop - int(words[doc]))
             if best:
                 out.append((doc, key, *best))
@@ -159,7 +169,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, repea
 
     Words fold A-Z.  Items and documents without words (null, empty, blank) match nothing; items of under five words match
     exactly only.  Items with equal words are reported each.  Rows with a null doc_id or item_id are reported with it.
-    A very long text is matched whole, in one piece; memory follows its number of words.  What is found in a text does not
+    Ids are cast to long.  A very long text is matched whole, in one piece; memory follows its number of words.  What is found in a text does not
     depend on other texts.  An empty table on either side gives an empty result.  Other columns are not read.
     """
     schema = "doc_id long, item_id long, distance int, first_word int, end_word int"
@@ -172,10 +182,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, repea
                 for lo, hi in tokens.slices(tokens.byte_lengths(whole.column(1)), 4 << 20):
                     batch = whole.slice(lo, hi - lo)
                     found = matcher.find(*tokens.word_hashes(batch.column(1)))
-                    ids = batch.column(0).cast(pa.int64()).take(pa.array([f[0] for f in found], pa.int64()))
+                    ids = batch.column(0).take(pa.array([f[0] for f in found], pa.int64()))
                     yield pa.RecordBatch.from_arrays([ids, *(pa.array([f[i] for f in found], t) for i, t in ((1, pa.int64()), (2, pa.int32()), (3, pa.int32()), (4, pa.int32())))], names=["doc_id", "item_id", "distance", "first_word", "end_word"])
 
-        part = docs.select("doc_id", "text").mapInArrow(run, schema)
+        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -193,7 +203,9 @@ def _blocks(benchmark: DataFrame, item_bytes: int):
 
 def clean(docs: DataFrame, benchmark: DataFrame, percent: int = 80, repeats: int = REPEATS, item_bytes: int = ITEM_BYTES) -> DataFrame:
     """The rows of docs (text, ...) that hold no item in the sense of contaminated(), with all their columns, whatever their
-    names.  Each row is judged by its own text; nothing is shuffled."""
+    names.  Each row is judged by its own text; nothing is shuffled.  Null, empty and blank texts hold no item and stay, as do
+    all rows where the benchmark has no words; repeated rows are judged alike; very long texts are matched whole; an empty
+    table gives an empty result.  What is compared, and how, is that of contaminated(); doc_id is not read."""
     at = [c.lower() for c in docs.columns].index("text")
     for shared in _blocks(benchmark, item_bytes):
 
@@ -210,6 +222,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, percent: int = 80, repeats: int
 
 
 def op2_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document holds, with its distance and place."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
