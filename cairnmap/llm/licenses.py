@@ -7,6 +7,9 @@ holds ``percent`` of a template's shingles has at least a known Jaccard similari
 each) makes the chance that no band collides at most ``MISS``.  Minima are taken over blocks once and combined for the
 larger classes.  Candidates are verified on full shingle sets: all stretches of L in the window are counted, so no false
 match is reported, and what a text holds does not depend on the texts around it or on where in the text it lies.
+
+Words are compared from their first letter or digit on, and words without one are left out: comment markers, opening quotes
+and brackets of source code do not hide a license.
 """
 
 from __future__ import annotations
@@ -59,7 +62,7 @@ def bands_for(least: int, window: int, percent: int) -> int:
 class Scanner:
     def __init__(self, templates: dict[str, str], percent: int = 80):
         self.percent, self.names = percent, sorted(templates)
-        h, words = tokens.word_hashes(pa.array([templates[n] for n in self.names], pa.string()))
+        h, words = tokens.bare_hashes(pa.array([templates[n] for n in self.names], pa.string()))[:2]
         if len(self.names) and np.diff(words).min() < WORDS:
             raise ValueError(f"a template needs {WORDS} words")
         self.sizes = np.diff(words)
@@ -149,7 +152,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, percent
     two); of several such stretches the fullest, then the one that begins first.  Wordings that differ by a word or two (the
     AGPL and GPL headers) are both reported; the containment tells them apart.
 
-    Words fold A-Z.  Texts of under five words (null, empty, blank) match nothing.  A null doc_id is reported as null;
+    Words fold A-Z and count from their first letter or digit on (beyond ASCII, all are letters); others are left out, but first_word and end_word are numbers among all words.  Texts of under five words (null, empty, blank) match nothing.  A null doc_id is reported as null;
     repeated rows are each reported.  A very long text is scanned whole, by itself; memory follows its number of words.
     Empty tables give empty results; other columns are not read.  Templates (a bounded,
     stated list, of five words or more each) go to all executors; a shorter one raises ValueError.
@@ -161,7 +164,8 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, percent
         for whole in batches:
             for lo, hi in tokens.slices(tokens.byte_lengths(whole.column(1)), 4 << 20):
                 batch = whole.slice(lo, hi - lo)
-                found = scanner.find(*tokens.word_hashes(batch.column(1)))
+                h, words, place = tokens.bare_hashes(batch.column(1))
+                found = [(d, i, int(place[words[d] + a]), int(place[words[d] + z - 1]) + 1, s) for d, i, a, z, s in scanner.find(h, words)]
                 ids = batch.column(0).take(pa.array([f[0] for f in found], pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, pa.array([scanner.names[f[1]] for f in found], pa.string()), pa.array([f[2] for f in found], pa.int32()), pa.array([f[3] for f in found], pa.int32()), pa.array([f[4] for f in found], pa.float64())], names=["doc_id", "license", "first_word", "end_word", "containment"])
 
@@ -169,6 +173,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, percent
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every template that a document holds, with its place and containment."""
     return license_scan(table(spark, sf_dir, "documents"))
 
 

@@ -107,6 +107,36 @@ def word_hashes(texts: pa.Array, prefix: int = 0):
     return found, words
 
 
+_INNER = np.ones(256, bool)
+_INNER[[b for b in range(128) if not chr(b).isalnum()]] = False
+
+
+def bare_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word from its first letter or digit on, offsets of the texts in them, number of each in all words of its
+    text).  Words without letter or digit are none; whatever is not ASCII counts as a letter."""
+    data, offsets = buffer_of(texts)
+    hashes, places, numbers, before = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    for lo, b, start, end in word_spans(data, offsets):
+        inner = np.flatnonzero(_INNER[b])
+        place = np.searchsorted(inner, start)
+        real = np.flatnonzero(place < np.searchsorted(inner, end))
+        first, last = inner[place[real]], end[real]
+        sums = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum(_LOW[b] * _power(_P, len(b))[: len(b)], out=sums[1:])
+        hashes.append(mix((sums[last] - sums[first]) * _power(_PINV, len(b))[first]))
+        places.append(first + lo)
+        doc = np.searchsorted(offsets, start + lo, "right") - 1
+        # Words of earlier blocks count, too, for a text that began in one.
+        opened = np.searchsorted(doc, doc)
+        number = np.arange(len(start)) - opened
+        if len(doc) and before and before[0] == doc[0]:
+            number[doc == doc[0]] += before[1]
+        if len(doc):
+            before = (int(doc[-1]), int(number[-1]) + 1)
+        numbers.append(number[real])
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(places), offsets), np.concatenate(numbers)
+
+
 def chain(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hash of each run of k consecutive items (one for each start that has k items)."""
     n = max(0, len(hashes) - k + 1)
