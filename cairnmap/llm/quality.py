@@ -22,6 +22,8 @@ from .work import crc_fold, table
 WORD_BITS, DIM, SHAPES = 16, 32, 4 * 3 * 4 * 2 * 4
 ROWS = (1 << WORD_BITS) + SHAPES
 MAX_FIT = 12_000
+#: Tables of word-vector sums that one task adds up.
+FAN = 8
 _KIND = np.zeros((3, 256), np.int64)
 _KIND[0, 65:91] = 1
 _KIND[1, 48:58] = 1
@@ -83,13 +85,23 @@ def _accumulate(batches):
             yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([pack(total[c : c + 4096].astype(np.int64).ravel())])], names=["c", "v"])
 
 
-def _summed(batches):
-    total: dict[int, np.ndarray] = {}
-    for b in batches:
-        for c, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            total[c] = total.get(c, 0) + unpack(v, np.int64)
-    for c, v in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([v.astype(np.float32).tobytes()])], names=["c", "v"])
+def _summed(group: pa.Table) -> pa.Table:
+    """The sum of some tasks' tables of one piece."""
+    total = sum(unpack(v, np.int64) for v in group.column("v").to_pylist())
+    return group.select(["c", "from"]).slice(0, 1).append_column("v", pa.array([pack(total)], pa.binary()))
+
+
+def word_sums(docs: DataFrame) -> DataFrame:
+    """(c, v): pieces of the sums over all documents.  Tables of tasks are added up in a tree: at every step each sum has
+    FAN tables at most, so no task gathers what all tasks send."""
+    sums = docs.select("text").mapInArrow(_accumulate, "c long, v binary")
+    left = sums.rdd.getNumPartitions()
+    sums = sums.withColumn("from", F.spark_partition_id())
+    while left > 1:
+        left = -(-left // FAN)
+        sums = sums.withColumn("from", F.floor(F.col("from") / FAN).cast("int"))
+        sums = sums.repartition(-(-ROWS // 4096) * left, "c", "from").groupBy("c", "from").applyInArrow(_summed, "c long, from int, v binary")
+    return sums.select("c", "v")
 
 
 def pool(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
@@ -165,12 +177,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int =
     rows: probability 1/2."""
     spark = docs.sparkSession
     rows = sample_of(docs, labels, label, folds, held_out, most)
-    # Sums of whole numbers are exact in any order.  Each task sends one table; pieces of it are added up apart.
-    sums = docs.select("text").mapInArrow(_accumulate, "c long, v binary")
-    got = sums.repartition(-(-ROWS // 4096), "c").mapInArrow(_summed, "c long, v binary").toArrow()
-    vectors = np.zeros((ROWS, DIM), np.float32)
+    # Sums of whole numbers are exact in any order.
+    got, vectors = word_sums(docs).toArrow(), np.zeros((ROWS, DIM), np.float32)
     for c, v in zip(got.column(0).to_pylist(), got.column(1).to_pylist()):
-        vectors[c : c + 4096] = np.frombuffer(v, np.float32).reshape(-1, DIM)
+        vectors[c : c + 4096] = unpack(v, np.int64).reshape(-1, DIM).astype(np.float32)
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
     found = rows.mapInArrow(_pooled(spark.sparkContext.broadcast(vectors)), "key long, label int, x binary").toArrow().sort_by([("key", "ascending"), ("label", "ascending"), ("x", "ascending")])
     x = np.frombuffer(b"".join(found.column(2).to_pylist()), np.float32).reshape(-1, 2 * DIM).astype(np.float64)
@@ -180,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int =
 
 def scored(docs: DataFrame, model: tuple[np.ndarray, dict]) -> DataFrame:
     """(doc_id, text) -> doc_id, score; a row for each row.  Null and empty texts are scored by zeros; a text of any length
-    is scored whole; equal texts get equal scores.  An empty table gives an empty result; other columns are not read."""
+    is scored whole; equal texts, repeated rows among them, get equal scores.  An empty table gives an empty result; other columns are not read."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -193,6 +203,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, dict]) -> DataFrame:
 
 
 def op8_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's probability of good quality; the labels outside the fold that is held out train it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = scored(docs, fit(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", (crc_fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

@@ -158,6 +158,18 @@ def test_classifiers_odd_rows(spark, odd, module):
     assert module.scored(odd.limit(0), module.fit(odd.limit(0), labels)).count() == 0
 
 
+def test_word_sums_of_many_tasks(spark):
+    """The tree gives the sums of one task, whatever the number of partitions."""
+    from cairnmap.llm.lm import unpack
+
+    rng = random.Random(1)
+    docs = spark.createDataFrame([(" ".join(rng.choice(["alpha", "beta", "Gamma", "x1"]) for _ in range(30)),) for _ in range(200)], "text string")
+    sums = lambda df: {r.c: unpack(bytes(r.v), np.int64).tolist() for r in quality.word_sums(df).collect()}
+    want = sums(docs.coalesce(1))
+    assert want and sums(docs.repartition(5)) == want and sums(docs.repartition(70)) == want
+    assert sums(docs.limit(0)) == {}
+
+
 def brute_lm(docs, order, mu):
     seqs = [(i, (t or "").encode().lower().split() + ["</s>"]) for i, t in docs]
     train = [s for i, s in seqs if crc32(("" if i is None else str(i)).encode()) % 10]
