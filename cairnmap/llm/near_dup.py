@@ -137,7 +137,7 @@ def near_duplicates(docs: DataFrame, work: Work, k: int = 5, percent: int = 80,
     """
     run, schema = signatures(k, halves, half_rows)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    buckets = min(100_000, 8 + (own.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET)
+    buckets = 8 + (own.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET
     sig = work.bucketed(own.where("doc_id is not null").mapInArrow(run, schema), "sig", "doc_id", buckets)
     linked = sig.where("n > 0")
     nodes = work.save(linked.groupBy("lo", "hi", "n").agg(F.min("doc_id").alias("id"), F.first("a").alias("a"), F.first("b").alias("b")).repartition(buckets, "id"), "nodes")
@@ -200,6 +200,7 @@ def near_duplicates(docs: DataFrame, work: Work, k: int = 5, percent: int = 80,
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's number of two-word shingles and its class at a similarity of 0.8."""
     return near_duplicates(table(spark, sf_dir, "documents"), Work(spark, "near-dup"), k=2)
 
 
