@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Steps that are written take texts from the JVM in batches of 8 MB (or one text), in place of 64 MB.
+STEP = {CLEANUP: "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,13 +56,13 @@ class Work:
     def save(self, df: DataFrame, name: str, split: int | None = None) -> DataFrame:
         """Writes df and reads it back.  ``split``: bytes that a task of this step reads of a table at most (packed tables
         hold more work a byte than others)."""
-        with setting(self.spark, **{CLEANUP: "true"} | ({"spark.sql.files.maxPartitionBytes": str(split), "spark.sql.files.openCostInBytes": str(split // 4)} if split else {})):
+        with setting(self.spark, **STEP | ({"spark.sql.files.maxPartitionBytes": str(split), "spark.sql.files.openCostInBytes": str(split // 4)} if split else {})):
             df.write.parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def bucketed(self, df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
         """Saves df in buckets of the hash of ``key``: later joins on the key move only their other side."""
-        with setting(self.spark, **{CLEANUP: "true", "spark.sql.sources.bucketing.maxBuckets": str(max(buckets, 100_000))}):
+        with setting(self.spark, **STEP | {"spark.sql.sources.bucketing.maxBuckets": str(max(buckets, 100_000))}):
             df.repartition(buckets, key).write.option("path", f"{self.path}/{name}").bucketBy(buckets, key).saveAsTable(self._listed(name))
         return self.spark.table(self._listed(name))
 
