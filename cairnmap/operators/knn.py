@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
+from ..sources import shared
+
 #: Queries of one block; with 64 single-precision components, 4 MB.
 BLOCK = 16_384
 #: A piece of distances stays in a core's cache.
@@ -70,6 +72,8 @@ def knn_join(queries: DataFrame, index: DataFrame, k: int, p: int = 1, query_id:
     schema = scanned.drop("vec").schema
     types = dict(zip(carry, to_arrow_schema(scanned.select(*carry).schema).types)) if carry else {}
     spark, blocks = queries.sparkSession, 1 + asked.count() // BLOCK
+    if blocks > 1:  # each block is a filter over them, so they are made once
+        asked = shared.saved(asked, "queries")
     found = None
     for b in range(blocks):
         block = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()
@@ -77,10 +81,10 @@ def knn_join(queries: DataFrame, index: DataFrame, k: int, p: int = 1, query_id:
             continue
         ids = block.column(0).to_numpy()
         vectors = _matrix(block.column(1).combine_chunks()) if block.num_rows else np.zeros((0, 0))
-        shared = spark.sparkContext.broadcast((ids, vectors))
+        sent = spark.sparkContext.broadcast((ids, vectors))
 
-        def run(batches, shared=shared):
-            ids, q = shared.value
+        def run(batches, sent=sent):
+            ids, q = sent.value
             kept: list[tuple] = []
             # No row beyond the k-th distance found so far can count; ties with it still can, by id.
             size, bound = 0, np.full(len(ids), np.inf)
@@ -129,14 +133,70 @@ def nearest_point(points: DataFrame, candidates: DataFrame, point_id: str, at: t
     return knn_join(asked, rows, 1, 2).select(F.col("query_id").alias(point_id), F.col("index_id").alias(candidate_id), "distance")
 
 
-def top_pairs(queries: DataFrame, index: DataFrame, k: int, metric, query_id: str = "query_id", index_id: str = "index_id", vec: str = "vec") -> DataFrame:
-    """The k closest pairs of a query and an index row overall, by score, then ids.  l1 and l2 by name run in blocks (the k
-    best pairs are among the k nearest of each query); any other metric, a function of two array columns, scores each
-    query of a stated set against all rows."""
+def _within(block: pa.Table, k: int, p: int, sample: tuple[np.ndarray, np.ndarray], skip_same_id: bool):
+    """mapInArrow function: (index_id, vec) -> the task's k best pairs.  The k-th score among the queries and a sample of the
+    index bounds the answer before the first row; the bound falls as pairs are found, and only pairs under it are kept."""
+    ids = block.column(0).to_numpy()
+    q = _matrix(block.column(1).combine_chunks()) if block.num_rows else np.zeros((0, 0))
+
+    def best(found, k):
+        score, a, b = (np.concatenate([f[n] for f in found]) for n in range(3))
+        order = np.lexsort((b, a, score))[:k]
+        return score[order], a[order], b[order]
+
+    def closest(own, s, bound, found, size):
+        for lo in range(0, len(q), _QUERIES):
+            d = distances(q[lo : lo + _QUERIES], s, p)
+            if skip_same_id:
+                d[ids[lo : lo + _QUERIES, None] == own[None, :]] = np.inf
+            r, c = np.nonzero((d <= bound) & (d < np.inf))
+            found.append((d[r, c], ids[r + lo], own[c]))
+            size += len(r)
+            if size >= 4 * k:
+                found[:] = [best(found, k)]
+                size, bound = k, min(bound, found[0][0][-1])
+        return bound, size
+
+    def run(batches):
+        bound, found, size = np.inf, [], 0
+        if len(ids) and len(sample[0]):
+            first: list = []
+            for lo in range(0, len(sample[0]), _ROWS):
+                bound, size = closest(sample[0][lo : lo + _ROWS], sample[1][lo : lo + _ROWS], bound, first, size)
+            score = best(first, k)[0] if first else []
+            # Sums in another order may differ by a hair.
+            bound = score[-1] * (1 + 1e-12) + 1e-12 if len(score) == k else np.inf
+        size = 0
+        for batch in batches if len(ids) else ():
+            for lo in range(0, batch.num_rows, _ROWS):
+                piece = batch.slice(lo, _ROWS)
+                bound, size = closest(piece.column(0).to_numpy(), _matrix(piece.column(1), q.shape[1]), bound, found, size)
+        score, a, b = best(found, k) if found else (np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(score)], names=["query_id", "index_id", "score"])
+
+    return run
+
+
+def top_pairs(queries: DataFrame, index: DataFrame, k: int, metric, query_id: str = "query_id", index_id: str = "index_id", vec: str = "vec", skip_same_id: bool = False) -> DataFrame:
+    """The k closest pairs of a query and an index row overall, by score, then ids.  l1 and l2 by name run in blocks of
+    queries, one scan of the index each; a task emits k pairs at most, those under a bound that a sample of the index and
+    the pairs it has seen set.  Any other metric, a function of two array columns, scores each query of a stated set
+    against all rows."""
+    if k < 1:
+        raise ValueError("k must be positive")
+    near = None
     if metric in ("l1", "l2"):
-        near = knn_join(queries, index, k, 1 if metric == "l1" else 2, query_id, index_id, vec).select("query_id", "index_id", F.col("distance").alias("score"))
+        asked = queries.where(F.col(vec).isNotNull()).select(F.col(query_id).cast("long").alias("query_id"), F.col(vec).alias("vec"))
+        scanned = index.where(F.col(vec).isNotNull()).select(F.col(index_id).cast("long").alias("index_id"), F.col(vec).alias("vec"))
+        some = scanned.orderBy(F.xxhash64("index_id"), "index_id").limit(_ROWS).toArrow()
+        sample = (some.column(0).to_numpy(), _matrix(some.column(1).combine_chunks()) if some.num_rows else np.zeros((0, 0)))
+        blocks = 1 + asked.count() // BLOCK
+        for b in range(blocks):
+            block = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()
+            part = scanned.mapInArrow(_within(block, k, 1 if metric == "l1" else 2, sample, skip_same_id), "query_id long, index_id long, score double")
+            near = part if near is None else near.unionByName(part)
     else:
-        left, near = queries.select(F.col(query_id).alias("query_id"), F.col(vec).alias("_q")), None
+        left = queries.select(F.col(query_id).alias("query_id"), F.col(vec).alias("_q"))
         right = index.select(F.col(index_id).alias("index_id"), F.col(vec).alias("_s"))
         blocks = 1 + left.count() // BLOCK
         for b in range(blocks):

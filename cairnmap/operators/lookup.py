@@ -15,13 +15,15 @@ def first_per_key(rows: DataFrame, key: str, order: str) -> DataFrame:
     return best.select(key, *(F.col(f"_r.{c}").alias(c) for c in columns))
 
 
-def pose_of(images: DataFrame, poses: DataFrame, order: str = "num") -> DataFrame:
-    """images (image) with the first pose of its file name, null where there is none."""
-    unique = first_per_key(poses.where("filename is not null"), "filename", order)
+def pose_of(images: DataFrame, poses: DataFrame, order: str | None = None) -> DataFrame:
+    """images (image) with the first pose of its file name, null where there is none.  Poses as flight_metadata() reads them
+    have their lines' ``position``; others come in ``order``, or in that of ``num``."""
+    order = order or ("position" if "position" in poses.columns else "num")
+    unique = first_per_key(poses.where("filename is not null"), "filename", order).drop("position")
     return images.withColumn("filename", F.trim(text.base_name(F.col("image")))).join(unique, "filename", "left")
 
 
-def pose_required(images: DataFrame, poses: DataFrame, order: str = "num") -> DataFrame:
+def pose_required(images: DataFrame, poses: DataFrame, order: str | None = None) -> DataFrame:
     """As pose_of; an image without a pose is an error."""
     known = poses.select("filename", F.lit(True).alias("_known")).distinct()
     found = pose_of(images, poses, order).join(known, "filename", "left")
@@ -38,10 +40,37 @@ def pairs_by_name(images: DataFrame, masks: DataFrame, name: str = "name") -> Da
     return images.join(masks, name)
 
 
+def grams(text_: str, size: int):
+    """The distinct pieces of ``size`` characters of a column; none if it is shorter."""
+    return F.expr(f"if(length(`{text_}`) < {size}, array(), array_distinct(transform(sequence(1, length(`{text_}`) - {size - 1}), i -> substring(`{text_}`, i, {size}))))")
+
+
+def containing(parts: DataFrame, part: str, wholes: DataFrame, whole: str, order: str, size: int = 3) -> DataFrame:
+    """(part, whole): for each distinct text ``part`` the first whole text, by ``order``, that contains it.
+
+    An inverted index of pieces of ``size`` characters: a text has as many as characters.  A part looks up its rarest piece
+    only and is compared with the texts that have it; a shorter part is a piece itself, the empty one is in all texts."""
+    asked = parts.select(part).where(F.col(part).isNotNull()).distinct()
+    texts = wholes.select(whole, F.col(order).alias("_o"))
+    short = None
+    for n in range(1, size):
+        each = texts.select(F.explode(grams(whole, n)).alias(part), whole, "_o")
+        short = each if short is None else short.unionByName(each)
+    none = texts.select(F.lit("").alias(part), whole, "_o")
+    short = (none if short is None else none.unionByName(short)).groupBy(part).agg(F.min_by(whole, "_o").alias(whole))
+    index = texts.select(whole, "_o", F.explode(grams(whole, size)).alias("_g"))
+    wanted = asked.where(F.length(part) >= size).select(part, F.explode(grams(part, size)).alias("_g"))
+    counts = index.groupBy("_g").agg(F.count("*").alias("_c"))
+    rarest = wanted.join(counts, "_g", "left").groupBy(part).agg(F.min(F.struct(F.coalesce("_c", F.lit(0)).alias("c"), F.col("_g").alias("g"))).alias("_r"))
+    long = rarest.where("_r.c > 0").select(part, F.col("_r.g").alias("_g")).join(index, "_g").where(F.contains(whole, part))
+    long = long.groupBy(part).agg(F.min_by(whole, "_o").alias(whole))
+    return asked.where(F.length(part) < size).join(short, part).unionByName(long)
+
+
 def match_bounds(names: DataFrame, bounds: DataFrame, name: str = "name", map_: str = "map", order: str = "pos") -> DataFrame:
     """names with the row of bounds of the most similar map name: equal normal forms (with or without the prefix
     "satellite"), else the same last number, else containment; the first row by ``order`` of the first way that hits.
-    All three are equi-joins on a form, a number or a substring of a map name, so no name meets all maps.  No hit: nulls."""
+    All three are equi-joins on a form, a number or a piece of a map name, so no name meets all maps.  No hit: nulls."""
     plain = lambda c: F.regexp_replace(c, "^satellite", "")
     left = names.withColumn("_n", text.normal_name(F.col(name))).withColumn("_p", plain(F.col("_n"))).withColumn("_id", text.numeric_id(F.col("_n")))
     right = bounds.withColumn("_mn", text.normal_name(F.col(map_))).withColumn("_mp", plain(F.col("_mn"))).withColumn("_mid", text.numeric_id(F.col("_mn")))
@@ -54,13 +83,9 @@ def match_bounds(names: DataFrame, bounds: DataFrame, name: str = "name", map_:
     tier2 = left.join(first(right, "_mid"), F.col("_id") == F.col("_mid")).select(name, F.lit(2).alias("tier"), order, "_row")
     hit = tier1.unionByName(tier2)
     missed = left.join(hit.select(name).distinct(), name, "left_anti")
-    # A form inside a map name is one of its substrings, so this is an equi-join too, with the first map of each substring.
     maps = first(right, "_mn")
-    cuts = F.expr("if(length(_mn) > 0, flatten(transform(sequence(1, length(_mn)), i -> transform(sequence(1, length(_mn) - i + 1), n -> substring(_mn, i, n)))), array())")
-    parts = maps.select("_mn", order, F.explode(F.concat(F.array(F.lit("")), cuts)).alias("_f"))
-    parts = parts.groupBy("_f").agg(F.min_by("_mn", order).alias("_mn"))
     forms_m = missed.select(name, F.explode(F.array_distinct(F.array("_n", "_p"))).alias("_f"))
-    tier3 = forms_m.join(parts, "_f").select(name, "_mn").distinct().join(maps, "_mn").select(name, F.lit(3).alias("tier"), order, "_row")
+    tier3 = forms_m.join(containing(forms_m, "_f", maps, "_mn", order), "_f").select(name, "_mn").distinct().join(maps, "_mn").select(name, F.lit(3).alias("tier"), order, "_row")
     best = hit.unionByName(tier3).groupBy(name).agg(F.min_by("_row", F.struct("tier", order)).alias("_row"), F.min("tier").alias("tier"))
     return names.join(best, name, "left").select(*names.columns, "tier", *(F.col(f"_row.{c}").alias(c) for c in bounds.columns if c not in names.columns))
 

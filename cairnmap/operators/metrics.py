@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import shared
+
 RECALL_AT = (10, 20, 50)
 
 
@@ -111,9 +113,22 @@ def iou_matches(left: DataFrame, right: DataFrame, image: str, left_id: str, rig
 
 
 def codes(rows: DataFrame, column: str) -> DataFrame:
-    """(column, code, n): the distinct values that are not null, numbered from 0 in order; one row a value."""
+    """(column, code, n): the distinct values that are not null, numbered from 0 in order; one row a value.
+
+    Values are dealt to ranges and written, each range numbers its own, and the sizes of the ranges before are added; the
+    driver sees a number for each range."""
+    spark, path = rows.sparkSession, shared.fresh(rows.sparkSession, "codes")
     found = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-    return found.select(column, (F.row_number().over(Window.orderBy(column)) - 1).cast("long").alias("code"), "n")
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # The running number of a row counts from 2^33 times its task's number on.
+    numbered = found.repartitionByRange(ranges, column).sortWithinPartitions(column).select("*", F.monotonically_increasing_id().alias("_at"))
+    numbered.select(column, "n", F.shiftright("_at", 33).alias("_range"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")).write.parquet(path)
+    stored, before, offsets = spark.read.parquet(path), 0, []
+    for r in stored.groupBy("_range").count().orderBy("_range").collect():
+        offsets.append((r["_range"], before))
+        before += r["count"]
+    offsets = spark.createDataFrame(offsets, "_range long, _before long")
+    return stored.join(F.broadcast(offsets), "_range").select(column, (F.col("_before") + F.col("_at")).alias("code"), "n")
 
 
 def index_size(index: DataFrame, patch: str = "patch", keys: Sequence[str] = ()) -> DataFrame:

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import distance, geo, shape, text
-from ..operators import knn, lookup, metrics, polygons, tiles, vote
+from ..operators import detections, knn, knn_index, lookup, metrics, polygons, tiles, vote
+from ..sources import readers, shared
 from . import localize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,6 +92,29 @@ def knn_mfca_slice(spark, sf_dir):
     return _ids(_near(spark, sf_dir, 5, dims=(2, 3)))
 
 
+def _from_index(spark, sf_dir, k, p=1, dims=None) -> DataFrame:
+    """As _near, from an index that is stored first."""
+    rows = t(spark, sf_dir, "embeddings").withColumnsRenamed({"vec_id": "index_id", "embedding": "vec"})
+    stored = knn_index.build(rows, shared.fresh(spark, "index"), dims=dims, carry=("label",))
+    asked = rows.where("index_id % 20 = 0").withColumnRenamed("index_id", "query_id")
+    return _ids(knn_index.search(asked, stored, k, p, dims=dims, skip_same_id=True))
+
+
+@query(_near_out(5))
+def indexed_knn_l1_k5(spark, sf_dir):
+    return _from_index(spark, sf_dir, 5)
+
+
+@query(_near_out(5, 2))
+def indexed_knn_l2_k5(spark, sf_dir):
+    return _from_index(spark, sf_dir, 5, 2)
+
+
+@query(_near_out(20, 1, "[1:5]"))
+def indexed_knn_five_components(spark, sf_dir):
+    return _from_index(spark, sf_dir, 20, dims=(0, 5))
+
+
 def _matches(spark, sf_dir, patch: str, k: int = 5) -> DataFrame:
     return _near(spark, sf_dir, k).selectExpr("query_id div 100 as image", f"{patch} as patch", "query_id", "index_id", "distance", "rank")
 
@@ -188,8 +212,8 @@ def nearest_candidate(spark, sf_dir):
 
 @query(f"WITH {_near_sql(1000)} SELECT query_id, index_id, round(distance, 6) AS score FROM m ORDER BY distance, query_id, index_id LIMIT 1000")
 def legacy_topk_pairs(spark, sf_dir):
-    near = _near(spark, sf_dir, 1000)
-    return rounded(near.select("query_id", "index_id", F.col("distance").alias("score")).orderBy("score", "query_id", "index_id").limit(1000))
+    rows = t(spark, sf_dir, "embeddings")
+    return rounded(knn.top_pairs(rows.where("vec_id % 20 = 0"), rows, 1000, "l1", "vec_id", "vec_id", "embedding", skip_same_id=True))
 
 
 @query(f"WITH {_near_sql(50, rest=True)} SELECT query_id, index_id, round(distance, 6) AS score FROM near ORDER BY distance, query_id, index_id LIMIT 50")
@@ -406,6 +430,19 @@ def overlap_blend(spark, sf_dir):
     return rounded(metrics.blended(rows, ["pixel"], "v", "w"))
 
 
+@query("""WITH e AS (SELECT vec_id // 60 AS image, vec_id % 10 * 6 AS l, vec_id % 60 // 10 * 6 AS t, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+p AS (SELECT image, t + i // 8 AS y, l + i % 8 AS x, abs(CAST(v AS DOUBLE)) AS v, greatest(0.001, (1 - abs(2 * (i // 8) / 7 - 1)) * (1 - abs(2 * (i % 8) / 7 - 1))) AS w FROM e)
+SELECT image, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, round(greatest(0.0, least(1.0, sum(w * v) / (sum(w) + 1e-6))), 6) AS blended FROM p GROUP BY image, y, x""")
+def blended_mask(spark, sf_dir):
+    """Each vector is the soft mask of an 8 x 8 tile; 10 x 6 tiles, six pixels apart, cover an image."""
+    rows = t(spark, sf_dir, "embeddings")
+    mask = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.transform(F.slice("embedding", r * 8 + 1, 8), lambda v: F.abs(v)))
+    tiles_ = rows.select((F.expr("vec_id div 60")).alias("image"), (F.col("vec_id") % 10 * 6).alias("left"), (F.expr("vec_id % 60 div 10") * 6).alias("top"), mask.alias("mask"))
+    blocks = detections.blended_blocks(tiles_, size=8, cell=2)
+    pixel = blocks.select("image", "block_row", "block_col", F.posexplode("values").alias("i", "v"))
+    return rounded(pixel.select("image", (F.col("block_row") * 2 + F.expr("i div 2")).cast("long").alias("y"), (F.col("block_col") * 2 + F.col("i") % 2).cast("long").alias("x"), F.col("v").alias("blended")))
+
+
 # ---- tiles, places, names --------------------------------------------------------------------------------------------
 
 _STARTS = "list_distinct(list_concat(range(0, CAST(greatest({n} - 500, 0) AS BIGINT) + 1, 100), [CAST(greatest({n} - 500, 0) AS BIGINT)]))"
@@ -484,6 +521,18 @@ def fuzzy_bounds(spark, sf_dir):
     return lookup.match_bounds(s.select("s_name"), bounds, "s_name").select("s_name", F.col("tier").cast("long").alias("tier"), "pos", "map")
 
 
+@query("""WITH s AS (SELECT s_suppkey, s_name, regexp_replace(lower(s_name), '[^a-z0-9]+', '', 'g') AS n FROM supplier), b AS (SELECT s_suppkey AS pos, CASE WHEN s_suppkey % 3 = 0 THEN substring(s_name, 1, 30) ELSE 'satellite' || s_suppkey || 'map' END AS map FROM supplier),
+x AS (SELECT *, regexp_replace(lower(map), '[^a-z0-9]+', '', 'g') AS mn FROM b), y AS (SELECT *, regexp_replace(mn, '^satellite', '') AS mp, regexp_replace(regexp_extract(mn, '([0-9]+)[^0-9]*$', 1), '^0+([0-9])', '\\1') AS mid FROM x),
+z AS (SELECT *, regexp_replace(n, '^satellite', '') AS p, regexp_replace(regexp_extract(n, '([0-9]+)[^0-9]*$', 1), '^0+([0-9])', '\\1') AS id FROM s),
+h AS (SELECT z.s_name, y.pos, y.map, CASE WHEN mn = n OR mn = p OR mp = n OR mp = p THEN 1 WHEN mid = id AND id <> '' THEN 2 WHEN contains(mn, n) OR contains(mn, p) OR contains(mp, p) THEN 3 END AS tier FROM z, y),
+k AS (SELECT *, row_number() OVER (PARTITION BY s_name ORDER BY tier, pos) AS o FROM h WHERE tier IS NOT NULL)
+SELECT s.s_name, CAST(k.tier AS BIGINT) AS tier, k.pos, k.map FROM s LEFT JOIN k ON k.s_name = s.s_name AND k.o = 1""".replace("\\\\1", "\\1"))
+def fuzzy_bounds_all(spark, sf_dir):
+    s = t(spark, sf_dir, "supplier")
+    bounds = s.selectExpr("s_suppkey as pos", "if(s_suppkey % 3 = 0, substring(s_name, 1, 30), concat('satellite', s_suppkey, 'map')) as map")
+    return lookup.match_bounds(s.select("s_name"), bounds, "s_name").select("s_name", F.col("tier").cast("long").alias("tier"), "pos", "map")
+
+
 @query("SELECT p_name, regexp_replace(lower(trim(p_name)), '[^a-z0-9]+', '', 'g') AS normal, p_partkey || '_' || lpad(CAST(p_size AS VARCHAR), 4, '0') || '_' || lpad(CAST(p_partkey % 1000 AS VARCHAR), 4, '0') AS patch_id FROM part")
 def name_forms(spark, sf_dir):
     return t(spark, sf_dir, "part").select("p_name", text.normal_name(F.col("p_name")).alias("normal"), text.patch_id(F.col("p_partkey").cast("string"), F.col("p_size"), F.col("p_partkey") % 1000).alias("patch_id"))
@@ -496,7 +545,19 @@ def name_forms(spark, sf_dir):
 def pose_lookup(spark, sf_dir):
     poses = t(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("filename"), "quality", "toxic", F.struct("quality", "toxic").alias("num"))
     images = t(spark, sf_dir, "documents").select("doc_id", "source", F.concat(F.lit("some/folder/"), "doc_id").alias("image"))
-    return lookup.pose_of(images, poses).select("doc_id", "source", "quality", "toxic")
+    return lookup.pose_of(images, poses, "num").select("doc_id", "source", "quality", "toxic")
+
+
+@query("SELECT user_id, CAST(arg_min(event_id % 12, (event_id * 7919 % 10007, event_id)) AS VARCHAR) AS num, round(arg_min(value, (event_id * 7919 % 10007, event_id)), 6) AS lat FROM events WHERE user_id IS NOT NULL AND value IS NOT NULL GROUP BY user_id")
+def first_pose_in_file(spark, sf_dir):
+    """Poses are written as text lines in an order of their own and read back by several tasks; numbers do not follow it."""
+    order = [(F.col("event_id") * 7919 % 10007).alias("o"), "event_id"]
+    rows = t(spark, sf_dir, "events").where("user_id is not null and value is not null").select(*order, "user_id", "value")
+    line = F.concat_ws(",", F.col("event_id") % 12, F.format_string("u%d.jpg", "user_id"), F.lit("2024-01-01"), "value")
+    path = shared.fresh(spark, "poses")
+    rows.repartitionByRange(4, "o", "event_id").sortWithinPartitions("o", "event_id").select(line.alias("value")).write.text(path)
+    images = rows.select("user_id", F.format_string("photos/u%d.jpg", "user_id").alias("image")).distinct()
+    return rounded(lookup.pose_of(images, readers.flight_metadata(spark, path)).select("user_id", "num", "lat"))
 
 
 @query("SELECT l.doc_id, min(l.quality) AS quality FROM labels l JOIN documents d USING (doc_id) GROUP BY l.doc_id")
@@ -504,7 +565,7 @@ def pose_demanded(spark, sf_dir):
     labels = t(spark, sf_dir, "labels").join(t(spark, sf_dir, "documents").select("doc_id"), "doc_id")
     poses = labels.select(F.col("doc_id").cast("string").alias("filename"), "quality", F.col("quality").alias("num"))
     images = labels.select("doc_id", F.concat(F.lit("photos/"), "doc_id").alias("image")).distinct()
-    return lookup.pose_required(images, poses).select("doc_id", "quality")
+    return lookup.pose_required(images, poses, "num").select("doc_id", "quality")
 
 
 @query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -540,6 +601,11 @@ def distinct_codes(spark, sf_dir):
     return metrics.codes(t(spark, sf_dir, "events"), "event_type")
 
 
+@query("SELECT props, dense_rank() OVER (ORDER BY props) - 1 AS code, n FROM (SELECT props, count(*) AS n FROM clicks WHERE props IS NOT NULL GROUP BY props)")
+def distinct_props(spark, sf_dir):
+    return metrics.codes(t(spark, sf_dir, "clicks"), "props")
+
+
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def json_cache_scan(spark, sf_dir):
     return t(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import io
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import text
 from ..operators import lookup
@@ -18,9 +24,18 @@ DESCRIPTORS = "patch_id string, parent_tif string, top_left_x int, top_left_y in
 RECORD = "site string, image string, variant string, n_polygons int, n_descriptors int, k int, total_votes int, pred_patch_id string, pred_px_x double, pred_px_y double, pred_lat double, pred_lon double, gt_lat double, gt_lon double, gt_px_x double, gt_px_y double, error_m double, votes int, second_votes int, margin int, gt_patch_id string, gt_patch_votes int, gt_patch_rank int, height double, date string, season string, alt_band string, t_preprocess double, t_segment double, t_descriptor double, t_query double, t_total double"
 
 
+def in_file_order(read: DataFrame) -> DataFrame:
+    """Rows that a file source has just read, with ``position`` = (file, block, row): its order is the order of the rows in
+    their file, whatever number of tasks read it.  A block of a file is read by one task from its start on, in which the
+    running number grows; files follow each other by path."""
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return read.select("*", at.alias("position"))
+
+
 def flight_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """Poses from text without a header, fields apart by blanks or a comma; fields that do not parse are null."""
-    return parse_poses(spark.read.text(path))
+    """Poses from text without a header, fields apart by blanks or a comma; fields that do not parse are null.  ``position``
+    orders them as their lines stand in the file."""
+    return parse_poses(in_file_order(spark.read.text(path)))
 
 
 def parse_poses(lines: DataFrame) -> DataFrame:
@@ -40,8 +55,8 @@ def bounds_by_name(spark: SparkSession, name: str, *paths: str) -> dict[str, flo
     path = first_existing(spark, *paths)
     if path is None:
         return None
-    table = map_bounds(spark, path).withColumn("pos", F.monotonically_increasing_id())
-    row = lookup.match_bounds(spark.createDataFrame([(name,)], "name string"), table).first()
+    table = in_file_order(map_bounds(spark, path))
+    row = lookup.match_bounds(spark.createDataFrame([(name,)], "name string"), table, order="position").first()
     return None if row.tier is None else {k: row[f"{k}_map"] for k in ("LT_lat", "LT_lon", "RB_lat", "RB_lon")}
 
 
@@ -55,6 +70,34 @@ def first_existing(spark: SparkSession, *paths: str) -> str | None:
     return None
 
 
+def numpy_rows(spark: SparkSession, path: str, members: dict[str, str], rows: int = 4096) -> DataFrame:
+    """(path, row, *members) from ``.npy`` and ``.npz`` files under a path (a folder, a file, or a pattern): a row for each
+    index of the first axis.  ``members`` declares columns and their SQL types, which values are cast to; a ``.npy`` file has
+    one member, whatever its name.  Pickled objects are refused.  A missing path, and files of no bytes or no rows, give no
+    rows; members of one file have to agree in length.  A file is read by one task (of 2 GB at most); its rows leave it in
+    batches of ``rows``."""
+    schema = "path string, row long, " + ", ".join(f"`{c}` {kind}" for c, kind in members.items())
+    if not any(c in path for c in "*?[{") and first_existing(spark, path) is None:
+        return spark.createDataFrame([], schema)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.np[yz]").load(path)
+    types = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        for batch in batches:
+            for name, content in zip(batch.column(0), batch.column(1)):
+                found = np.load(io.BytesIO(content.as_buffer()), allow_pickle=False)
+                arrays = {next(iter(members)): found} if isinstance(found, np.ndarray) else {c: found[c] for c in members}
+                if len({len(a) for a in arrays.values()}) > 1:
+                    raise ValueError(f"members of different length in {name}")
+                n = len(next(iter(arrays.values())))
+                for lo in range(0, n, rows):
+                    part = [pa.array(a[lo : lo + rows].tolist()) for a in arrays.values()]
+                    size = len(part[0])
+                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * size), pa.array(range(lo, lo + size), pa.int64()), *(x.cast(types.field(c).type) for c, x in zip(arrays, part))], schema=types)
+
+    return files.where("length > 0").select("path", "content").mapInArrow(run, schema)
+
+
 def image_list(spark: SparkSession, folder: str) -> DataFrame:
     """(path, name) of images in a folder, by name; without reading them.  A missing folder gives no rows."""
     if first_existing(spark, folder) is None:

@@ -201,3 +201,80 @@ def test_contained_names_equal_brute_force(spark):
     for r in rows:
         assert (r.tier, r.pos) == want(r.name), r
     assert {r.tier for r in rows} == {1, 3, None}
+
+
+def test_first_pose_is_the_first_line(spark, tmp_path):
+    """By number as text 10 comes first, by number 9; the file has 11 first, in whatever number of tasks it is read."""
+    lines = [f"{100 + i},x{i}.jpg,2024-01-01,{i}.5" for i in range(3000)] + ["11,a.jpg,2024-01-01,1.5", "9,a.jpg,2024-01-01,2.5", "10,a.jpg,2024-01-01,3.5"] + [f"{i},y{i}.jpg" for i in range(3000)] + ["1,x7.jpg,2024-01-01,9"]
+    (tmp_path / "poses.csv").write_text("\n".join(lines))
+    images = spark.createDataFrame([("d/a.jpg",), ("d/x7.jpg",), ("d/none.jpg",)], "image string")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (before, "9000", "1000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            poses = readers.flight_metadata(spark, str(tmp_path / "poses.csv"))
+            assert size == before or poses.rdd.getNumPartitions() > 4
+            got = {r.image: (r.num, r.lat) for r in lookup.pose_of(images, poses).collect()}
+            assert got == {"d/a.jpg": ("11", 1.5), "d/x7.jpg": ("107", 7.5), "d/none.jpg": (None, None)}
+            assert [r.num for r in poses.orderBy("position").collect()] == [x.split(",")[0] for x in lines]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_numpy_files(spark, tmp_path):
+    import numpy as np
+
+    x, names = np.arange(12, dtype=np.float32).reshape(4, 3), np.array(["p", "q", "r", "s"])
+    np.save(tmp_path / "a.npy", x)
+    np.savez_compressed(tmp_path / "b.npz", vec=x.astype(np.float64) + 1, patch=names, other=np.zeros(9))
+    np.save(tmp_path / "none.npy", x[:0])
+    (tmp_path / "empty.npz").write_bytes(b"")
+    (tmp_path / "c.txt").write_text("no array")
+    got = readers.numpy_rows(spark, f"{tmp_path}/*.npy", {"vec": "array<double>"}, rows=3).orderBy("row").collect()
+    assert [(r.row, r.vec) for r in got] == [(i, v) for i, v in enumerate(x.tolist())] and got[0].path.endswith("a.npy")
+    both = readers.numpy_rows(spark, f"{tmp_path}/b.npz", {"vec": "array<float>", "patch": "string"}).orderBy("row").collect()
+    assert [(r.vec, r.patch) for r in both] == list(zip((x + 1).tolist(), names.tolist()))
+    assert readers.numpy_rows(spark, f"{tmp_path}/missing", {"vec": "array<float>"}).count() == 0
+    np.save(tmp_path / "pickled.npy", np.array([{"a": 1}]), allow_pickle=True)
+    with pytest.raises(Exception, match="allow_pickle"):
+        readers.numpy_rows(spark, f"{tmp_path}/pickled.npy", {"vec": "string"}).collect()
+    np.savez(tmp_path / "odd.npz", vec=x, patch=names[:2])
+    with pytest.raises(Exception, match="different length"):
+        readers.numpy_rows(spark, f"{tmp_path}/odd.npz", {"vec": "array<float>", "patch": "string"}).collect()
+
+
+def test_codes_number_distinct_values_without_one_task(spark):
+    rows = spark.createDataFrame([(f"v{i * 37 % 500:03d}",) for i in range(2000)] + [(None,)], "v string")
+    got = metrics.codes(rows, "v")
+    assert sorted((r.code, r.v, r.n) for r in got.collect()) == [(i, f"v{i:03d}", 4) for i in range(500)]
+    assert "SinglePartition" not in got._jdf.queryExecution().toString()
+    assert metrics.codes(rows.where("v is null"), "v").count() == 0
+
+
+def test_first_text_that_contains_another(spark):
+    import random
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abc1", k=rng.randint(0, 9))) for _ in range(150)]
+    parts = sorted({"".join(rng.choices("abc1", k=rng.randint(0, 6))) for _ in range(120)} | {"", "zzzz"})
+    wholes = spark.createDataFrame(list(enumerate(texts)), "pos int, m string").groupBy("m").agg(F.min("pos").alias("pos"))
+    got = {r.f: r.m for r in lookup.containing(spark.createDataFrame([(p,) for p in parts], "f string"), "f", wholes, "m", "pos").collect()}
+    want = {p: next((t for t in texts if p in t), None) for p in parts}
+    assert got == {p: t for p, t in want.items() if t is not None} and len(got) > 40
+
+
+@pytest.mark.parametrize("p", ["l1", "l2"])
+def test_top_pairs_with_a_bound(spark, p):
+    import numpy as np
+
+    from cairnmap.operators import knn
+
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 5, (400, 4)).astype(float)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>").repartition(6)
+    asked = rows.where("id % 20 = 0")
+    d = np.abs(x[::20, None] - x[None]).sum(2) if p == "l1" else np.sqrt(((x[::20, None] - x[None]) ** 2).sum(2))
+    for k in (1, 30, 900):
+        want = sorted((round(d[i, j], 9), 20 * i, j) for i in range(20) for j in range(400) if 20 * i != j)[:k]
+        got = knn.top_pairs(asked, rows, k, p, "id", "id", skip_same_id=True).collect()
+        assert [(round(r.score, 9), r.query_id, r.index_id) for r in got] == want
