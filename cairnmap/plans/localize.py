@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import detections, knn, metrics, polygons, vote
+from ..operators import detections, knn, knn_index, metrics, polygons, vote
 from ..sources import layout, readers, writers
 
 
@@ -28,13 +28,17 @@ def image_descriptors(images: DataFrame, cap: int = 4) -> DataFrame:
     return polygons.as_vector(rows).select("image", F.xxhash64("image", "polygon_idx", "triangle_idx").alias("query_id"), "vec")
 
 
-def match(queries: DataFrame, index: DataFrame, k: int = 5, p: int = 1, dims: tuple[int, int] | None = None) -> DataFrame:
-    """(image, query_id, index_id, patch, distance, rank) of the k nearest descriptors of each query descriptor."""
-    near = knn.knn_join(queries, index, k, p, "query_id", "descriptor_id", "vec", dims, carry=("patch",))
+def match(queries: DataFrame, index: DataFrame | knn_index.Index, k: int = 5, p: int = 1, dims: tuple[int, int] | None = None) -> DataFrame:
+    """(image, query_id, index_id, patch, distance, rank) of the k nearest descriptors of each query descriptor.  A stored
+    index (knn_index.build, which carries patch) is searched where it is; a table is scanned."""
+    if isinstance(index, knn_index.Index):
+        near = knn_index.search(queries, index, k, p, dims=dims)
+    else:
+        near = knn.knn_join(queries, index, k, p, "query_id", "descriptor_id", "vec", dims, carry=("patch",))
     return near.join(queries.select("query_id", "image"), "query_id")
 
 
-def query_images(queries: DataFrame, index: DataFrame, patches: DataFrame, k: int = 5, p: int = 1, weighted: bool = False, top1: bool = False, dims: tuple[int, int] | None = None, n: int = 100) -> DataFrame:
+def query_images(queries: DataFrame, index: DataFrame | knn_index.Index, patches: DataFrame, k: int = 5, p: int = 1, weighted: bool = False, top1: bool = False, dims: tuple[int, int] | None = None, n: int = 100) -> DataFrame:
     """A row for each image with matches: winner, its centre, votes, runner-up, margin, all votes, the n best patches."""
     matches = match(queries, index, 1 if top1 else k, p, dims)
     by = "weight" if weighted else "votes"

@@ -139,7 +139,8 @@ def records(spark: SparkSession, path: str, sites: list[str] | None = None, vari
     """Evaluation records, of some sites and a variant; no table yet gives no rows."""
     if first_existing(spark, path) is None:
         return spark.createDataFrame([], RECORD)
-    df = spark.read.schema(RECORD).parquet(path)
+    schema = StructType.fromDDL(RECORD)
+    df = spark.read.schema(schema).parquet(path).select(*schema.names)
     if variant is not None:
         df = df.where(F.col("variant") == variant)
     return df.where(F.col("site").isin(sites)) if sites is not None else df

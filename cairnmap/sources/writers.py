@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,9 +13,11 @@ from ..functions.text import number, tex
 EXPANSION = "filename string, seed_triangle_idx int, vertex_0_idx int, vertex_1_idx int, vertex_2_idx int, vertex_0_x double, vertex_0_y double, vertex_1_x double, vertex_1_y double, vertex_2_x double, vertex_2_y double, ekeland_v0 double, ekeland_v1 double, ekeland_v2 double, axis_v0 string, axis_v1 string, axis_v2 string, mean_ekeland double, expansion_steps int, num_triangles_in_region int, num_boundary_vertices int"
 
 
-def append_records(df: DataFrame, path: str) -> None:
-    """Adds records; partitions by variant and site, so readers of some prune the others."""
-    df.write.mode("append").partitionBy("variant", "site").parquet(path)
+def append_records(df: DataFrame, path: str, batch: str | None = None) -> None:
+    """Adds records under the name of a batch: a batch that is written again replaces itself, so one that was killed and
+    runs once more leaves each record once.  Without a name it is a batch of its own.  Within it, records are partitioned by
+    variant and site, so readers of some prune the others."""
+    df.write.mode("overwrite").partitionBy("variant", "site").parquet(f"{path}/batch={batch or uuid.uuid4().hex}")
 
 
 def write_descriptors(df: DataFrame, path: str, format: str = "parquet", mode: str = "overwrite") -> None:
