@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources import shared
+from . import order
 
 RECALL_AT = (10, 20, 50)
 
@@ -25,10 +26,18 @@ def bundle(error: str = "error_m", at: Sequence[int] = RECALL_AT) -> list[Column
     return [F.count(e).alias("n"), F.avg(e).alias("mean"), F.median(e).alias("median"), F.sqrt(F.avg(e * e)).alias("rmse"), *recall]
 
 
-def metrics_by(records: DataFrame, keys: Sequence[str] = (), error: str = "error_m", extra: Sequence[Column] = ()) -> DataFrame:
-    """The bundle for each group; rows with a null key are left out."""
+def metrics_by(records: DataFrame, keys: Sequence[str] = (), error: str = "error_m", extra: Sequence[Column] = (), any_values: bool = False) -> DataFrame:
+    """The bundle for each group; rows with a null key are left out.  ``any_values``: for errors that are not stored to
+    hundredths, as many distinct ones as rows, the median is found by refinement (order.quantile), in bounded memory."""
     for k in keys:
         records = records.where(F.col(k).isNotNull())
+    if any_values:
+        names = ["n", "mean", "median", "rmse", *(f"recall_{t}" for t in RECALL_AT)]
+        rest = [c for n, c in zip(names, bundle(error)) if n != "median"]
+        found = (records.groupBy(*keys) if keys else records).agg(*rest, *extra)
+        median = order.quantile(records, keys, error, 0.5, "median").drop("n")
+        found = found.join(median, list(keys), "left") if keys else found.join(F.broadcast(median), how="left")  # one row each
+        return found.select(*keys, *names, *(c for c in found.columns if c not in (*keys, *names)))
     return records.groupBy(*keys).agg(*bundle(error), *extra) if keys else records.agg(*bundle(error), *extra)
 
 

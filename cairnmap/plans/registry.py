@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import distance, geo, shape, text
-from ..operators import detections, knn, knn_index, lookup, metrics, polygons, tiles, vote
+from ..operators import detections, knn, knn_index, lookup, metrics, order, polygons, tiles, vote
 from ..sources import readers, shared
-from . import localize
+from . import localize, surface
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -100,6 +100,19 @@ def _from_index(spark, sf_dir, k, p=1, dims=None) -> DataFrame:
     return _ids(knn_index.search(asked, stored, k, p, dims=dims, skip_same_id=True))
 
 
+_SQL_NEAREST = """SELECT query_id, index_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, index_id) AS rank
+FROM nearest(TABLE(SELECT vec_id % 16 AS part, false AS asked, vec_id AS id, embedding AS vec FROM descriptors WHERE vec_id % 20 <> 0
+  UNION ALL SELECT part, true, vec_id, embedding FROM descriptors LATERAL VIEW explode(sequence(0, 15)) p AS part WHERE vec_id % 20 = 0) PARTITION BY part ORDER BY (asked DESC), 5, 1)"""
+
+
+@query(f"WITH {_near_sql(5, rest=True)} SELECT query_id, index_id, round(distance, 6) AS distance, rank FROM m")
+def sql_nearest(spark, sf_dir):
+    """K-NN as SQL text alone."""
+    surface.register(spark)
+    t(spark, sf_dir, "embeddings").createOrReplaceTempView("descriptors")
+    return _ids(spark.sql(f"SELECT * FROM ({_SQL_NEAREST}) WHERE rank <= 5"))
+
+
 @query(_near_out(5))
 def indexed_knn_l1_k5(spark, sf_dir):
     return _from_index(spark, sf_dir, 5)
@@ -136,6 +149,14 @@ def plurality_vote(spark, sf_dir):
     return vote.plurality(_matches(spark, sf_dir, "cast(label as long)"))
 
 
+@query(f"WITH {_matches_sql(_FINE_SQL, rest=True)}, {_PLURALITY}")
+def sql_votes(spark, sf_dir):
+    """K-NN and votes as SQL text alone."""
+    surface.register(spark)
+    t(spark, sf_dir, "embeddings").createOrReplaceTempView("descriptors")
+    return spark.sql(f"SELECT * FROM plurality(TABLE(SELECT query_id div 100 AS image, index_id div 10 AS patch FROM ({_SQL_NEAREST}) WHERE rank <= 5) PARTITION BY image)")
+
+
 @query(f"WITH {_matches_sql(_FINE_SQL)}, {_PLURALITY}")
 def vote_margin(spark, sf_dir):
     return vote.plurality(_matches(spark, sf_dir, _FINE))
@@ -374,7 +395,19 @@ def vote_diagnostics(spark, sf_dir):
 
 @query(f"SELECT o_orderpriority AS variant, {_bundle_sql('o_totalprice')}, round(avg(o_custkey), 6) AS avg_t_total FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY o_orderpriority")
 def variant_metrics(spark, sf_dir):
-    return rounded(metrics.metrics_by(t(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "variant"), ["variant"], "o_totalprice", [F.avg("o_custkey").alias("avg_t_total")]))
+    return rounded(metrics.metrics_by(t(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "variant"), ["variant"], "o_totalprice", [F.avg("o_custkey").alias("avg_t_total")], any_values=True))
+
+
+@query(f"SELECT {_bundle_sql('v')} FROM (SELECT value / 7 + event_id / 1000003.0 AS v FROM events)")
+def metrics_of_any_values(spark, sf_dir):
+    """All values are distinct."""
+    return rounded(metrics.metrics_by(t(spark, sf_dir, "events").select((F.col("value") / 7 + F.col("event_id") / 1000003.0).alias("v")), error="v", any_values=True))
+
+
+@query("""SELECT l_returnflag, count(*) AS n, round(quantile_cont(l_extendedprice / 7, 0.995), 6) AS cap FROM lineitem WHERE l_extendedprice IS NOT NULL GROUP BY l_returnflag""")
+def quantile_by_refinement(spark, sf_dir):
+    rows = t(spark, sf_dir, "lineitem").select("l_returnflag", (F.col("l_extendedprice") / 7).alias("v"))
+    return rounded(order.quantile(rows, ["l_returnflag"], "v", 0.995, "cap"))
 
 
 @query("SELECT round(avg(value), 6) AS avg_t_total, round(avg(value / 2), 6) AS avg_t_query, round(avg(user_id), 6) AS avg_t_segment FROM events")
@@ -651,11 +684,11 @@ def locate_images(spark, sf_dir):
     """Build an index of star polygons, locate jittered copies of every twentieth tile's polygons, end to end."""
     stars = _stars(spark, sf_dir).withColumn("patch_id", F.format_string("tile_%04d", "vec_id"))
     tiles_ = stars.groupBy("vec_id", "patch_id").agg(F.sort_array(F.collect_list(F.struct("polygon_idx", "polygon"))).alias("p")).select(F.lit("01").alias("site"), "vec_id", "patch_id", F.array(F.lit(0), F.lit(0)).alias("tl"), F.transform("p", lambda x: x["polygon"]).alias("polygons"))
-    index = localize.build_index(tiles_)[0].persist()
+    index = shared.saved(localize.build_index(tiles_)[0], "index")
     patches = vote.patch_centroids(index, "patch", "centroid_x", "centroid_y")
     jitter = lambda x, y, s: F.round(x + (F.pmod(F.xxhash64(x, y, F.lit(s)), F.lit(1000)) / 1000 - 0.5), 6)
     images = tiles_.where("vec_id % 20 = 0").select(F.col("patch_id").alias("image"), F.transform("polygons", lambda p: F.transform(p, lambda q: F.array(jitter(q[0], q[1], 1), jitter(q[1], q[0], 2)))).alias("polygons"))
-    found = localize.query_images(localize.image_descriptors(images).persist(), index, patches, n=5)
+    found = localize.query_images(shared.saved(localize.image_descriptors(images), "queries"), index, patches, n=5)
     return found.select("image", "winner", "votes", "runner_up", "margin", "total_votes", "pred_px_x", "pred_px_y")
 
 
