@@ -56,7 +56,7 @@ def variant_label(name: Column) -> Column:
     return F.coalesce(F.try_element_at(fixed, name), formula, F.replace(name, F.lit("_"), F.lit(r"\_")))
 
 
-def number(value: Column, digits: int = 2) -> Column:
+def number(value: Column, digits: int = 1) -> Column:
     """Fixed digits; --- for null and non-finite values."""
     finite = value.isNotNull() & ~F.isnan(value.cast("double")) & (F.abs(value.cast("double")) != float("inf"))
     return F.when(finite, F.format_string(f"%.{digits}f", value.cast("double"))).otherwise("---")

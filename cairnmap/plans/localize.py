@@ -57,6 +57,18 @@ def query_images(queries: DataFrame, index: DataFrame | knn_index.Index, patches
     return out.withColumns({"margin": F.col("votes") - F.col("runner_up"), "k": F.lit(k)})
 
 
+def truth_and_top(results: DataFrame, truth: DataFrame, n: int = 100) -> DataFrame:
+    """What a picture of an image's truth and its n best patches shows: (image, kind, rank, patch, px, py, votes, error_px), a
+    row of kind ``truth`` (rank null) and one of kind ``patch`` for each of top_n.  truth: image, gt_px_x, gt_px_y."""
+    known = truth.where("gt_px_x is not null")
+    best = results.select("image", F.explode(F.slice("top_n", 1, n)).alias("t")).join(known, "image", "left")
+    far = F.hypot(F.col("t.centroid_x") - F.col("gt_px_x"), F.col("t.centroid_y") - F.col("gt_px_y"))
+    place = lambda c: F.col(c).cast("double")
+    patches = best.select("image", F.lit("patch").alias("kind"), "t.rank", "t.patch", place("t.centroid_x").alias("px"), place("t.centroid_y").alias("py"), F.col("t.votes").alias("votes"), far.alias("error_px"))
+    spots = known.join(results.select("image"), "image", "left_semi").select("image", F.lit("truth").alias("kind"), F.lit(None).cast("int").alias("rank"), F.lit(None).cast("string").alias("patch"), place("gt_px_x").alias("px"), place("gt_px_y").alias("py"), F.lit(None).cast("long").alias("votes"), F.lit(0.0).alias("error_px"))
+    return spots.unionByName(patches)
+
+
 def locate(results: DataFrame, sites: DataFrame, poses: DataFrame) -> DataFrame:
     """results (image, site, pred_px_x, pred_px_y, ...) with predicted degrees, true pixel, error in metres, season and band.
 

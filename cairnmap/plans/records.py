@@ -52,6 +52,7 @@ def stored_rounding(spark, sf_dir):
     return writers.stored(rows)
 
 
+# Labels of variants, as in functions/text.py (fixed values).
 @query(r"""SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN 'Full 5-D CDT, $\ell_2$ distance' WHEN 1 THEN 'Top-1 match (no voting)' WHEN 2 THEN 'Distance-weighted voting' WHEN 3 THEN 'Interior angles only ($\alpha_1,\alpha_2$)'
   WHEN 4 THEN 'MFCA only ($e_1,e_2,e_3$)' WHEN 5 THEN '$K=' || o_custkey || '$' WHEN 6 THEN 'Full 5-D CDT, $D_{\max}=' || o_custkey || '$' ELSE 'heading\_noise\_' || o_custkey END AS label FROM orders""")
 def variant_labels(spark, sf_dir):

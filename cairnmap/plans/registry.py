@@ -653,7 +653,7 @@ def index_size(spark, sf_dir):
 def tex_table(spark, sf_dir):
     from ..sources.writers import tex_rows
 
-    return tex_rows(t(spark, sf_dir, "events").groupBy("event_type").agg(F.avg("value").alias("a"), F.max("value").alias("b")), "event_type", ["a", "b"])
+    return tex_rows(t(spark, sf_dir, "events").groupBy("event_type").agg(F.avg("value").alias("a"), F.max("value").alias("b")), "event_type", ["a", "b"], digits=2)
 
 
 # ---- polygons (no SQL form; tested on golden shapes) -------------------------------------------------------------------

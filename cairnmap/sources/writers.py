@@ -41,7 +41,7 @@ def to_report(metrics: DataFrame, keys: list[str]) -> DataFrame:
     return inner.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(keys[0]).cast("string").alias("k"), "v"))))).alias("report"))
 
 
-def tex_rows(metrics: DataFrame, label: str, columns: list[str], digits: int = 2) -> DataFrame:
+def tex_rows(metrics: DataFrame, label: str, columns: list[str], digits: int = 1) -> DataFrame:
     """(label, line): table rows in TeX, sorted by label; --- for missing values."""
     cells = [number(F.col(c), digits) for c in columns]
     return metrics.orderBy(label).select(label, F.concat(F.concat_ws(" & ", tex(F.col(label).cast("string")), *cells), F.lit(r" \\")).alias("line"))

@@ -37,6 +37,8 @@ def test_locate_flow(spark):
     assert cairnmap.query_images(queries, index, patches, top1=True).first().winner == "01/p1"
     assert cairnmap.query_images(queries, index, patches, k=1, weighted=True, p=2).first().winner == "01/p1"
     assert cairnmap.query_top_n_patches(queries, index, patches, n=1, k=1).first().top_n[0].patch == "01/p1"
+    shown = cairnmap.truth_and_top(found, spark.createDataFrame([("i", 500.0, 150.0)], "image string, gt_px_x double, gt_px_y double")).collect()
+    assert [(x.kind, x.rank, x.error_px) for x in shown[:1]] == [("truth", None, 0.0)] and shown[1].patch == "01/p1" and shown[1].error_px < 100
     sites = spark.createDataFrame([("01", 1000, 1000, 30.0, 114.0, 29.99, 114.01)], "site string, sat_width int, sat_height int, lt_lat double, lt_lon double, rb_lat double, rb_lon double")
     poses = spark.createDataFrame([("i", 29.9985, 114.0053, 450.0, "2023-07-15")], "image string, lat double, lon double, height double, date string")
     at = cairnmap.locate(found.withColumn("site", F.lit("01")), sites, poses).first()

@@ -90,7 +90,7 @@ def test_sinks_of_tables(spark, tmp_path):
     one = spark.createDataFrame([("f", 0, [0, 1, 2], [[0.0, 0.0]] * 3, {0: 3.0}, {}, 1, 2, 3)], empty.schema)
     assert writers.write_expansions(one, str(tmp_path / "e")) is True
     assert spark.read.option("header", True).csv(str(tmp_path / "e")).columns == [c.split(" ")[0] for c in writers.EXPANSION.split(", ")]
-    rows = writers.tex_rows(spark.createDataFrame([("b_1", 2.0), ("a", None)], "site string, mean double"), "site", ["mean"])
+    rows = writers.tex_rows(spark.createDataFrame([("b_1", 2.0), ("a", None)], "site string, mean double"), "site", ["mean"], digits=2)
     writers.write_tex({"sites": rows, "again": rows}, str(tmp_path / "t"))
     lines = [r.value for r in spark.read.text(str(tmp_path / "t")).collect()]
     assert lines == ["% sites", r"a & --- \\", r"b\_1 & 2.00 \\"] * 1 + ["% again", r"a & --- \\", r"b\_1 & 2.00 \\"]

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from cairnmap.operators import geometry as g
 from cairnmap.operators import polygons
 
+#: Shapes whose angles are known (fixed values).
 L_SHAPE = [(0, 0), (2, 0), (2, 1), (1, 1), (1, 2), (0, 2)]
 C_SHAPE = [(0, 0), (6, 0), (6, 2), (3, 2), (3, 4), (6, 4), (6, 6), (0, 6)]
 
