@@ -215,6 +215,7 @@ def media_features(docs: DataFrame) -> DataFrame:
 
 
 def op5_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text as 8-bit sound, read back, with its log-mel tensors and spans."""
     return media_features(table(spark, sf_dir, "documents"))
 
 

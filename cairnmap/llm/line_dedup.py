@@ -87,6 +87,7 @@ def delete_repeats(docs: DataFrame, work: Work, min_words: int = MIN_WORDS, wind
 
 
 def op10_winnowing_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's text without the runs of lines that stand at an earlier place."""
     return delete_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), Work(spark, "line-dedup")).select("doc_id", "n_lines", "lines_deleted", "text")
 
 

@@ -269,6 +269,7 @@ def lm_scores(docs: DataFrame, work: Work, order: int = ORDER, mu: float = MU, f
 
 
 def op4_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's log10 probability under the model of nine tenths of them."""
     return lm_scores(table(spark, sf_dir, "documents"), Work(spark, "lm"))
 
 

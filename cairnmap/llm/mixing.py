@@ -97,6 +97,7 @@ def mix_sources(docs: DataFrame, work: Work, weights=(5, 2, 1), most: int = 3, s
 
 
 def op7_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix of all sources takes."""
     mixed = mix_sources(table(spark, sf_dir, "documents"), Work(spark, "mixing"))
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
 

@@ -159,6 +159,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], keep: tuple[st
 
 
 def op1_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's probability of toxicity; the labels outside the fold that is held out train it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = scored(docs, fit(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", (crc_fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -212,6 +212,7 @@ def read_warc(folder: str, index: DataFrame) -> DataFrame:
 
 
 def op9_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records in seekable bundles, read back by their index."""
     work = Work(spark, "warc")
     index = work.save(write_warc(table(spark, sf_dir, "pages"), f"{work.path}/bundles"), "index")
     return read_warc(f"{work.path}/bundles", index).drop("payload")

@@ -158,6 +158,73 @@ def test_classifiers_odd_rows(spark, odd, module):
     assert module.scored(odd.limit(0), module.fit(odd.limit(0), labels)).count() == 0
 
 
+def test_platt_scaling_minimises_its_loss():
+    """No a and b near those found have less of Platt's loss, by the formulas of the paper over a grid."""
+    rng = random.Random(6)
+    rows = [(int(y), np.array([i])) for i in range(300) for y in [rng.random() < 1 / (1 + math.exp(-(3 * math.sin(i) - 1)))]]
+    w = np.zeros((1 << toxicity.BITS) + 1)
+    w[:300] = 6 * np.sin(np.arange(300))
+    w[-1] = 0.5
+    found = toxicity.calibrated(w, rows)
+    z, y = w[:300] + w[-1], np.array([r[0] for r in rows])
+    ones, zeros = int(y.sum()), int(300 - y.sum())
+    weight = {1: ones**-0.5 / (ones**0.5 + zeros**0.5), 0: zeros**-0.5 / (ones**0.5 + zeros**0.5)}
+
+    def loss(a, b):
+        total = 0.5e-3 * (a - 1) ** 2
+        for zi, yi in zip(z, y):
+            t, p = ((ones + 1) / (ones + 2) if yi else 1 / (zeros + 2)), 1 / (1 + math.exp(-(a * zi + b)))
+            total -= weight[int(yi)] * (t * math.log(p) + (1 - t) * math.log(1 - p))
+        return total
+
+    a = found[1] / w[1]
+    b = found[-1] - a * w[-1]
+    best = loss(a, b)
+    assert all(best <= loss(a + da, b + db) + 1e-12 for da in (-0.05, -0.005, 0, 0.005, 0.05) for db in (-0.2, -0.02, 0, 0.02, 0.2))
+    assert np.array_equal(toxicity.calibrated(w, rows[:0]), w)
+
+
+def test_network_equals_adam_by_the_paper():
+    """Weights after some epochs, one number at a time."""
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(37, 3)), rng.integers(0, 2, 37)
+    got = quality.train(x, y, units=2, epochs=3)
+    rng = np.random.default_rng(11)
+    mean, dev = x.mean(0), x.std(0) + 1e-6
+    net = {("w1", i, j): v for (i, j), v in np.ndenumerate(rng.normal(0, (2 / 3) ** 0.5, (3, 2)))} | {("w2", j): v for (j,), v in np.ndenumerate(rng.normal(0, 1.0, 2))} | {("b1", 0): 0.0, ("b1", 1): 0.0, ("b2",): 0.0}
+    rows = [i for i in range(37) if i % 5 != 4]
+    m, v, step = Counter(), Counter(), 0
+
+    def forward(r):
+        u = [(x[r][i] - mean[i]) / dev[i] for i in range(3)]
+        h = [max(0.0, sum(u[i] * net["w1", i, j] for i in range(3)) + net["b1", j]) for j in range(2)]
+        return u, h, sum(h[j] * net["w2", j] for j in range(2)) + net["b2",]
+
+    for _ in range(3):
+        order = rng.permutation(len(rows))
+        g = Counter({k: 1e-4 * net[k] for k in net if k[0] in ("w1", "w2")})
+        for r in (rows[i] for i in order):
+            u, h, z = forward(r)
+            e = (1 / (1 + math.exp(-z)) - y[r]) / len(rows)
+            g["b2",] += e
+            for j in range(2):
+                g["w2", j] += e * h[j]
+                if h[j] > 0:
+                    g["b1", j] += e * net["w2", j]
+                    for i in range(3):
+                        g["w1", i, j] += e * net["w2", j] * u[i]
+        step += 1
+        for k in net:
+            m[k] = 0.9 * m[k] + 0.1 * g[k]
+            v[k] = 0.999 * v[k] + 0.001 * g[k] ** 2
+            net[k] -= 0.003 * (m[k] / (1 - 0.9**step)) / (math.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+    for k, want in net.items():
+        assert float(got[k[0]][k[1:]] if k[1:] else got[k[0]]) == pytest.approx(want, rel=1e-9, abs=1e-12)
+    aside = [i for i in range(37) if i % 5 == 4]
+    cost = lambda t: sum(math.log1p(math.exp((-1 if y[r] else 1) * forward(r)[2] / t)) for r in aside)
+    assert all(cost(got["t"]) <= cost(t) + 1e-12 for t in np.geomspace(0.25, 8, 61))
+
+
 def test_word_sums_of_many_tasks(spark):
     """The tree gives the sums of one task, whatever the number of partitions."""
     from cairnmap.llm.lm import unpack
