@@ -112,11 +112,27 @@ def iou_matches(left: DataFrame, right: DataFrame, image: str, left_id: str, rig
     """For each left box its best right box of the same image, where they overlap by more than ``least``.
 
     With ``boxes`` (x0, y0, x1, y1 of either side as two lists of column names) and ``cell``, only boxes that reach into one
-    cell of a grid meet: an image with many boxes is not squared.  Pairs that meet in several cells count once."""
+    cell of a grid meet: an image with many boxes is not squared.  The grid has levels, of cells twice as wide each: a box
+    lies in four cells at most of the first level that is as wide as it is, and of each wider one up to that of the image's
+    largest box; two boxes meet at the level of the larger.  Pairs that meet in several cells count once."""
+    keys = [image]
     if boxes:
-        spread = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell)))
-        left, right = (df.select("*", spread(b[0], b[2]).alias("_cx")).select("*", spread(b[1], b[3]).alias("_cy")) for df, b in zip((left, right), boxes))
-    both = left.join(right, [image, "_cx", "_cy"] if boxes else image).withColumn("iou", iou)
+        wide = lambda b: F.greatest(F.col(b[2]) - F.col(b[0]), F.col(b[3]) - F.col(b[1]))
+        own = lambda b: F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(wide(b) / cell, F.lit(1.0)))).cast("int"))
+        left, right = left.withColumn("_own", own(boxes[0])), right.withColumn("_own", own(boxes[1]))
+        tops = left.select(image, "_own").unionByName(right.select(image, "_own")).groupBy(image).agg(F.max("_own").alias("_top"))
+
+        def spread(df, b):
+            df = df.join(tops, image).select("*", F.explode(F.sequence("_own", "_top")).alias("_level")).drop("_top")
+            side = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("_level"))
+            for lo, hi, name in ((b[0], b[2], "_cx"), (b[1], b[3], "_cy")):
+                df = df.select("*", F.explode(F.sequence(F.floor(F.col(lo) / side), F.floor(F.col(hi) / side))).alias(name))
+            return df
+
+        left, right = spread(left, boxes[0]), spread(right, boxes[1]).withColumnRenamed("_own", "_other")
+        keys = [image, "_level", "_cx", "_cy"]
+    both = left.join(right, keys).withColumn("iou", iou)
+    both = both.where(F.greatest("_own", "_other") == F.col("_level")) if boxes else both
     best = both.groupBy(image, left_id).agg(F.max_by(right_id, F.struct("iou", -F.col(right_id))).alias(right_id), F.max("iou").alias("iou"))
     return best.where(F.col("iou") > least)
 

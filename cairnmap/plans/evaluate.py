@@ -42,6 +42,12 @@ class Clock:
         self.paths = []
 
 
+def store_sites(index: DataFrame, out: layout.Results) -> dict[str, knn_index.Index]:
+    """A stored index for each site of the descriptor table, under the results' folder."""
+    sites = [r.site for r in index.select("site").distinct().orderBy("site").collect()]  # a row a site
+    return {site: knn_index.build(index.where(F.col("site") == site), f"{out.table('index')}/{site}", "descriptor_id", carry=("patch",)) for site in sites}
+
+
 def tile_centres(index: DataFrame, size: int = 500) -> DataFrame:
     """(site, patch, cx, cy): the centre of each tile that has descriptors."""
     return index.groupBy("site", "patch").agg((F.min("left") + size / 2).alias("cx"), (F.min("top") + size / 2).alias("cy"))
@@ -55,7 +61,7 @@ def true_patches(truth: DataFrame, centres: DataFrame) -> DataFrame:
     return points.join(near, "_i").join(tiles, "_c").select("image", F.col("patch").alias("gt_patch_id"))
 
 
-def evaluate(images: DataFrame, index: DataFrame, sites: DataFrame, poses: DataFrame, out: layout.Results, batch: str, variant: str = "main", k: int = 5, prepare: Callable[[DataFrame], DataFrame] | None = None, segment: Callable[[DataFrame], DataFrame] | None = None, cap: int = 4, size: int = 500) -> DataFrame:
+def evaluate(images: DataFrame, index: DataFrame, sites: DataFrame, poses: DataFrame, out: layout.Results, batch: str, variant: str = "main", k: int = 5, prepare: Callable[[DataFrame], DataFrame] | None = None, segment: Callable[[DataFrame], DataFrame] | None = None, cap: int = 4, size: int = 500, stored: dict[str, knn_index.Index] | None = None) -> DataFrame:
     """Locates the images (site, image, ...; names unique over all sites) that have no record of this variant yet, each in its
     own site's index, appends their records under the name ``batch`` and returns these.  Stages, written and timed:
 
@@ -65,7 +71,8 @@ def evaluate(images: DataFrame, index: DataFrame, sites: DataFrame, poses: DataF
     variant main also stores polygons and descriptors, for ablate().
 
     sites: site, sat_width, sat_height, lt_lat, lt_lon, rb_lat, rb_lon (bounds may be null: no degrees, no errors); poses: as
-    flight_metadata() reads them.  A batch that runs again under its name, killed or not, gives its records once."""
+    flight_metadata() reads them.  ``stored`` has the sites' stored indexes (store_sites), which are searched in place of
+    scans.  A batch that runs again under its name, killed or not, gives its records once."""
     spark, clock = images.sparkSession, Clock()
     done = readers.records(spark, out.table("records"), variant=variant)
     signed = lookup.signs(images, "site", "image")
@@ -80,7 +87,8 @@ def evaluate(images: DataFrame, index: DataFrame, sites: DataFrame, poses: DataF
     for site in where:
         own = index.where(F.col("site") == site)
         patches = vote.patch_centroids(own, "patch", "centroid_x", "centroid_y")
-        part = localize.query_images(rows.where(F.col("site") == site).drop("site"), own, patches, k=k).withColumn("site", F.lit(site))
+        base = stored[site] if stored and site in stored else own
+        part = localize.query_images(rows.where(F.col("site") == site).drop("site"), base, patches, k=k).withColumn("site", F.lit(site))
         results = part if results is None else results.unionByName(part)
     if results is None:
         return spark.createDataFrame([], readers.RECORD)

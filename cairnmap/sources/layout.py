@@ -46,7 +46,7 @@ class Results:
     root: str
 
     def table(self, name: str) -> str:
-        if name not in ("descriptors", "polygons", "meta", "image_polygons", "image_descriptors", "records", "report"):
+        if name not in ("descriptors", "polygons", "meta", "image_polygons", "image_descriptors", "records", "report", "index"):
             raise ValueError(f"no table {name!r}")
         return f"{self.root}/{name}"
 

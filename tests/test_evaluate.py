@@ -65,6 +65,13 @@ def test_records_of_an_evaluation(spark, world, tmp_path):
     assert right >= 12
     assert run("three").count() == 0 and run("noise", part, variant="heading_noise_5", prepare=lambda df: df.withColumn("yaw", 5 * F.col("sign"))).count() == 8
 
+    # The same images in stored indexes, as another variant.
+    stored = evaluate.store_sites(world["index"], out)
+    again = {r.image: r for r in run("stored", variant="again", stored=stored).collect()}
+    assert set(stored) == {"01", "02"} and len(again) == 15
+    for name, r in again.items():
+        assert (r.pred_patch_id, r.votes, r.second_votes, r.error_m, r.gt_patch_rank) == tuple(rows[name][c] for c in ("pred_patch_id", "votes", "second_votes", "error_m", "gt_patch_rank"))
+
     found = evaluate.ablate(world["index"], world["sites"], out, ks=(1, 5), tiles=world["tiles"], caps=(1,)).collect()
     by = {(r.variant, r.site): r for r in found}
     assert {v for v, _ in by} == {"K=1", "K=5", "Dmax=1", *evaluate.MATCHING} and {s for _, s in by} == {"01", "02", "overall"}

@@ -105,7 +105,8 @@ def test_boxes_meet_by_cells_as_they_do_by_image(spark):
     iou = geo.box_iou([F.col(c) for c in ("lx", "ly", "lx1", "ly1")], [F.col(c) for c in ("rx", "ry", "rx1", "ry1")])
     names = (["lx", "ly", "lx1", "ly1"], ["rx", "ry", "rx1", "ry1"])
     plain = metrics.iou_matches(left, right, "image", "l_id", "r_id", iou, 0.2).collect()
-    assert len(plain) > 20 and sorted(plain) == sorted(metrics.iou_matches(left, right, "image", "l_id", "r_id", iou, 0.2, names, 4.0).collect())
+    for cell in (0.3, 4.0, 500.0):
+        assert len(plain) > 20 and sorted(plain) == sorted(metrics.iou_matches(left, right, "image", "l_id", "r_id", iou, 0.2, names, cell).collect())
 
 
 def test_pairs_under_any_metric(spark):
