@@ -11,6 +11,8 @@ from ..sources import shared
 from . import order
 
 RECALL_AT = (10, 20, 50)
+#: Steps of a distribution function that one row stands for while they are dealt.
+STRETCH = 65_536
 
 
 def finite(value: Column) -> Column:
@@ -79,7 +81,10 @@ def ecdf(records: DataFrame, key: str, error: str = "error_m") -> DataFrame:
     known = records.where(F.col(key).isNotNull() & finite(F.col(error).cast("double")))
     steps, at = known.groupBy(key, error).agg(F.count("*").alias("_n")), Window.partitionBy(key)
     steps = steps.withColumns({"_upto": F.sum("_n").over(at.orderBy(error)), "_all": F.sum("_n").over(at)})
-    each = steps.select(key, error, "_all", F.explode(F.sequence(F.col("_upto") - F.col("_n") + 1, F.col("_upto"))).alias("_i"))
+    # A common error stands for many steps: they are dealt in stretches before they are written out.
+    parts = steps.select(key, error, "_all", "_upto", F.explode(F.sequence(F.col("_upto") - F.col("_n") + 1, F.col("_upto"), F.lit(STRETCH))).alias("_i"))
+    parts = parts.hint("rebalance")
+    each = parts.select(key, error, "_all", F.explode(F.sequence("_i", F.least(F.col("_i") + STRETCH - 1, F.col("_upto")))).alias("_i"))
     return each.select(key, error, (F.col("_i") / F.col("_all")).alias("fraction"))
 
 
@@ -92,12 +97,16 @@ def confusion(rows: DataFrame, truth: Column, predicted: Column) -> DataFrame:
     return counts.select("tp", "fp", "fn", ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"), ratio(tp, tp + fp + fn).alias("iou"))
 
 
-def quantile_cap(rows: DataFrame, key: str, area: str, image_area: Column | float, fraction: float = 0.95, quantile: float = 0.995, least: int = 4) -> DataFrame:
+def quantile_cap(rows: DataFrame, key: str, area: str, image_area: Column | float, fraction: float = 0.95, quantile: float = 0.995, least: int = 4, any_values: bool = False) -> DataFrame:
     """Rows of an area up to its group's cap: ``fraction`` of the image, and from ``least`` rows on also the quantile
     (interpolated, at least 1).  The caps are joined back on the key, so a large group is not gathered; the quantile's
-    buffer has an entry for each distinct area, at most the image's pixels."""
+    buffer has an entry for each distinct area, at most the image's pixels.  ``any_values``: for areas that are no numbers
+    of pixels, the quantile is found by refinement (order.quantile), in bounded memory."""
     hard = (image_area if isinstance(image_area, Column) else F.lit(float(image_area))) * fraction
-    caps = rows.groupBy(key).agg(F.count(area).alias("_n"), F.percentile(area, quantile).alias("_q"))
+    if any_values:
+        caps = order.quantile(rows, [key], area, quantile, "_q").withColumnRenamed("n", "_n")
+    else:
+        caps = rows.groupBy(key).agg(F.count(area).alias("_n"), F.percentile(area, quantile).alias("_q"))
     cap = F.when(F.col("_n") >= least, F.least(F.greatest("_q", F.lit(1.0)), hard)).otherwise(hard)
     return rows.join(caps, key).withColumn("cap", cap).where(F.col(area) <= F.col("cap")).drop("_n", "_q")
 

@@ -63,6 +63,17 @@ def test_quantiles_equal_the_definition(spark, accuracy):
     assert order.quantile(df, [], "v", 0.5, accuracy=accuracy).first()["quantile"] == pytest.approx(statistics.median(every))
 
 
+def test_caps_and_steps_of_any_values(spark, monkeypatch):
+    rng = random.Random(8)
+    df = spark.createDataFrame([(rng.choice("abc"), rng.paretovariate(1.2) * 10) for _ in range(700)] + [("d", 5.0), ("d", 6.0), (None, 1.0)], "k string, area double")
+    plain, refined = (sorted(metrics.quantile_cap(df, "k", "area", 900.0, any_values=x).collect()) for x in (False, True))
+    assert [(r.k, r.area) for r in plain] == [(r.k, r.area) for r in refined] and [r.cap for r in plain] == pytest.approx([r.cap for r in refined])
+    steps = spark.createDataFrame([("a", float(v)) for v in [1] * 50 + [2] * 3 + [3]], "site string, error_m double")
+    want = sorted(metrics.ecdf(steps, "site").collect())
+    monkeypatch.setattr(metrics, "STRETCH", 7)
+    assert sorted(metrics.ecdf(steps, "site").collect()) == want and len(want) == 54 and want[-1].fraction == 1.0
+
+
 def test_metrics_of_any_values(spark):
     rng = random.Random(3)
     df = spark.createDataFrame([(rng.choice("abc"), rng.expovariate(0.02)) for _ in range(999)] + [("d", None), (None, 3.0)], "site string, error_m double")
