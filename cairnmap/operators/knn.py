@@ -20,6 +20,8 @@ from ..sources import shared
 
 #: Queries of one block; with 64 single-precision components, 4 MB.
 BLOCK = 16_384
+#: Components up to which boxes leave most of an index out.
+NARROW = 16
 #: A piece of distances stays in a core's cache.
 _ROWS, _QUERIES = 1_024, 64
 
@@ -63,6 +65,9 @@ def knn_join(queries: DataFrame, index: DataFrame, k: int, p: int = 1, query_id:
     """(query_id, index_id, *carry, distance, rank): for each query the k nearest index rows under the Minkowski metric p,
     by distance, then index_id.  ``dims`` = (start, length), 0-based, compares a slice.  Rows without a vector take no part;
     fewer index rows than k give all of them; an empty side gives no rows.  ``skip_same_id`` leaves a row itself out.
+
+    More queries than a block, in NARROW components of single precision at most, are searched in a stored index
+    (knn_index), to whose leaves they move; in many components, where few leaves can be left out, block after block.
     """
     if k < 1 or p < 1:
         raise ValueError("k and p must be positive")
@@ -72,7 +77,14 @@ def knn_join(queries: DataFrame, index: DataFrame, k: int, p: int = 1, query_id:
     schema = scanned.drop("vec").schema
     types = dict(zip(carry, to_arrow_schema(scanned.select(*carry).schema).types)) if carry else {}
     spark, blocks = queries.sparkSession, 1 + asked.count() // BLOCK
-    if blocks > 1:  # each block is a filter over them, so they are made once
+    if blocks > 1:
+        wide = scanned.select(F.size("vec")).first()
+        if wide and wide[0] <= NARROW and dict(scanned.dtypes)["vec"] == "array<float>":
+            from . import knn_index
+
+            stored = knn_index.build(scanned, shared.fresh(spark, "index"), carry=tuple(carry))
+            return knn_index.search(asked, stored, k, p, skip_same_id=skip_same_id)
+        # Each block is a filter over them, so they are made once.
         asked = shared.saved(asked, "queries")
     found = None
     for b in range(blocks):

@@ -21,12 +21,15 @@ def test_knn_equals_brute_force(spark, p):
         assert [(round(r.distance, 9), r.index_id) for r in got if r.query_id == i] == [(pytest.approx(a), b) for a, b in want]
 
 
-def test_knn_blocks_give_the_same(spark, monkeypatch):
+@pytest.mark.parametrize("wide", [4, 20])
+def test_knn_blocks_give_the_same(spark, monkeypatch, wide):
+    """More queries than a block: in a stored index, or, in many components, block after block."""
     rng = np.random.default_rng(0)
-    q, s = frame(spark, range(20), rng.normal(size=(20, 4)), "query_id"), frame(spark, range(50), rng.normal(size=(50, 4)), "index_id")
-    one = knn.knn_join(q, s, 3).orderBy("query_id", "rank").collect()
+    q, s = frame(spark, range(20), rng.normal(size=(20, wide)), "query_id"), frame(spark, range(50), rng.normal(size=(50, wide)), "index_id")
+    s = s.withColumn("label", F.col("index_id") % 3)
+    one = knn.knn_join(q, s, 3, carry=("label",)).orderBy("query_id", "rank").collect()
     monkeypatch.setattr(knn, "BLOCK", 6)
-    assert knn.knn_join(q, s, 3).orderBy("query_id", "rank").collect() == one
+    assert knn.knn_join(q, s, 3, carry=("label",)).orderBy("query_id", "rank").collect() == one
 
 
 def test_knn_edges(spark):
