@@ -103,7 +103,8 @@ def test_ecdf_steps_through_ties(spark):
 
 
 def test_number_format(spark):
-    assert [one(spark, x=text.number(F.lit(v).cast("double"))).x for v in (1.004, None, math.inf)] == ["1.00", "---", "---"]
+    assert [one(spark, x=text.number(F.lit(v).cast("double"), 2)).x for v in (1.004, None, math.inf)] == ["1.00", "---", "---"]
+    assert one(spark, x=text.number(F.lit(12.345))).x == "12.3"
 
 
 def test_metadata_source(spark, tmp_path):
