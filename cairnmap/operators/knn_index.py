@@ -191,7 +191,7 @@ def _router(shared, k: int, p: int, skip_same_id: bool):
 
     def run(batches):
         leaf, lo, hi, ids, sample = shared.value
-        for whole in batches:
+        for whole in batches if len(leaf) else ():
             for at in range(0, whole.num_rows, BLOCK):
                 batch = whole.slice(at, BLOCK)
                 own, q = batch.column(0).to_numpy(), _matrix(batch.column(1), lo.shape[1])
@@ -259,6 +259,9 @@ def routed(queries: DataFrame, index: Index, k: int, p: int = 1, query_id: str =
     part = F.slice(vec, dims[0] + 1, dims[1]) if dims else F.col(vec)
     asked = queries.where(F.col(vec).isNotNull()).select(F.col(query_id).cast("long").alias("query_id"), part.alias("vec"))
     shared = index.spark.sparkContext.broadcast((index.leaf, index.lo, index.hi, index.ids, index.sample))
+    # A piece travels once for each block of its leaf, so blocks are filled.
+    tasks = 1 + asked.count() // BLOCK
+    asked = asked.coalesce(1) if tasks == 1 else asked.repartition(tasks)
     return asked.mapInArrow(_router(shared, k, p, skip_same_id), "leaf int, query_ids array<long>, queries binary, bounds array<double>")
 
 
