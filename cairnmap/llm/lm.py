@@ -9,8 +9,8 @@ Probabilities of a state sum to one.  One traversal from left to right carries t
 The automaton grows with the corpus and is never broadcast or collected.  Documents are cut into blocks by bytes; each block
 asks the tables of counts, which are dealt into parts by n-gram hash, for the n-grams that its texts can reach, once each,
 and builds and traverses the part of the automaton that comes back.  Requests carry the block's own training counts, so
-counting and asking take one shuffle.  A frequent n-gram has one entry for each block, and a pair of block and part one row
-if any n-gram falls there, so what moves follows the n-grams of the blocks, however many parts there are.
+counting and asking take one shuffle.  A frequent n-gram has one entry for each block of a team; past ``FAN`` blocks there
+are several teams, which add up what they have and ask the next level as one.
 """
 
 from __future__ import annotations
@@ -29,6 +29,13 @@ ORDER, MU = 3, 100.0
 BLOCK_BYTES, PART_BYTES = 6 << 20, 4 << 20
 #: Tokens that one lane of a traversal reads.
 LANE = 512
+#: Blocks that ask as a team, and teams that ask as one of the next level.
+FAN = 4096
+#: Tasks of a shuffle at most; with more parts or blocks a task takes several in turn.
+TASKS = 1 << 16
+REQUEST = "part int, block long, keys binary, counts binary"
+ANSWER = "block long, part int, width int, counts binary, n long, v long"
+_ANSWER = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("width", pa.int32()), ("counts", pa.binary()), ("n", pa.int64()), ("v", pa.int64())])
 _END, _START = np.uint64(0xE7D), np.uint64(0x57A27)
 
 
@@ -142,20 +149,84 @@ def _request(order: int, parts: int):
     return run
 
 
-def _answer(asked: pa.Table) -> pa.Table:
-    """All blocks' keys and counts of one part -> the training counts that each block asked for, without its own (so what
-    one block alone has is 0 and packs well); the part's N and V."""
-    blocks, part = asked.column("block").to_pylist(), asked.column("part")[0].as_py()
+def _joint(asked: pa.Table, dtype):
+    """Requests for one part -> own counts and places of the keys of each, all distinct keys in order, their summed counts."""
     keys = [unpack(x, np.uint64, True) for x in asked.column("keys").to_pylist()]
-    counts = [unpack(x, np.uint32) for x in asked.column("counts").to_pylist()]
+    counts = [unpack(x, dtype) for x in asked.column("counts").to_pylist()]
     distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(inverse, np.concatenate(counts), len(distinct)).astype(np.uint64)
-    single = (distinct & np.uint64(1)).astype(bool) & (total > 0)
     ends = np.cumsum([0] + [len(k) for k in keys])
+    return counts, [inverse[a:b] for a, b in zip(ends[:-1], ends[1:])], distinct, total
+
+
+def _reply(asked: pa.Table, counts: list, places: list, total: np.ndarray) -> pa.Table:
+    """To each block the counts of what it asked for, without its own (so what one block alone has is 0 and packs well)."""
     wide = 4 if total.max(initial=0) < 1 << 32 else 8
-    back = [pack((total[inverse[a:b]] - own).astype(np.uint32 if wide == 4 else np.uint64)) for own, a, b in zip(counts, ends[:-1], ends[1:])]
-    none = [0] * len(blocks)
-    return pa.table({"block": pa.array([*blocks, -1], pa.int64()), "part": pa.array([part] * (len(blocks) + 1), pa.int32()), "width": pa.array([wide] * len(blocks) + [0], pa.int32()), "counts": pa.array([*back, b""], pa.binary()), "n": pa.array([*none, int(total[single].sum())], pa.int64()), "v": pa.array([*none, int(single.sum())], pa.int64())})
+    back = [pack((total[at] - own).astype(np.uint32 if wide == 4 else np.uint64)) for own, at in zip(counts, places)]
+    none = pa.array([0] * len(back), pa.int64())
+    return pa.table({"block": asked.column("block"), "part": asked.column("part"), "width": pa.array([wide] * len(back), pa.int32()), "counts": pa.array(back, pa.binary()), "n": none, "v": none})
+
+
+def _answer(dtype):
+    """All requests for one part -> the training counts that each asked for; the part's N and V, as block -1."""
+
+    def run(asked: pa.Table) -> pa.Table:
+        counts, places, distinct, total = _joint(asked, dtype)
+        single = (distinct & np.uint64(1)).astype(bool) & (total > 0)
+        last = pa.table([pa.array([x], f.type) for x, f in zip((-1, asked.column("part")[0].as_py(), 0, b"", int(total[single].sum()), int(single.sum())), _ANSWER)], schema=_ANSWER)
+        return pa.concat_tables([_reply(asked, counts, places, total).cast(_ANSWER), last])
+
+    return run
+
+
+def _merge(dtype, parts: int, finer: int, teams: int):
+    """All requests of one team for one part -> the same as requests of the team, one for each of ``finer`` parts of it."""
+
+    def run(asked: pa.Table) -> pa.Table:
+        _, _, distinct, total = _joint(asked, dtype)
+        team, part = asked.column("team")[0].as_py(), asked.column("part")[0].as_py()
+        fine = np.arange(part * finer, (part + 1) * finer + 1)
+        cuts = np.searchsorted(_part_of(distinct, parts * finer), fine).tolist()
+        rows = [(p, a, b) for p, a, b in zip(fine.tolist(), cuts[:-1], cuts[1:]) if b > a]
+        return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([team * parts + part] * len(rows), pa.int64()), "keys": pa.array([pack(distinct[a:b], True) for _, a, b in rows], pa.binary()), "counts": pa.array([pack(total[a:b]) for _, a, b in rows], pa.binary()), "team": pa.array([team % teams] * len(rows), pa.int64())})
+
+    return run
+
+
+def _relay(dtype):
+    """All requests of one team for one part, and the answers to the team -> the answers to each request."""
+
+    def run(asked: pa.Table, upper: pa.Table) -> pa.Table:
+        counts, places, distinct, total = _joint(asked, dtype)
+        upper = upper.sort_by("part")
+        others = np.concatenate([unpack(x, np.uint32 if w == 4 else np.uint64) for x, w in zip(upper.column("counts").to_pylist(), upper.column("width").to_pylist())]).astype(np.uint64)
+        if len(others) != len(distinct):
+            raise ValueError(f"a team got {len(others)} counts for {len(distinct)} n-grams")
+        return _reply(asked, counts, places, total + others)
+
+    return run
+
+
+def _levels(teams: int, fan: int) -> list[int]:
+    """Teams of each level, up to the one that is a single team."""
+    return [teams] if teams == 1 else [teams, *_levels(-(-teams // fan), fan)]
+
+
+def _answers(asked: DataFrame, work: Work, teams: list[int], parts: int, fan: int, level: int = 0) -> DataFrame:
+    """Requests (part, block, keys, counts, team) -> answers.  Where there are several teams, each adds up its own requests
+    and asks the level above as one, for finer parts; so no group has more than about ``fan`` requests, and none is a few
+    n-grams long, however many blocks ask for a frequent one."""
+    dtype = np.uint64 if level else np.uint32
+    if len(teams) == 1:
+        dealt = asked.repartition(TASKS, "part") if parts > TASKS else asked.repartitionById(parts, F.col("part"))
+        return dealt.groupBy("part").applyInArrow(_answer(dtype), ANSWER)
+    asked = work.save(asked, f"asked{level}")
+    tasks, finer = min(TASKS, teams[0] * parts), min(teams[0], fan)
+    merged = asked.repartition(tasks, "team", "part").groupBy("team", "part").applyInArrow(_merge(dtype, parts, finer, teams[1]), REQUEST + ", team long")
+    upper = work.save(_answers(merged, work, teams[1:], parts * finer, fan, level + 1), f"upper{level}")
+    own = asked.withColumn("asker", F.col("team") * parts + F.col("part")).repartition(tasks, "asker").groupBy("asker")
+    back = upper.where("block >= 0").withColumnRenamed("block", "asker").repartition(tasks, "asker").groupBy("asker")
+    return own.cogroup(back).applyInArrow(_relay(dtype), ANSWER).unionByName(upper.where("block = -1"))
 
 
 class Automaton:
@@ -247,7 +318,7 @@ def _score(order: int, mu: float, n_train: int, v: int):
     return run
 
 
-def lm_scores(docs: DataFrame, work: Work, order: int = ORDER, mu: float = MU, folds: int = 10, held_out: int = 0, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
+def lm_scores(docs: DataFrame, work: Work, order: int = ORDER, mu: float = MU, folds: int = 10, held_out: int = 0, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES, fan: int = FAN) -> DataFrame:
     """(doc_id long, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; one row per input row.
 
     Learns from rows whose crc32(doc_id as text) modulo ``folds`` is not ``held_out`` (a null id counts as empty text).
@@ -256,12 +327,14 @@ def lm_scores(docs: DataFrame, work: Work, order: int = ORDER, mu: float = MU, f
     follow from the smoothing alone; an empty table gives an empty result.  Other columns are not read.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts, tasks = int(8 + size // part_bytes), int(8 + size // (2 * block_bytes))
+    tasks = min(TASKS, int(8 + size // (2 * block_bytes)))
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_fold("doc_id", folds) == held_out).alias("held_out"), "text")
     blocks = work.save(dealt.mapInArrow(_cut(block_bytes), "block long, ids array<long>, held array<boolean>, offs array<long>, texts binary"), "blocks")
-    asked = blocks.mapInArrow(_request(order, parts), "part int, block long, keys binary, counts binary")
-    answered = asked.repartitionById(parts, F.col("part")).groupBy("part").applyInArrow(_answer, "block long, part int, width int, counts binary, n long, v long")
-    answers = work.save(answered, "answers", split=16 << 20)
+    teams = _levels(max(1, -(-blocks.count() // fan)), fan)
+    parts = int(8 + size // (teams[0] * part_bytes))
+    asked = blocks.mapInArrow(_request(order, parts), REQUEST).withColumn("team", F.pmod("block", F.lit(teams[0]).cast("long")))
+    answers = work.save(_answers(asked, work, teams, parts, fan), "answers", split=16 << 20)
+    work.drop(*(f"{name}{level}" for name in ("asked", "upper") for level in range(len(teams) - 1)))
     n, v = answers.where("block = -1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     back = answers.where("block >= 0").select("block", "part", "width", "counts").repartition(tasks, "block").groupBy("block")

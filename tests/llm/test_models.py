@@ -1,6 +1,7 @@
 import math
 import random
 from collections import Counter
+from pathlib import Path
 from zlib import crc32
 
 import numpy as np
@@ -280,6 +281,24 @@ def test_lm_equals_brute_force(spark, work, order):
     assert [h[4:] for h in have] == [pytest.approx(w[4:], rel=1e-9) for w in want]
 
 
+@pytest.mark.parametrize("fan", [2, 5])
+def test_lm_levels(spark, work, fan):
+    """Teams of blocks, over several levels, answer what one level answers, and leave no tables of theirs."""
+    rng = random.Random(fan)
+    docs = [(i, " ".join(rng.choice(["the", "a", "b", f"w{rng.randint(0, 60)}"]) for _ in range(rng.randint(0, 14)))) for i in range(120)] + [(500, None), (None, "the a")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    used = work()
+    got = lm.lm_scores(df, used, order=3, mu=5.0, block_bytes=150, part_bytes=300, fan=fan).collect()
+    key = lambda r: tuple((x is None, x) if not isinstance(x, float) else (False, round(x, 7)) for x in r)
+    want = sorted(brute_lm(docs, 3, 5.0), key=key)
+    have = sorted([(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got], key=key)
+    assert [h[:4] for h in have] == [w[:4] for w in want]
+    assert [h[4:] for h in have] == [pytest.approx(w[4:], rel=1e-9) for w in want]
+    assert {p.name for p in Path(used.path).iterdir()} == {"blocks", "answers"}
+    blocks = spark.read.parquet(f"{used.path}/blocks").count()
+    assert blocks > 16 and lm._levels(17, 2) == [17, 9, 5, 3, 2, 1] and lm._levels(1, 2) == [1]
+
+
 @pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_automaton(order):
     rng = random.Random(order)
