@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .order import places
 
 
 def first_per_key(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -91,14 +92,14 @@ def match_bounds(names: DataFrame, bounds: DataFrame, name: str = "name", map_:
 
 
 def first_n(rows: DataFrame, key: str, order: str, n: int) -> DataFrame:
-    """The first n rows of each key by ``order``."""
+    """The first n rows of each key by ``order``.  Up to 1,000 rows, tasks cut their own before rows move."""
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(order))).where(F.col("_r") <= n).drop("_r")
 
 
 def signs(images: DataFrame, key: str, order: str) -> DataFrame:
-    """images with sign +1, -1, +1, ... by their position in the key."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1
-    return images.withColumn("sign", F.when(place % 2 == 0, 1).otherwise(-1))
+    """images with sign +1, -1, +1, ... by their position in the key, which may hold any share of the images."""
+    placed = places(images.drop("sign"), [key], [order], "_place")
+    return placed.withColumn("sign", F.when(F.col("_place") % 2 == 0, 1).otherwise(-1)).drop("_place")
 
 
 def lot(key, seed: int = 0) -> Column:

@@ -615,7 +615,12 @@ def pair_scan(spark, sf_dir):
 
 @query("SELECT conv_id, turn, CASE WHEN (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) % 2 = 0 THEN 1 ELSE -1 END AS sign FROM conversations")
 def alternating_signs(spark, sf_dir):
-    return lookup.signs(t(spark, sf_dir, "conversations"), "conv_id", "turn").select("conv_id", "turn", "sign")
+    return lookup.signs(t(spark, sf_dir, "conversations").select("conv_id", "turn"), "conv_id", "turn")
+
+
+@query("SELECT click_id, client_id, row_number() OVER (PARTITION BY client_id ORDER BY ts NULLS FIRST, click_id NULLS FIRST) - 1 AS place FROM clicks")
+def click_places(spark, sf_dir):
+    return order.places(t(spark, sf_dir, "clicks").select("click_id", "client_id", "ts"), ["client_id"], ["ts", "click_id"]).select("click_id", "client_id", "place")
 
 
 @query("SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 3")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairnmap.functions import geo
-from cairnmap.operators import detections, knn, lookup, metrics, polygons
+from cairnmap.operators import detections, knn, lookup, metrics, order, polygons
 from cairnmap.plans import localize
 from cairnmap.sources import layout, readers, writers
 
@@ -129,3 +129,26 @@ def test_query_pool_takes_whole_keys_until_the_total(spark):
     got = detections.query_pool(rows, "key", "n", 5, 18).collect()
     assert {r.key for r in got} == {"k00", "k01", "k02", "k03"} and len(got) == 20
     assert polygons.below_share(rows, "n", 100, 0.2, 5).count() == 15
+
+
+def test_places_in_groups_of_any_size(spark):
+    rng = random.Random(4)
+    rows = [("hot" if rng.random() < 0.6 else rng.choice(["a", "b", None]), rng.choice([None, *range(900)]), i) for i in range(2500)]
+    df = spark.createDataFrame(rows, "k string, o int, i int").repartition(5)
+    got = order.places(df, ["k"], ["o", "i"]).collect()
+    want = {}
+    for k in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == k), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        want |= {r: n for n, r in enumerate(mine)}
+    assert {(r.k, r.o, r.i): r.place for r in got} == want and len(got) == len(rows)
+    tied = order.places(df.select("k"), ["k"], ["k"]).groupBy("k").agg(F.count_distinct("place").alias("n"), F.max("place").alias("m")).collect()
+    assert {r.k: (r.n, r.m + 1) for r in tied} == {k: (n, n) for k, n in ((k, sum(r[0] == k for r in rows)) for k in {r[0] for r in rows})}
+    assert order.places(df.limit(0), ["k"], ["o"]).count() == 0
+    assert {r.place for r in order.places(df.limit(10), [], ["i"], "place").collect()} == set(range(10))
+
+
+def test_first_rows_are_cut_before_they_move(spark):
+    df = spark.range(1000).selectExpr("id % 3 as k", "id")
+    plan = lookup.first_n(df, "k", "id", 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2 and "Partial" in plan
+    assert lookup.first_n(df, "k", "id", 5).count() == 15
