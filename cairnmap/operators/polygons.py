@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import geometry
+from . import geometry, many_polygons
 
 POLYGON = "array<array<double>>"
 
@@ -24,35 +26,36 @@ def below_share(rows: DataFrame, area: str, image_area: float, share: float = 0.
     return kept if least is None else kept.where(F.col(area) >= least)
 
 
-def polygon_descriptors(rows: DataFrame, polygon: str = "polygon", cap: int | tuple[int, ...] = 4, offset: tuple[str, str] | None = None) -> DataFrame:
+def _corners(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The corners (x, y) of all polygons one after the other, and how many each has; none for a null."""
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(column), 0), np.int64)
+    corners = column.flatten()
+    if corners.null_count or pc.any(pc.not_equal(pc.list_value_length(corners), 2)).as_py():
+        raise ValueError("the corners of a polygon have to be (x, y)")
+    return corners.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, 2), sizes
+
+
+def polygon_descriptors(rows: DataFrame, polygon: str = "polygon", cap: int | tuple[int, ...] = 4, offset: tuple[str, str] | None = None, kind: str = "float") -> DataFrame:
     """A row for each interior triangle of each polygon: the other columns, triangle_idx, alpha1, alpha2, e1, e2, e3 and the
-    triangle's centre (moved by the offset columns).  Null and degenerate polygons give no row.  With several caps
-    the rows of each, and its number in column cap."""
+    triangle's centre (moved by the offset columns), in single precision or as ``kind``, double, says.  Null and degenerate
+    polygons give no row.  With several caps the rows of each, and its number in column cap."""
     caps = cap if isinstance(cap, tuple) else (cap,)
     others = [c for c in rows.columns if c != polygon]
     schema = rows.select(*others).schema.add("triangle_idx", "integer")
     for c in ("alpha1", "alpha2", "e1", "e2", "e3", "centroid_x", "centroid_y"):
-        schema = schema.add(c, "float")
+        schema = schema.add(c, kind)
     if caps is cap:
         schema = schema.add("cap", "integer")
-    moves = offset or ()
+    precision = np.float32 if kind == "float" else np.float64
 
     def run(batches):
         for batch in batches:
-            source, number, grown, values = [], [], [], [[] for _ in range(7)]
-            shift = [batch.column(c).to_pylist() for c in moves]
-            for i, p in enumerate(batch.column(polygon).to_pylist()):
-                each, c = geometry.descriptors_by_cap(p, caps) if p else ((), ())
-                move = [s[i] for s in shift] or [0, 0]
-                for n, d in zip(caps, each):
-                    for t in range(len(d)):
-                        source.append(i)
-                        number.append(t)
-                        grown.append(n)
-                        for k, v in enumerate([*d[t], c[t][0] + move[0], c[t][1] + move[1]]):
-                            values[k].append(float(v))
-            at = pa.array(source, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in others), pa.array(number, pa.int32()), *(pa.array(v, pa.float32()) for v in values), *([pa.array(grown, pa.int32())] if caps is cap else [])], names=schema.names)
+            of, grown, number, values, centre = many_polygons.descriptors(*_corners(batch.column(polygon)), caps)
+            centre = centre.astype(precision).astype(float)
+            for i, c in enumerate(offset or ()):
+                centre[:, i] += batch.column(c).to_numpy(zero_copy_only=False)[of]
+            columns = [pa.array(v.astype(precision)) for v in (*values.T, *centre.T)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(of)) for c in others), pa.array(number.astype(np.int32)), *columns, *([pa.array(np.array(caps, np.int32)[grown])] if caps is cap else [])], names=schema.names)
 
     # The work for a polygon far exceeds its bytes, so files do not set the number of tasks.
     spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -81,8 +84,6 @@ def masks_to_polygons(rows: DataFrame, mask: str = "mask", least_area: float = 5
     schema = rows.drop(mask).schema.add("polygons", T.ArrayType(T.ArrayType(T.ArrayType(T.DoubleType()))))
 
     def run(batches):
-        import numpy as np
-
         for batch in batches:
             at = batch.schema.get_field_index(mask)
             found = []

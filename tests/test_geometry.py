@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from cairnmap.operators import geometry as g
-from cairnmap.operators import polygons
+from cairnmap.operators import many_polygons, polygons
 
 #: Shapes whose angles are known (fixed values).
 L_SHAPE = [(0, 0), (2, 0), (2, 1), (1, 1), (1, 2), (0, 2)]
@@ -101,3 +101,33 @@ def test_several_caps_equal_single_ones(spark):
     for cap in (0, 1, 4):
         mine = got[got.cap == cap].sort_values("triangle_idx")
         assert np.array_equal(mine[["alpha1", "alpha2", "e1", "e2", "e3"]].to_numpy(np.float32), g.descriptors(C_SHAPE, cap)[0])
+
+
+def test_many_polygons_at_once_equal_single_ones():
+    """Stars, points anywhere, and points on a lattice, where several triangulations are right."""
+    rng = np.random.default_rng(3)
+    star = lambda n: (turn := 2 * np.pi * (np.arange(n) + 0.8 * rng.random(n)) / n, rad := rng.uniform(15, 50, n)) and np.stack([200 + rad * np.cos(turn), 90 + rad * np.sin(turn)], 1)
+    shapes = [make(n) for n in (*range(3, 11), 19) for make in (star, star, lambda n: rng.random((n, 2)), lambda n: rng.integers(0, 5, (n, 2)).astype(float))]
+    shapes += [np.array(L_SHAPE, float), np.zeros((0, 2)), np.array([[0, 0], [np.nan, 1], [2, 0]])]
+    of, cap, number, d, centre = many_polygons.descriptors(np.concatenate(shapes), np.array([len(s) for s in shapes]), (0, 2, 4))
+    for i, s in enumerate(shapes):
+        want, centres = g.described(s, (0, 2, 4))
+        for c in range(3):
+            mine = (of == i) & (cap == c)
+            assert number[mine].tolist() == list(range(len(centres)))
+            assert d[mine] == pytest.approx(want[c], abs=1e-9) and np.array_equal(centre[mine], centres)
+
+
+def test_most_polygons_are_not_taken_one_by_one(monkeypatch):
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(g, "described", None)
+    assert len(many_polygons.descriptors(rng.random((700, 2)), np.full(100, 7), (4,))[0]) > 300
+
+
+def test_rows_in_double_precision(spark):
+    """A centre of 5.0249999...: rounded to hundredths it differs once it has been single precision."""
+    corners = [[0.0, 0.0], [15.0, 0.0], [0.07499999, 3.0]]
+    rows = spark.createDataFrame([(1, corners)], "vec_id long, polygon array<array<double>>")
+    got = polygons.polygon_descriptors(rows, kind="double").first()
+    assert got.centroid_x == sum(x for x, _ in corners) / 3 and round(got.centroid_x, 2) == 5.02
+    assert polygons.polygon_descriptors(rows).first().centroid_x == np.float32(got.centroid_x)
