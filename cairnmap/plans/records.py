@@ -197,8 +197,8 @@ def triangle_polygons(spark, sf_dir):
     """The polygon operator on polygons of three corners, which leave it no choice."""
     df, points = _triangle(spark, sf_dir)
     rows = df.select("vec_id", F.array(*(F.array(x, y) for x, y in points)).alias("polygon"))
-    found = polygons.polygon_descriptors(rows)
-    return found.select("vec_id", "triangle_idx", *(F.round(F.col(c).cast("double"), 2).alias(c) for c in ("alpha1", "alpha2", "e1", "e2", "e3", "centroid_x", "centroid_y")))
+    found = polygons.polygon_descriptors(rows, kind="double")
+    return found.select("vec_id", "triangle_idx", *(F.round(c, 2).alias(c) for c in ("alpha1", "alpha2", "e1", "e2", "e3", "centroid_x", "centroid_y")))
 
 
 @query(f"""WITH {_POINTS}, n AS (SELECT *, (y1-y0) / (sqrt((x1-x0)**2+(y1-y0)**2) + 1e-10) AS ax, -(x1-x0) / (sqrt((x1-x0)**2+(y1-y0)**2) + 1e-10) AS ay, (y2-y1) / (sqrt((x2-x1)**2+(y2-y1)**2) + 1e-10) AS bx, -(x2-x1) / (sqrt((x2-x1)**2+(y2-y1)**2) + 1e-10) AS by_ FROM p)
