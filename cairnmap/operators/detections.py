@@ -6,12 +6,16 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import polygons
 
+#: Pixels that are blended in one step.
+STEP = 1 << 20
+
 
 def segment(tiles: DataFrame, model: Callable, schema: str) -> DataFrame:
     """Runs ``model``, a function of an iterator of Arrow batches, over tiles (image bytes and keys)."""
@@ -84,21 +88,51 @@ def blended_blocks(tiles: DataFrame, image: str = "image", left: str = "left", t
             ints = [pa.array(x.astype(np.int32)) for x in (place[0][tile] // cell + row, place[1][tile] // cell + col, row, col)]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(tile)), *ints, pa.array([x.tobytes() for x in blocks], pa.binary())], names=schema.names)
 
-    weights = hat(size)
-
-    def blend(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("at_row", "ascending"), ("at_col", "ascending")])
-        total, weight = np.zeros((cell, cell)), np.zeros((cell, cell))
-        for r, c, part in zip(*(group.column(x) for x in ("at_row", "at_col", "part"))):
-            r, c = r.as_py() * cell, c.as_py() * cell
-            w = weights[r : r + cell, c : c + cell]
-            total += w * np.frombuffer(part.as_buffer(), np.float32).reshape(cell, cell)
-            weight += w
-        values = np.clip(total / (weight + 1e-6), 0, 1)
-        return group.slice(0, 1).select([image, "block_row", "block_col"]).append_column("values", pa.array([values.ravel().tolist()], pa.list_(pa.float64())))
-
-    out = f"`{image}` {kind}, block_row int, block_col int, `values` array<double>"
-    return rows.mapInArrow(cut, schema).groupBy(image, "block_row", "block_col").applyInArrow(blend, out)
+    weights = np.ascontiguousarray(hat(size).reshape(per, cell, per, cell).swapaxes(1, 2)).reshape(per, per, cell * cell)
+    keys, out = [image, "block_row", "block_col"], StructType.fromDDL(f"`{image}` {kind}, block_row int, block_col int, `values` array<double>")
+
+    def blocks(at: pa.Table, total, weight):
+        values = pa.array(np.clip(total / (weight + 1e-6), 0, 1).ravel())
+        ends = pa.array(np.arange(0, total.size + 1, cell * cell, dtype=np.int32))
+        return pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in at.columns), pa.ListArray.from_arrays(ends, values)], names=out.names)
+
+    def blend(batches):
+        # Parts of a block come one after the other, in the order of their places in the tile; the last block stays open.
+        open_ = None
+        for whole in batches:
+            for lo in range(0, whole.num_rows, most):
+                b = whole.slice(lo, most)
+                at = pa.Table.from_batches([b]).select(keys)
+                weight = weights[b.column("at_row").to_numpy(), b.column("at_col").to_numpy()]
+                total = weight * np.frombuffer(b"".join(b.column("part").to_pylist()), np.float32).reshape(b.num_rows, -1)
+                if open_:
+                    at, total, weight = pa.concat_tables([open_[0], at]), np.concatenate([open_[1], total]), np.concatenate([open_[2], weight])
+                first = np.flatnonzero(np.concatenate([[True], _changes(at)]))
+                block = np.repeat(np.arange(len(first)), np.diff([*first, len(total)]))
+                sums, place = (total[first], weight[first]), np.arange(len(total)) - first[block]
+                order = np.argsort(place, kind="stable")
+                for rows in np.split(order, np.flatnonzero(np.diff(place[order])) + 1)[1:]:
+                    for x, part in zip(sums, (total, weight)):
+                        x[block[rows]] += part[rows]
+                at = at.take(pa.array(first))
+                if len(first) > 1:
+                    yield blocks(at.slice(0, len(first) - 1), *(x[:-1] for x in sums))
+                open_ = at.slice(len(first) - 1), *(x[-1:] for x in sums)
+        if open_:
+            yield blocks(*open_)
+
+    most = max(1, STEP // (cell * cell))
+    cuts = rows.mapInArrow(cut, schema).repartition(*keys).sortWithinPartitions(*keys, "at_row", "at_col")
+    return cuts.mapInArrow(blend, out)
+
+
+def _changes(keys: pa.Table) -> np.ndarray:
+    """Which rows but the first differ from the row before; nulls are equal."""
+    differ = np.zeros(max(0, len(keys) - 1), bool)
+    for c in (c.combine_chunks() for c in keys.columns):
+        a, b = c.slice(0, len(differ)), c.slice(1)
+        differ |= pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b))).to_numpy(zero_copy_only=False)
+    return differ
 
 
 def windows(blocks: DataFrame, tiles: DataFrame, image: str = "image", left: str = "left", top: str = "top", size: int = 500, cell: int = 100) -> DataFrame:

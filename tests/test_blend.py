@@ -51,6 +51,29 @@ def test_tiles_that_do_not_fit(spark, tiles):
     assert detections.blended_blocks(df.limit(0), size=12, cell=4).count() == 0
 
 
+def test_blocks_do_not_depend_on_steps(spark, tiles, monkeypatch):
+    """Blocks that go on from one step, or Arrow batch, to the next; tiles in one place; an image without a name."""
+    many = [*tiles, *((i, 8, 8, m) for i, _, _, m in tiles[:5]), *((None, x, y, m) for i, x, y, m in tiles if i == "a")]
+    df = spark.createDataFrame(many, "image string, left int, top int, mask array<array<float>>").repartition(4)
+    read = lambda: {(r.image, r.block_row, r.block_col): np.array(r["values"]) for r in detections.blended_blocks(df, size=12, cell=4).collect()}
+    want = read()
+    assert len(want) == 3 * 7 * 6
+    monkeypatch.setattr(detections, "STEP", 40)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = read()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+    pixels = by_pixel([t for t in many if t[0] == "b"], 12)["b"]
+    assert all(v.reshape(4, 4) == pytest.approx(pixels[4 * r : 4 * r + 4, 4 * c : 4 * c + 4], abs=1e-9) for (i, r, c), v in want.items() if i == "b")
+
+
+def test_blocks_are_not_called_one_by_one(spark, tiles):
+    df = spark.createDataFrame(tiles, "image string, left int, top int, mask array<array<float>>")
+    assert "FlatMapGroups" not in detections.blended_blocks(df, size=12, cell=4)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_building_across_tiles(spark):
     """Two tiles see halves of a building, one of them with another instance that is not sure."""
     mask = lambda a, b: [[0.9 if a <= c < b and 4 <= r < 14 else 0.0 for c in range(20)] for r in range(20)]
