@@ -49,6 +49,65 @@ def distances(q: np.ndarray, s: np.ndarray, p: int) -> np.ndarray:
     return total if p == 1 else np.sqrt(total) if p == 2 else total ** (1 / p)
 
 
+def _apart(q: np.ndarray, s: np.ndarray, p: int) -> np.ndarray:
+    """Distances of row n of q to row n of s, as distances() sums them."""
+    total = np.zeros(len(q))
+    for a, b in zip(q.T, s.T):
+        d = np.abs(a - b)
+        total += d if p == 1 else d * d if p == 2 else np.power(d, p)
+    return total if p == 1 else np.sqrt(total) if p == 2 else total ** (1 / p)
+
+
+class Near:
+    """Rows s to which queries are compared.  What is surely farther than a query's bound is found out by a cheaper sum: a
+    matrix product for p = 2, and for p = 1 |a - b| = 2 max(a, b) - a - b in single precision.  Its rounding is allowed for,
+    and pairs that may count get their distance as distances() sums it."""
+
+    def __init__(self, s: np.ndarray, p: int):
+        self.s, self.p = s, p
+        if p == 2:
+            self.norm = (s * s).sum(1)
+        elif p == 1:
+            self.across = np.ascontiguousarray(s.T, np.float32)
+            self.sum, self.size = s.sum(1), np.abs(s).sum(1).max(initial=0)
+
+    def _rough(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rough distances (squared for p = 2) and by how much they may be wrong, for each query."""
+        if self.p == 2:
+            norm = (q * q).sum(1)
+            return norm[:, None] + self.norm - 2 * (q @ self.s.T), 1e-14 * (8 + q.shape[1]) * (norm + self.norm.max(initial=0))
+        total, d = np.zeros((len(q), len(self.s)), np.float32), np.empty((len(q), len(self.s)), np.float32)
+        for a, b in zip(q.T.astype(np.float32), self.across):
+            np.maximum(a[:, None], b, out=d)
+            total += d
+        return 2 * total - q.sum(1)[:, None] - self.sum, 3e-7 * (8 + q.shape[1]) * (np.abs(q).sum(1) + self.size)
+
+    def nearest(self, q: np.ndarray, k: int, own: np.ndarray | None, ids: np.ndarray) -> np.ndarray:
+        """The k smallest distances of each query (fewer for fewer rows), each more than it is by a hair at most, never less.
+        Rows that have the id a query has in ``own`` are left out."""
+        rough, wrong = self._rough(q) if self.p < 3 else (distances(q, self.s, self.p), np.zeros(len(q)))
+        if own is not None:
+            rough[own[:, None] == ids[None, :]] = np.inf
+        far = np.partition(rough, min(k, rough.shape[1]) - 1, axis=1)[:, :k].astype(np.float64) + wrong[:, None]
+        return np.sqrt(np.maximum(far, 0)) if self.p == 2 else far
+
+    def within(self, q: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row, distance) of pairs within the query's bound: all of them, or the k nearest of each query and more."""
+        if self.p < 3 and np.isfinite(bound).all():
+            rough, wrong = self._rough(q)
+            # A NaN is not surely far.
+            r, c = np.nonzero(~(rough > ((bound * bound if self.p == 2 else bound) * (1 + 1e-12) + wrong)[:, None]))
+            if len(r) <= rough.size // 16 and (wrong < 1e25).all():
+                far = _apart(q[r], self.s[c], self.p)
+                some = far <= bound[r]
+                return r[some], c[some], far[some]
+        d = distances(q, self.s, self.p)
+        if d.shape[1] >= k:
+            bound = np.minimum(bound, np.partition(d, k - 1, axis=1)[:, k - 1])
+        r, c = np.nonzero((d <= bound[:, None]) & (d < np.inf))
+        return r, c, d[r, c]
+
+
 def _best(rows: list[tuple], k: int) -> tuple:
     """Of (query number, distance, index id, carried Arrow arrays) the k best of each query, in order."""
     if not rows:

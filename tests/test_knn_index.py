@@ -69,3 +69,33 @@ def test_edges(spark, tmp_path, small):
         knn_index.search(frame(spark, [[1, 2, 3]], "query_id"), stored, 1).collect()
     with pytest.raises(Exception, match="different length"):
         knn_index.build(index.unionByName(frame(spark, [[1, 2, 3]], "index_id", 20)), f"{tmp_path}/x")
+
+
+@pytest.mark.parametrize("p", [1, 2, 3])
+@pytest.mark.parametrize("scale", [1.0, 1e6, 1e30])
+def test_rough_distances_lose_no_pair(p, scale):
+    """Rows a hair apart from a query, or from each other, and equal ones; bounds that are met exactly."""
+    rng = np.random.default_rng(p)
+    s = np.repeat(rng.normal(0, 1, (300, 24)), 2, 0)
+    s[1::2] += rng.normal(0, 1e-7, (300, 24)) * rng.integers(0, 2, (300, 1))
+    s, scaled = (s * scale).astype(np.float32).astype(float), scale
+    q = s[::7] + 1e-9 * scaled
+    d = knn.distances(q, s, p)
+    bound = np.sort(d, 1)[:, 4]
+    r, c, far = knn.Near(s, p).within(q, bound, 1000)
+    assert set(zip(r.tolist(), c.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(d <= bound[:, None]))))
+    assert np.array_equal(far, d[r, c])
+    ids = np.arange(len(s))
+    near = np.sort(knn.Near(s, p).nearest(q, 5, None, ids), 1)
+    assert (near >= np.sort(d, 1)[:, :5] * (1 - 1e-12)).all()
+
+
+def test_neither_side_is_broadcast_and_wide_leaves_are_few(spark, tmp_path, small):
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (600, 20))
+    index = frame(spark, x, "index_id")
+    stored = knn_index.build(index, f"{tmp_path}/i")
+    assert len(stored.leaf) <= 600 // (16 * knn_index.WIDE)
+    found = knn_index.search(frame(spark, x[::20] + 0.01, "query_id"), stored, 3)
+    assert rows(found) == rows(knn.knn_join(frame(spark, x[::20] + 0.01, "query_id"), index, 3))
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
