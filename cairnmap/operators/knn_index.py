@@ -20,11 +20,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .knn import _best, _matrix, distances
+from .knn import NARROW, Near, _best, _matrix
 
 #: Rows of a piece, and of the sample that is fitted and stored; leaves at most (their boxes go to all tasks: 64 components
 #: make 4 MB).
 PIECE, SAMPLE, LEAVES = 2_048, 16_384, 4_096
+#: Pieces of a leaf of many components, where nearly all leaves are in reach: queries travel to each, so leaves are fewer.
+WIDE = 4
 #: Rows that are cut into pieces together; queries of one row that travels.
 BUFFER, BLOCK = 1 << 17, 4_096
 
@@ -152,7 +154,8 @@ def build(index: DataFrame, path: str, index_id: str = "index_id", vec: str = "v
     n = rows.count()
     taken = rows.select("index_id", "vec").orderBy(F.xxhash64("index_id"), "index_id").limit(SAMPLE).toArrow()
     x = _matrix(taken.column("vec").combine_chunks()) if taken.num_rows else np.zeros((0, 1))
-    tree = Tree.fit(x, int(min(LEAVES, max(1, n // PIECE), max(1, len(x) // 2))))
+    most = PIECE * (WIDE if x.shape[1] > NARROW else 1)
+    tree = Tree.fit(x, int(min(LEAVES, max(1, n // most), max(1, len(x) // 2))))
     shared = spark.sparkContext.broadcast(tree)
 
     def assign(batches):
@@ -191,6 +194,7 @@ def _router(shared, k: int, p: int, skip_same_id: bool):
 
     def run(batches):
         leaf, lo, hi, ids, sample = shared.value
+        parts = [(b, Near(sample[b : b + 1024], p)) for b in range(0, len(sample), 1024)]
         for whole in batches if len(leaf) else ():
             for at in range(0, whole.num_rows, BLOCK):
                 batch = whole.slice(at, BLOCK)
@@ -198,11 +202,9 @@ def _router(shared, k: int, p: int, skip_same_id: bool):
                 bound = np.full(len(q), np.inf)
                 for a in range(0, len(q), 64):
                     best = np.full((len(q[a : a + 64]), k), np.inf)
-                    for b in range(0, len(sample), 1024):
-                        d = distances(q[a : a + 64], sample[b : b + 1024], p)
-                        if skip_same_id:
-                            d[own[a : a + 64, None] == ids[None, b : b + 1024]] = np.inf
-                        best = np.sort(np.concatenate([best, np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k]], axis=1), axis=1)[:, :k]
+                    for b, part in parts:
+                        far = part.nearest(q[a : a + 64], k, own[a : a + 64] if skip_same_id else None, ids[b : b + 1024])
+                        best = np.sort(np.concatenate([best, far], axis=1), axis=1)[:, :k]
                     bound[a : a + 64] = best[:, -1]
                 # Sums of rounded numbers: a hair is added, so that equality on paper is reach.
                 bound += 1e-9 * np.maximum(1, bound)
@@ -231,17 +233,13 @@ def _comparer(k: int, p: int, skip_same_id: bool, n_carry: int, names: list[str]
                     continue
                 own = cell(3).values.to_numpy()
                 s = np.frombuffer(cell(4).as_buffer(), np.float32).reshape(len(own), -1).astype(np.float64)
-                found = []
+                found, piece = [], Near(s, p)
                 for a in range(0, len(near), 64):
                     rows = near[a : a + 64]
-                    d = distances(q[rows], s, p)
-                    if skip_same_id:
-                        d[asked[rows, None] == own[None, :]] = np.inf
-                    limit = bound[rows]
-                    if d.shape[1] >= k:
-                        limit = np.minimum(limit, np.partition(d, k - 1, axis=1)[:, k - 1])
-                    r, c = np.nonzero((d <= limit[:, None]) & (d < np.inf))
-                    found.append((rows[r], d[r, c], own[c], [pa.array(c)]))
+                    r, c, d = piece.within(q[rows], bound[rows], k + skip_same_id)
+                    some = (asked[rows[r]] != own[c]) | (not skip_same_id)
+                    r, c, d = r[some], c[some], d[some]
+                    found.append(_best([(rows[r], d, own[c], [pa.array(c)])], k))
                 at, far, ids, picked = _best(found, k)
                 full = np.flatnonzero(np.bincount(at, minlength=len(asked)) == k)
                 for x, b in zip(asked[full].tolist(), far[np.searchsorted(at, full, "right") - 1].tolist()):
@@ -271,7 +269,8 @@ def search(queries: DataFrame, index: Index, k: int, p: int = 1, query_id: str =
     if k < 1 or p < 1:
         raise ValueError("k and p must be positive")
     blocks = routed(queries, index, k, p, query_id, vec, dims, skip_same_id)
-    both = index.pieces.drop("n").join(blocks, "leaf")
+    # Neither side is ever gathered in the driver to be broadcast.
+    both = index.pieces.drop("n").join(blocks.hint("merge"), "leaf")
     both = both.select("leaf", "lo", "hi", "ids", "vecs", "query_ids", "queries", "bounds", *index.carry)
     types = {f.name: f.dataType.elementType for f in index.pieces.schema if f.name in index.carry}
     schema = StructType([StructField("query_id", LongType()), StructField("index_id", LongType()), *(StructField(c, types[c]) for c in index.carry), StructField("distance", DoubleType())])
