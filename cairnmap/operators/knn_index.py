@@ -3,9 +3,11 @@
 ``build`` cuts the vectors' space into leaves by medians (fitted on a bounded sample, which decides speed alone), deals all
 rows to their leaves and stores them in pieces: rows of one leaf that lie close together, with the box around them.
 
-``search`` needs no pass over the index before it.  The k-th distance of a query to the stored sample, whose rows are rows of
-the index, bounds its answer; the query goes to the leaves whose boxes reach within that bound, and meets their pieces
-in an equi-join on the leaf; a piece out of reach is not compared.  Boxes and bounds hold for every Minkowski metric.
+``search`` bounds a query's answer by its k-th distance to some rows of the index; the query goes to the leaves whose boxes
+reach within that bound, and meets their pieces in an equi-join on the leaf; a piece out of reach is not compared.  A block of
+queries, and many components, take the stored sample for these rows.  More queries in few components take the rows around
+them, PIECE or so of the leaf that a query itself falls into: a bound that gets closer as the index grows, which the
+sample's does not.  Boxes and bounds hold for every Minkowski metric.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ from .knn import NARROW, Near, _best, _matrix
 PIECE, SAMPLE, LEAVES = 2_048, 16_384, 4_096
 #: Pieces of a leaf of many components, where nearly all leaves are in reach: queries travel to each, so leaves are fewer.
 WIDE = 4
-#: Rows that are cut into pieces together; queries of one row that travels.
-BUFFER, BLOCK = 1 << 17, 4_096
+#: Rows that are cut into pieces together; queries of one row that travels; leaves that are ruled out by one box.
+BUFFER, BLOCK, GROUP = 1 << 17, 4_096, 64
 
 
 def lower_bounds(q: np.ndarray, lo: np.ndarray, hi: np.ndarray, p: int) -> np.ndarray:
@@ -93,12 +95,14 @@ class Tree:
 
 @dataclass(frozen=True)
 class Index:
-    """A stored index: its folder, the columns it carries, the boxes of its leaves and its sample."""
+    """A stored index: its folder, the columns it carries, its leaves in order (number, rows, box), its tree and its sample."""
 
     spark: SparkSession
     path: str
     carry: tuple[str, ...]
+    tree: Tree
     leaf: np.ndarray
+    rows: np.ndarray
     lo: np.ndarray
     hi: np.ndarray
     ids: np.ndarray
@@ -174,44 +178,136 @@ def build(index: DataFrame, path: str, index_id: str = "index_id", vec: str = "v
     sorted_.mapInArrow(_packer(carry, to_arrow_schema(stored)), stored).write.mode("overwrite").parquet(f"{path}/pieces")
     taken = spark.createDataFrame(taken).withColumn("vec", F.col("vec").cast("array<float>")) if taken.num_rows else rows.select("index_id", "vec").limit(0)
     taken.coalesce(1).write.mode("overwrite").parquet(f"{path}/sample")
-    boxes = spark.read.parquet(f"{path}/pieces").select("leaf", F.posexplode(F.arrays_zip("lo", "hi")).alias("i", "b")).groupBy("leaf", "i").agg(F.min("b.lo").alias("lo"), F.max("b.hi").alias("hi"))
-    boxes = boxes.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("i", "lo", "hi"))).alias("b")).select("leaf", F.col("b.lo").alias("lo"), F.col("b.hi").alias("hi"))
+    nodes = pa.table({"node": np.arange(len(tree.component)), "component": tree.component, "threshold": tree.threshold, "below": tree.child[:, 0], "above": tree.child[:, 1]})
+    spark.createDataFrame(nodes).coalesce(1).write.mode("overwrite").parquet(f"{path}/tree")
+    boxes = spark.read.parquet(f"{path}/pieces").select("leaf", "n", F.posexplode(F.arrays_zip("lo", "hi")).alias("i", "b")).groupBy("leaf", "i").agg(F.sum("n").alias("n"), F.min("b.lo").alias("lo"), F.max("b.hi").alias("hi"))
+    boxes = boxes.groupBy("leaf").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("i", "lo", "hi"))).alias("b")).select("leaf", "n", F.col("b.lo").alias("lo"), F.col("b.hi").alias("hi"))
     boxes.coalesce(1).write.mode("overwrite").parquet(f"{path}/leaves")
     return open_index(spark, path)
 
 
 def open_index(spark: SparkSession, path: str) -> Index:
-    """A stored index.  What is read here is bounded: LEAVES boxes and SAMPLE vectors."""
-    leaves, sample = (spark.read.parquet(f"{path}/{name}").toArrow() for name in ("leaves", "sample"))
+    """A stored index.  What is read here is bounded: LEAVES boxes, as many nodes, and SAMPLE vectors."""
+    leaves, nodes, sample = (spark.read.parquet(f"{path}/{name}").toArrow() for name in ("leaves", "tree", "sample"))
+    leaves, nodes = leaves.sort_by("leaf"), nodes.sort_by("node")
+    tree = Tree(nodes.column("component").to_numpy(), nodes.column("threshold").to_numpy(), np.stack([nodes.column(c).to_numpy() for c in ("below", "above")], 1))
     carry = tuple(c for c in spark.read.parquet(f"{path}/pieces").columns if c not in ("leaf", "n", "lo", "hi", "ids", "vecs"))
     boxes = [_matrix(leaves.column(c).combine_chunks()) if leaves.num_rows else np.zeros((0, 1)) for c in ("lo", "hi")]
     vectors = _matrix(sample.column("vec").combine_chunks()) if sample.num_rows else np.zeros((0, 1))
-    return Index(spark, path, carry, leaves.column("leaf").to_numpy(), *boxes, sample.column("index_id").to_numpy(), vectors)
+    return Index(spark, path, carry, tree, leaves.column("leaf").to_numpy(), leaves.column("n").to_numpy(), *boxes, sample.column("index_id").to_numpy(), vectors)
+
+
+def _parts(ids: np.ndarray, rows: np.ndarray, p: int) -> list[tuple[np.ndarray, Near]]:
+    return [(ids[b : b + 1024], Near(rows[b : b + 1024], p)) for b in range(0, len(rows), 1024)]
+
+
+def _kth(parts: list[tuple[np.ndarray, Near]], own: np.ndarray, q: np.ndarray, k: int, skip_same_id: bool) -> np.ndarray:
+    """The k-th distance of each query to the rows of ``parts``, infinite for fewer rows."""
+    bound = np.full(len(q), np.inf)
+    for a in range(0, len(q), 64):
+        best = np.full((len(q[a : a + 64]), k), np.inf)
+        for ids, part in parts:
+            far = part.nearest(q[a : a + 64], k, own[a : a + 64] if skip_same_id else None, ids)
+            best = np.sort(np.concatenate([best, far], axis=1), axis=1)[:, :k]
+        bound[a : a + 64] = best[:, -1]
+    return bound
+
+
+def _blocks(own: np.ndarray, q: np.ndarray, bound: np.ndarray, leaf: np.ndarray, lo: np.ndarray, hi: np.ndarray, p: int):
+    """Blocks of queries for each leaf in reach, each query with its bound.  Leaves with numbers in a row lie close together,
+    so a box around GROUP of them comes first."""
+    # Sums of rounded numbers: a hair is added, so that equality on paper is reach.
+    bound = bound + 1e-9 * np.maximum(1, bound)
+    for g in range(0, len(leaf), GROUP):
+        low, high = lo[g : g + GROUP], hi[g : g + GROUP]
+        some = np.flatnonzero(lower_bounds(q, low.min(0)[None], high.max(0)[None], p)[:, 0] <= bound)
+        reach = np.concatenate([lower_bounds(q[x], low, high, p) <= bound[x, None] for x in np.split(some, range(256, len(some), 256))])
+        for j in np.flatnonzero(reach.any(0)).tolist():
+            rows = some[reach[:, j]]
+            yield pa.RecordBatch.from_arrays([pa.array([leaf[g + j]], pa.int32()), pa.array([own[rows].tolist()], pa.list_(pa.int64())), pa.array([q[rows].tobytes()], pa.binary()), pa.array([bound[rows].tolist()], pa.list_(pa.float64()))], names=["leaf", "query_ids", "queries", "bounds"])
 
 
 def _router(shared, k: int, p: int, skip_same_id: bool):
-    """mapInArrow function: (query_id, vec) -> blocks of queries for each leaf in reach, each query with its bound."""
+    """mapInArrow function: (query_id, vec) -> blocks of queries for each leaf in reach, bounded by the sample."""
 
     def run(batches):
         leaf, lo, hi, ids, sample = shared.value
-        parts = [(b, Near(sample[b : b + 1024], p)) for b in range(0, len(sample), 1024)]
+        parts = _parts(ids, sample, p)
         for whole in batches if len(leaf) else ():
             for at in range(0, whole.num_rows, BLOCK):
                 batch = whole.slice(at, BLOCK)
                 own, q = batch.column(0).to_numpy(), _matrix(batch.column(1), lo.shape[1])
-                bound = np.full(len(q), np.inf)
-                for a in range(0, len(q), 64):
-                    best = np.full((len(q[a : a + 64]), k), np.inf)
-                    for b, part in parts:
-                        far = part.nearest(q[a : a + 64], k, own[a : a + 64] if skip_same_id else None, ids[b : b + 1024])
-                        best = np.sort(np.concatenate([best, far], axis=1), axis=1)[:, :k]
-                    bound[a : a + 64] = best[:, -1]
-                # Sums of rounded numbers: a hair is added, so that equality on paper is reach.
-                bound += 1e-9 * np.maximum(1, bound)
-                reach = np.concatenate([lower_bounds(q[a : a + 64], lo, hi, p) <= bound[a : a + 64, None] for a in range(0, len(q), 64)]) if len(q) else np.zeros((0, len(leaf)), bool)
-                for j in np.flatnonzero(reach.any(0)).tolist():
-                    rows = np.flatnonzero(reach[:, j])
-                    yield pa.RecordBatch.from_arrays([pa.array([leaf[j]], pa.int32()), pa.array([own[rows].tolist()], pa.list_(pa.int64())), pa.array([q[rows].tobytes()], pa.binary()), pa.array([bound[rows].tolist()], pa.list_(pa.float64()))], names=["leaf", "query_ids", "queries", "bounds"])
+                yield from _blocks(own, q, _kth(parts, own, q, k, skip_same_id), leaf, lo, hi, p)
+
+    return run
+
+
+#: Rows around queries, and queries: the leaf they fall into, ids, vectors (in single and in double precision), which it is.
+_AROUND = "leaf int, ids array<long>, vecs binary, asks boolean"
+
+
+def _around(leaf: np.ndarray, ids: list, vecs: list, asks: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), pa.array(ids, pa.list_(pa.int64())), pa.array(vecs, pa.binary()), pa.array([asks] * len(ids), pa.bool_())], names=["leaf", "ids", "vecs", "asks"])
+
+
+def _thinner(shared):
+    """mapInArrow function: (leaf, ids, vecs) of pieces -> PIECE or so rows of each leaf, evenly from its pieces."""
+
+    def run(batches):
+        step = dict(zip(*shared.value))
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own, n = batch.column(1)[i].values.to_numpy(), step[batch.column(0)[i].as_py()]
+                s = np.frombuffer(batch.column(2)[i].as_buffer(), np.float32).reshape(len(own), -1)
+                yield _around(batch.column(0)[i : i + 1].to_numpy(), [own[::n].tolist()], [s[::n].tobytes()], False)
+
+    return run
+
+
+def _homes(shared, dim: int):
+    """mapInArrow function: (query_id, vec) -> the query in the leaf that it falls into."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                q = _matrix(batch.column(1), dim)
+                yield _around(shared.value.leaf(q), [[x] for x in batch.column(0).to_pylist()], [x.tobytes() for x in q], True)
+
+    return run
+
+
+def _near_router(shared, k: int, p: int, skip_same_id: bool):
+    """mapInArrow function: rows of _AROUND, by leaf, those of the index first -> blocks as those of _router, bounded by the
+    rows of the query's leaf.  Queries of a leaf that a task before began with, and of a leaf of under k rows, are bounded by
+    the sample."""
+
+    def run(batches):
+        leaf, lo, hi, ids, sample = shared.value
+        parts, here, around, seen, held = _parts(ids, sample, p), None, [], [], []
+        for batch in batches:
+            at, asks = batch.column(0).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero((np.diff(at) != 0) | (asks[1:] != asks[:-1])) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if b == a:
+                    continue
+                if at[a] != here:
+                    here, around, seen = at[a], [], []
+                own = batch.column(1).slice(a, b - a).flatten().to_numpy()
+                x = np.frombuffer(b"".join(batch.column(2).slice(a, b - a).to_pylist()), np.float64 if asks[a] else np.float32).reshape(len(own), -1)
+                if not asks[a]:
+                    seen.append((own, x.astype(np.float64)))
+                    continue
+                if seen:
+                    around, seen = _parts(*(np.concatenate(v) for v in zip(*seen)), p), []
+                bound = _kth(around, own, x, k, skip_same_id)
+                open_ = np.isinf(bound)
+                bound[open_] = _kth(parts, own[open_], x[open_], k, skip_same_id)
+                held.append((own, x, bound))
+                if sum(len(h[0]) for h in held) >= BLOCK:
+                    yield from _blocks(*(np.concatenate(v) for v in zip(*held)), leaf, lo, hi, p)
+                    held = []
+        if held:
+            yield from _blocks(*(np.concatenate(v) for v in zip(*held)), leaf, lo, hi, p)
 
     return run
 
@@ -259,8 +355,16 @@ def routed(queries: DataFrame, index: Index, k: int, p: int = 1, query_id: str =
     shared = index.spark.sparkContext.broadcast((index.leaf, index.lo, index.hi, index.ids, index.sample))
     # A piece travels once for each block of its leaf, so blocks are filled.
     tasks = 1 + asked.count() // BLOCK
+    blocks = "leaf int, query_ids array<long>, queries binary, bounds array<double>"
+    if tasks > 1 and len(index.leaf) and index.lo.shape[1] <= NARROW:
+        # Queries of one part of the space come together, with rows of the index around them; so blocks are few, too.
+        tree, step = (index.spark.sparkContext.broadcast(x) for x in (index.tree, (index.leaf.tolist(), (-(-index.rows // PIECE)).tolist())))
+        rows = index.pieces.select("leaf", "ids", "vecs").mapInArrow(_thinner(step), _AROUND)
+        both = rows.unionByName(asked.mapInArrow(_homes(tree, index.lo.shape[1]), _AROUND)).withColumn("_o", F.xxhash64("ids"))
+        both = both.repartitionByRange(tasks, "leaf", "asks", "_o").sortWithinPartitions("leaf", "asks").drop("_o")
+        return both.mapInArrow(_near_router(shared, k, p, skip_same_id), blocks)
     asked = asked.coalesce(1) if tasks == 1 else asked.repartition(tasks)
-    return asked.mapInArrow(_router(shared, k, p, skip_same_id), "leaf int, query_ids array<long>, queries binary, bounds array<double>")
+    return asked.mapInArrow(_router(shared, k, p, skip_same_id), blocks)
 
 
 def search(queries: DataFrame, index: Index, k: int, p: int = 1, query_id: str = "query_id", vec: str = "vec", dims: tuple[int, int] | None = None, skip_same_id: bool = False) -> DataFrame:

@@ -99,3 +99,30 @@ def test_neither_side_is_broadcast_and_wide_leaves_are_few(spark, tmp_path, smal
     found = knn_index.search(frame(spark, x[::20] + 0.01, "query_id"), stored, 3)
     assert rows(found) == rows(knn.knn_join(frame(spark, x[::20] + 0.01, "query_id"), index, 3))
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_query_meets_no_more_of_a_larger_index(spark, tmp_path, monkeypatch):
+    """More queries than a block: the rows around a query bound its answer, closer the more rows there are."""
+    for name, value in (("PIECE", 32), ("SAMPLE", 1024), ("BLOCK", 100)):
+        monkeypatch.setattr(knn_index, name, value)
+    met, rng = [], np.random.default_rng(3)
+    asked = frame(spark, rng.uniform(0, 1, (400, 3)), "query_id")
+    for n in (2048, 16384):
+        index = frame(spark, rng.uniform(0, 1, (n, 3)), "index_id")
+        stored = knn_index.build(index, f"{tmp_path}/{n}")
+        met.append(knn_index.visits(asked, stored, 2).first().visited / 400)
+    # Leaves at the border have fewer neighbours, and there are more of those in a small index.
+    assert met[1] < 2.2 * met[0]
+    assert rows(knn_index.search(asked, stored, 2)) == rows(knn.knn_join(asked, index, 2))
+
+
+def test_queries_around_equal_rows_and_leaves_of_few(spark, tmp_path, small):
+    """A leaf of many pieces, queries of one leaf in several tasks, leaves of fewer rows than k; a row itself left out."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([np.ones((700, 4)), rng.uniform(0, 50, (300, 4))])
+    both = frame(spark, x, "id")
+    stored = knn_index.build(both, f"{tmp_path}/i", "id")
+    asked = both.where("id % 5 = 0")
+    for k in (3, 30):
+        want = rows(knn.knn_join(asked, both, k, query_id="id", index_id="id", skip_same_id=True))
+        assert rows(knn_index.search(asked, stored, k, query_id="id", skip_same_id=True)) == want
